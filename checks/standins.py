@@ -9,11 +9,13 @@ Listings come from ``part``, the change log from ``lineitem``, reviews from
 from __future__ import annotations
 
 import datetime as dt
+import json
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from checks.templates import TEMPLATES
+from policyscan.functions.text import computed_once
 from policyscan.sources.tables import conform
 
 LAUNCH = dt.date(1998, 7, 1)
@@ -24,8 +26,9 @@ POLICY = "target_policy"
 
 
 def _template(number: Column, field: str) -> Column:
-    values = F.array(*[F.lit(getattr(t, field)).cast("string") for t in TEMPLATES])
-    return F.element_at(values, (number % len(TEMPLATES) + 1).cast("int"))
+    values = json.dumps([getattr(t, field) for t in TEMPLATES])
+    listed = F.from_json(F.lit(values), "array<string>")
+    return F.element_at(listed, (number % len(TEMPLATES) + 1).cast("int"))
 
 
 class StandIns:
@@ -33,9 +36,12 @@ class StandIns:
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
+        self._sources: dict[str, DataFrame] = {}
 
     def source(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        if name not in self._sources:
+            self._sources[name] = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        return self._sources[name]
 
     def described(self) -> DataFrame:
         """Parts with a long description: a document, then the template's own text."""
@@ -142,7 +148,7 @@ class StandIns:
                 state.cast("int").alias("state"),
             )
 
-        return conform(
+        log = conform(
             items.filter(part % 10 != 9).select(
                 F.col("l_shipdate").alias("event_ts"),
                 F.struct("l_orderkey", "l_linenumber", "l_suppkey").alias("event_seq"),
@@ -151,6 +157,10 @@ class StandIns:
             ),
             "change_log",
         )
+        # A stored log holds these columns; do not rebuild them in every filter.
+        return computed_once(
+            log, ["event_ts", "event_seq"], before=F.col("before"), after=F.col("after")
+        )
 
     def change_log_stream(self) -> DataFrame:
         """The change log as a stream of the files that hold ``lineitem``."""

@@ -41,6 +41,12 @@ def first_match(tests: list[tuple[Column, str]], otherwise: str) -> Column:
     return chain.otherwise(F.lit(otherwise))
 
 
+def case_sql(tests: list[tuple[str, str]], otherwise: str) -> Column:
+    """``first_match`` over SQL conditions; builds a long chain in one call."""
+    branches = " ".join(f"WHEN {test} THEN '{label}'" for test, label in tests)
+    return F.expr(f"CASE {branches} ELSE '{otherwise}' END")
+
+
 # Edges and labels of the two histograms.
 AROUND_REVIEW = DayBuckets(
     missing="N/A (never reviewed)",

@@ -23,8 +23,10 @@ def padded_words(text: Column) -> Column:
     return F.concat(F.lit(" "), words, F.lit(" "))
 
 
-def literal_array(values: Iterable[str]) -> Column:
-    return F.array(*[F.lit(v) for v in values])
+def term_array(values: Iterable[str]) -> str:
+    """SQL for a constant array of terms."""
+    listed = ", ".join(values).replace("'", "\\'")
+    return f"split('{listed}', ', ')"
 
 
 def terms_in(surface: Column, vocabulary: Iterable[str], open_spellings: dict[str, str]) -> Column:
@@ -41,7 +43,7 @@ def terms_in(surface: Column, vocabulary: Iterable[str], open_spellings: dict[st
     for length in range(2, max(len(v.split()) for v in listed) + 1):
         following = F.slice(words, F.lit(length), F.size(words))
         runs.append(F.zip_with(runs[-1], following, lambda a, b: F.concat_ws(" ", a, b)))
-    found = F.array_intersect(literal_array(listed), F.concat(*runs))
+    found = F.array_intersect(F.expr(term_array(listed)), F.concat(*runs))
     for entry in vocabulary:
         if entry in open_spellings:
             hit = F.when(surface.rlike(open_spellings[entry]), F.array(F.lit(entry)))

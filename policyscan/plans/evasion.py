@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from policyscan.functions.buckets import first_match
-from policyscan.functions.text import has_word
+from policyscan.functions.text import computed_once, has_word
 from policyscan.operators.edits import of_listings, per_listing_day, retitled, with_timing
 from policyscan.operators.sellers import known_seller_listings
 from policyscan.rules import bank
@@ -32,8 +32,10 @@ def evasion_type(before: Column, after: Column) -> Column:
 
 
 def with_evasion_type(edits: DataFrame) -> DataFrame:
-    return retitled(edits).withColumn(
-        "evasion_type", evasion_type(F.col("title_before"), F.col("title_after"))
+    return computed_once(
+        retitled(edits),
+        edits.columns,
+        evasion_type=evasion_type(F.col("title_before"), F.col("title_after")),
     )
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from policyscan.functions.listing import ACTIVE, days_between, prior_state
+from policyscan.functions.text import computed_once
 from policyscan.operators.edits import of_listings
 from policyscan.operators.reactivations import (
     reactivation_rollup,
@@ -203,9 +204,12 @@ def review_gap(
         screened.filter((F.col("confidence_band") == "HIGH") & F.col("listing_id").isNotNull())
         .select("listing_id", "user_id", "reactivated_date")
         .join(view.select("listing_id", "is_active"), "listing_id", "left")
-        # Both branches below read this one shuffle, so the screening runs once.
-        .repartition("listing_id")
+        .repartition("listing_id", "user_id")
     )
+    # Nothing moves below the generator, so both branches below read the same
+    # shuffle and the screening runs once.
+    carried = {name: F.col(name) for name in ("user_id", "reactivated_date", "is_active")}
+    high = computed_once(high, ["listing_id"], **carried)
     # An outer join could not split the reviews of one listing over tasks; an
     # inner join can, and listings without any review come from the anti join.
     outdated = high.join(seen, "listing_id").filter(

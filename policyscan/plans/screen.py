@@ -13,13 +13,13 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from policyscan.functions.buckets import first_match
+from policyscan.functions.buckets import case_sql, first_match
 from policyscan.functions.text import (
     computed_once,
     has_phrase,
     has_word,
-    literal_array,
     padded_words,
+    term_array,
     terms_in,
 )
 from policyscan.rules import bank
@@ -80,18 +80,34 @@ _FAUX_NEAR_FUR = (
 )
 
 
-def _holds(found: str, wanted: tuple[str, ...]) -> Column:
-    return F.arrays_overlap(F.col(found), literal_array(wanted))
+# The tests below are SQL text: the rule bank makes for hundreds of them, and one
+# expression string per result column is built far faster than nested calls.
 
 
-def in_title(*wanted: str) -> Column:
+def _holds(found: str, wanted: tuple[str, ...]) -> str:
+    return f"arrays_overlap({found}, {term_array(wanted)})"
+
+
+def in_title(*wanted: str) -> str:
     return _holds("title_terms", wanted)
 
 
-def in_listing(*wanted: str) -> Column:
+def in_listing(*wanted: str) -> str:
     return _holds("listing_terms", wanted)
 
 
+def _any(*tests: str) -> str:
+    return f"({' OR '.join(tests)})"
+
+
+def _all(*tests: str) -> str:
+    return f"({' AND '.join(tests)})"
+
+
+def _not(test: str) -> str:
+    return f"(NOT {test})"
+
+
 def sellable(listings: DataFrame) -> DataFrame:
     """Listings that are neither digital nor printed on demand (NULL flags pass)."""
     return listings.filter(
@@ -141,68 +157,68 @@ def find_terms(candidate_listings: DataFrame) -> DataFrame:
     )
 
 
-def _sure_animal() -> Column:
-    marten = terms(bank.SURE_ANIMALS["marten"])
-    others = [t for t in all_terms(bank.SURE_ANIMALS) if t not in marten]
-    return in_title(*others) | (in_title(*marten) & ~_counter("doc_marten"))
-
-
-def _ambiguous_animal() -> Column:
-    fitch = terms(bank.AMBIGUOUS_ANIMALS["fitch"])
-    others = [t for t in all_terms(bank.AMBIGUOUS_ANIMALS) if t not in fitch]
-    return in_title(*others) | (in_title(*fitch) & ~_counter("abercrombie_fitch"))
-
-
-def _counter(rule: str) -> Column:
+def _counter(rule: str) -> str:
     return in_title(*terms(bank.TITLE_COUNTERS[rule]))
 
 
-def _ambiguous(rule: str) -> Column:
+def _ambiguous(rule: str) -> str:
     return in_title(*terms(bank.AMBIGUOUS_ANIMALS[rule]))
 
 
-def _fur_term(*rules: str) -> Column:
+def _fur_term(*rules: str) -> str:
     return in_listing(*all_terms(bank.FUR_TERMS, *rules))
 
 
-def _kangaroo_hide() -> Column:
-    return _ambiguous("kangaroo") & _fur_term(bank.HIDE_RULE)
+def _guarded(animals: dict[str, str], rule: str, guard: str) -> str:
+    """Any of the animals in the title, one of them only without its guard."""
+    others = all_terms({name: listed for name, listed in animals.items() if name != rule})
+    return _any(in_title(*others), _all(in_title(*terms(animals[rule])), _not(_counter(guard))))
 
 
-def _says_faux_only() -> Column:
-    return F.col("says_faux") & ~F.col("says_real")
+_KANGAROO_HIDE = _all(_ambiguous("kangaroo"), _fur_term(bank.HIDE_RULE))
+_SAYS_FAUX_ONLY = "(says_faux AND NOT says_real)"
+_NEGATED_BY_TAGS = _holds("tag_terms", _TAG_VOCABULARY)
+_EMITTED = "match_rule IN ({})".format(", ".join(f"'{rule}'" for rule in EMITTED_RULES))
 
 
 def match_rule() -> Column:
     """The screening decision: the first rule that holds."""
-    strong = in_title(*terms(bank.STRONG_TERMS)) | (
-        in_title(*terms(bank.PELT_TERMS)) & ~_counter("van_pelt")
+    strong = _any(
+        in_title(*terms(bank.STRONG_TERMS)),
+        _all(in_title(*terms(bank.PELT_TERMS)), _not(_counter("van_pelt"))),
     )
-    negated = _holds("tag_terms", _TAG_VOCABULARY) | _counter("title_negation") | _says_faux_only()
-    byproduct = in_listing(*all_terms(bank.BYPRODUCTS))
-    context = _fur_term(*bank.EVIDENCE_RULES) | _kangaroo_hide()
-    sure, ambiguous = _sure_animal(), _ambiguous_animal()
-    return first_match(
+    weak = _not(strong)
+    no_byproduct = _not(in_listing(*all_terms(bank.BYPRODUCTS)))
+    context = _any(_fur_term(*bank.EVIDENCE_RULES), _KANGAROO_HIDE)
+    sure = _guarded(bank.SURE_ANIMALS, "marten", "doc_marten")
+    ambiguous = _guarded(bank.AMBIGUOUS_ANIMALS, "fitch", "abercrombie_fitch")
+    return case_sql(
         [
             (in_listing(*all_terms(bank.ANGORA)), "EXCLUDED_ANGORA"),
-            (F.col("faux_near_fur"), "EXCLUDED_FAUX_PROXIMITY"),
-            (negated, "EXCLUDED_HARD_NEGATION"),
-            (_counter("pet_memorial") & ~strong, "EXCLUDED_PET_MEMORIAL"),
-            (_counter("sticker_decal") & ~strong, "EXCLUDED_STICKER_DECAL"),
+            ("faux_near_fur", "EXCLUDED_FAUX_PROXIMITY"),
+            (
+                _any(_NEGATED_BY_TAGS, _counter("title_negation"), _SAYS_FAUX_ONLY),
+                "EXCLUDED_HARD_NEGATION",
+            ),
+            (_all(_counter("pet_memorial"), weak), "EXCLUDED_PET_MEMORIAL"),
+            (_all(_counter("sticker_decal"), weak), "EXCLUDED_STICKER_DECAL"),
             (
-                _counter("fursuit_title") & ~strong & ~F.col("tags_say_real"),
+                _all(_counter("fursuit_title"), weak, "(NOT tags_say_real)"),
                 "EXCLUDED_FURSUIT",
             ),
             (
-                _fur_term(*bank.TAXIDERMY_RULES) & (sure | ambiguous) & ~strong,
+                _all(_fur_term(*bank.TAXIDERMY_RULES), _any(sure, ambiguous), weak),
                 "TAXIDERMY_FUR_ANIMAL",
             ),
-            (in_title(*terms(bank.EXPLICIT_CLAIMS)) & ~byproduct, "EXPLICIT_FUR_DECLARATION"),
-            (sure & context, "TIER1_WITH_FUR_CONTEXT"),
+            (
+                _all(in_title(*terms(bank.EXPLICIT_CLAIMS)), no_byproduct),
+                "EXPLICIT_FUR_DECLARATION",
+            ),
+            (_all(sure, context), "TIER1_WITH_FUR_CONTEXT"),
             (sure, "TIER1_STANDALONE"),
-            (ambiguous & context, "TIER2_WITH_FUR_CONTEXT"),
+            (_all(ambiguous, context), "TIER2_WITH_FUR_CONTEXT"),
             (_fur_term(*bank.SEAL_RULES), "SEAL_COMPOUND"),
-            (strong & ~byproduct, "FUR_PRODUCT_TERM_ONLY"),
+            (_all(strong, no_byproduct), "FUR_PRODUCT_TERM_ONLY"),
         ],
         "NO_MATCH",
     )
@@ -218,46 +234,45 @@ def is_positive() -> Column:
     return F.col("match_rule").isin(*POSITIVE_RULES)
 
 
-def fired_rules() -> dict[str, dict[str, Column]]:
+def fired_rules() -> dict[str, dict[str, str]]:
     """Every named rule as a test, by list, in the order the lists show them."""
-    sure = {rule: in_title(*terms(t)) for rule, t in bank.SURE_ANIMALS.items()}
-    ambiguous = {rule: _ambiguous(rule) for rule in bank.AMBIGUOUS_ANIMALS}
-    context = {rule: _fur_term(rule) for rule in bank.FUR_TERMS}
     title_negation, *other_counters = bank.TITLE_COUNTERS
-    negation = {
-        "angora": in_listing(*all_terms(bank.ANGORA)),
-        "tag_negation": _holds("tag_terms", _TAG_VOCABULARY),
-        title_negation: _counter(title_negation),
-        "faux_proximity": F.col("faux_near_fur"),
-        "desc_faux_fur": F.col("says_faux"),
-        "desc_real_fur": F.col("says_real"),
-        **{rule: _counter(rule) for rule in other_counters},
-    }
-    material = {rule: in_listing(*terms(t)) for rule, t in bank.MATERIALS.items()}
-    material |= {rule: in_listing(*terms(t)) for rule, t in bank.BYPRODUCTS.items()}
     return {
-        "tier1_animals": sure,
-        "tier2_animals": ambiguous,
-        "fur_context": context,
-        "negation_terms": negation,
-        "context_terms": material,
+        "tier1_animals": {
+            rule: in_title(*terms(listed)) for rule, listed in bank.SURE_ANIMALS.items()
+        },
+        "tier2_animals": {rule: _ambiguous(rule) for rule in bank.AMBIGUOUS_ANIMALS},
+        "fur_context": {rule: _fur_term(rule) for rule in bank.FUR_TERMS},
+        "negation_terms": {
+            "angora": in_listing(*all_terms(bank.ANGORA)),
+            "tag_negation": _NEGATED_BY_TAGS,
+            title_negation: _counter(title_negation),
+            "faux_proximity": "faux_near_fur",
+            "desc_faux_fur": "says_faux",
+            "desc_real_fur": "says_real",
+            **{rule: _counter(rule) for rule in other_counters},
+        },
+        "context_terms": {
+            rule: in_listing(*terms(listed))
+            for rule, listed in (bank.MATERIALS | bank.BYPRODUCTS).items()
+        },
     }
 
 
 def matched_terms() -> dict[str, Column]:
     """The five comma lists shown with a result; NULL when nothing matched."""
     shown = fired_rules()
-    shown["tier1_animals"]["marten"] &= ~_counter("doc_marten")
-    shown["fur_context"][bank.HIDE_RULE] &= _ambiguous("kangaroo")
-    shown["negation_terms"]["desc_faux_fur"] = _says_faux_only()
+    shown["tier1_animals"]["marten"] = _all(
+        in_title(*terms(bank.SURE_ANIMALS["marten"])), _not(_counter("doc_marten"))
+    )
+    shown["fur_context"][bank.HIDE_RULE] = _KANGAROO_HIDE
+    shown["negation_terms"]["desc_faux_fur"] = _SAYS_FAUX_ONLY
     del shown["negation_terms"]["desc_real_fur"]
-    return {
-        f"matched_{name}": F.nullif(
-            F.concat_ws(", ", *[F.when(test, F.lit(rule)) for rule, test in rules.items()]),
-            F.lit(""),
-        )
-        for name, rules in shown.items()
-    }
+    lists = {}
+    for name, rules in shown.items():
+        names = ", ".join(f"IF({test}, '{rule}', NULL)" for rule, test in rules.items())
+        lists[f"matched_{name}"] = F.expr(f"nullif(concat_ws(', ', {names}), '')")
+    return lists
 
 
 def _suppressed(profile: Profile) -> Column:
@@ -275,33 +290,33 @@ def _suppressed(profile: Profile) -> Column:
 
 def emitted(classified: DataFrame, profile: Profile) -> DataFrame:
     """Classified listings that are reported."""
-    return classified.filter(F.col("match_rule").isin(*EMITTED_RULES) & ~_suppressed(profile))
+    return classified.filter(F.expr(_EMITTED) & ~_suppressed(profile))
 
 
 # Confidence tiers; the word after the number is the band.
 def confidence_tier() -> Column:
-    rule = F.col("match_rule")
-    tier2 = rule == "TIER2_WITH_FUR_CONTEXT"
-    category = F.col("top_category")
-    rabbit = tier2 & _ambiguous("rabbit")
-    return first_match(
+    tier2 = "match_rule = 'TIER2_WITH_FUR_CONTEXT'"
+    rabbit = _all(tier2, _ambiguous("rabbit"))
+    return case_sql(
         [
             (_fur_term("auction brand"), "01_HIGH_auction_brand"),
-            (rule == "EXPLICIT_FUR_DECLARATION", "02_HIGH_explicit_declaration"),
-            (tier2 & (_ambiguous("fox") | _ambiguous("mink")), "03_HIGH_fox_mink"),
+            ("match_rule = 'EXPLICIT_FUR_DECLARATION'", "02_HIGH_explicit_declaration"),
+            (_all(tier2, _any(_ambiguous("fox"), _ambiguous("mink"))), "03_HIGH_fox_mink"),
             (_fur_term("non-english fur"), "04_HIGH_non_english"),
-            (rule == "TIER1_WITH_FUR_CONTEXT", "05_HIGH_tier1_with_context"),
-            (rule == "TIER1_STANDALONE", "06_HIGH_tier1_standalone"),
+            ("match_rule = 'TIER1_WITH_FUR_CONTEXT'", "05_HIGH_tier1_with_context"),
+            ("match_rule = 'TIER1_STANDALONE'", "06_HIGH_tier1_standalone"),
             (
-                rabbit & category.isin("clothing", "accessories", "bags_and_purses"),
+                _all(rabbit, "top_category IN ('clothing', 'accessories', 'bags_and_purses')"),
                 "07_HIGH_rabbit_sampled_cats",
             ),
             (rabbit, "08_MEDIUM_rabbit_other_cats"),
             (
-                tier2 & category.isin("clothing", "accessories", "craft_supplies_and_tools"),
+                _all(
+                    tier2, "top_category IN ('clothing', 'accessories', 'craft_supplies_and_tools')"
+                ),
                 "09_MEDIUM_unsampled_tier2_reviewed",
             ),
-            (rule == "FUR_PRODUCT_TERM_ONLY", "10_REVIEW_fur_product_term_only"),
+            ("match_rule = 'FUR_PRODUCT_TERM_ONLY'", "10_REVIEW_fur_product_term_only"),
             (tier2, "11_REVIEW_unsampled_tier2_other"),
         ],
         "OTHER",
@@ -366,7 +381,7 @@ def screen_listings(
             *[column.alias(name) for name, column in matched_terms().items()],
             "match_rule",
             is_positive().alias("is_fur_trade"),
-            in_title(*terms(bank.VINTAGE_TERMS)).alias("is_vintage"),
+            F.expr(in_title(*terms(bank.VINTAGE_TERMS))).alias("is_vintage"),
             confidence_tier().alias("confidence_tier"),
         )
         .withColumn("confidence_band", band_of(F.col("confidence_tier")))
@@ -377,15 +392,13 @@ def screen_listings(
 def rule_counts(listings: DataFrame, tags: DataFrame, taxonomy: DataFrame) -> DataFrame:
     """How many candidates each named rule fired on."""
     found = find_terms(catalogue_candidates(listings, tags, taxonomy))
-    fired = [
-        F.struct(
-            F.lit(group).alias("rule_group"), F.lit(rule).alias("rule"), test.alias("hit")
-        )
+    fired = ", ".join(
+        f"struct('{group}' AS rule_group, '{rule}' AS rule, {test} AS hit)"
         for group, rules in fired_rules().items()
         for rule, test in rules.items()
-    ]
+    )
     return (
-        found.select(F.inline(F.array(*fired)))
+        found.select(F.expr(f"inline(array({fired}))"))
         .groupBy("rule_group", "rule")
         .agg(F.count_if("hit").alias("listings"))
     )
