@@ -200,23 +200,25 @@ def review_gap(
                 "in_scope_policy"
             ),
         )
+    any_review = seen.select("listing_id").distinct().withColumn("any_review", F.lit(True))
     high = (
         screened.filter((F.col("confidence_band") == "HIGH") & F.col("listing_id").isNotNull())
         .select("listing_id", "user_id", "reactivated_date")
         .join(view.select("listing_id", "is_active"), "listing_id", "left")
+        .join(any_review, "listing_id", "left")
         .repartition("listing_id", "user_id")
     )
-    # Nothing moves below the generator, so both branches below read the same
-    # shuffle and the screening runs once.
-    carried = {name: F.col(name) for name in ("user_id", "reactivated_date", "is_active")}
-    high = computed_once(high, ["listing_id"], **carried)
+    # Filters on generated columns stay above the generator, so both branches
+    # below read the same shuffle and the screening runs once.
+    carried = ("user_id", "reactivated_date", "is_active", "any_review")
+    high = computed_once(high, ["listing_id"], **{name: F.col(name) for name in carried})
     # An outer join could not split the reviews of one listing over tasks; an
-    # inner join can, and listings without any review come from the anti join.
+    # inner join can, and listings without any review are added.
     outdated = high.join(seen, "listing_id").filter(
         F.col("latest_review_date").isNull()
         | (F.col("reactivated_date") > F.col("latest_review_date"))
     )
-    unseen = high.join(seen.select("listing_id"), "listing_id", "left_anti")
+    unseen = high.filter(F.col("any_review").isNull())
     both = outdated.unionByName(unseen, allowMissingColumns=True)
     return both.select(
         "listing_id",
