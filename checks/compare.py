@@ -40,6 +40,25 @@ def duckdb_rows(connection: duckdb.DuckDBPyConnection, sql: str) -> tuple[list[s
     return [names[i] for i in order], rows
 
 
+KINDS = {
+    "bigint": "BIGINT",
+    "int": "INTEGER",
+    "double": "DOUBLE",
+    "string": "VARCHAR",
+    "boolean": "BOOLEAN",
+    "date": "DATE",
+}
+
+
+def type_differences(
+    df: DataFrame, connection: duckdb.DuckDBPyConnection, sql: str
+) -> list[str]:
+    """Columns whose types differ between a query and its twin."""
+    theirs = {row[0]: str(row[1]) for row in connection.execute(f"DESCRIBE {sql}").fetchall()}
+    ours = {name: KINDS.get(kind, kind) for name, kind in df.dtypes}
+    return [f"{n}: {ours[n]} against {theirs.get(n)}" for n in ours if ours[n] != theirs.get(n)]
+
+
 def differences(df: DataFrame, connection: duckdb.DuckDBPyConnection, sql: str) -> list[str]:
     """What differs between a query and its twin; empty when they agree."""
     ours, theirs = spark_rows(df), duckdb_rows(connection, sql)

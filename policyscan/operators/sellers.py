@@ -19,13 +19,22 @@ def known_sellers(flagged: DataFrame, master: DataFrame) -> DataFrame:
 
 
 def known_seller_listings(flagged: DataFrame, master: DataFrame) -> DataFrame:
-    """Every listing of a seller with a flagged listing, and whether it is flagged."""
+    """Every listing of a seller with a flagged listing."""
+    listings = master.select("listing_id", F.col("user_id").alias("seller_user_id"), "state")
+    return listings.join(known_sellers(flagged, master), "seller_user_id", "left_semi")
+
+
+def unflagged_listings(flagged: DataFrame, master: DataFrame) -> DataFrame:
+    """The listings of known sellers that are not flagged."""
+    return known_seller_listings(flagged, master).join(
+        flagged.select("listing_id"), "listing_id", "left_anti"
+    )
+
+
+def with_flagged_marker(listings: DataFrame, flagged: DataFrame) -> DataFrame:
     marker = flagged.select("listing_id").distinct().withColumn("hit", F.lit(True))
     return (
-        master.select("listing_id", F.col("user_id").alias("seller_user_id"), "state")
-        .join(known_sellers(flagged, master), "seller_user_id", "left_semi")
-        .join(marker, "listing_id", "left")
-        .select(
-            "listing_id", "seller_user_id", "state", F.col("hit").isNotNull().alias("is_flagged")
-        )
+        listings.join(marker, "listing_id", "left")
+        .withColumn("was_flagged", F.col("hit").isNotNull())
+        .drop("hit")
     )

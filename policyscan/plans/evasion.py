@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from policyscan.functions.buckets import first_match
 from policyscan.functions.text import computed_once, has_word
 from policyscan.operators.edits import of_listings, per_listing_day, retitled, with_timing
-from policyscan.operators.sellers import known_seller_listings
+from policyscan.operators.sellers import unflagged_listings
 from policyscan.rules import bank
 
 
@@ -89,9 +89,8 @@ def unflagged_evasion_monthly(
         .groupBy("listing_id", "evasion_type", "change_month")
         .agg(F.count("*").alias("edits"))
     )
-    unflagged = known_seller_listings(flagged, master).filter(~F.col("is_flagged"))
     return (
-        months.join(unflagged, "listing_id")
+        months.join(unflagged_listings(flagged, master), "listing_id")
         .groupBy("evasion_type", "change_month")
         .agg(
             # A listing has one row per type and month, so rows are listings here.
@@ -107,10 +106,9 @@ def unflagged_evasion_detail(
     edits: DataFrame, flagged: DataFrame, master: DataFrame, ordered: bool = False
 ) -> DataFrame:
     """The edits towards neutral on unflagged listings of known sellers."""
-    unflagged = known_seller_listings(flagged, master).filter(~F.col("is_flagged"))
     detail = (
         _evading(edits, "real_to_neutral")
-        .join(unflagged, "listing_id")
+        .join(unflagged_listings(flagged, master), "listing_id")
         .select("listing_id", "seller_user_id", "change_month", "title_before", "title_after")
     )
     return detail.orderBy("change_month", "seller_user_id", "listing_id") if ordered else detail

@@ -15,7 +15,7 @@ from policyscan.operators.reactivations import (
     reactivations,
     risky_reactivations,
 )
-from policyscan.operators.sellers import known_seller_listings
+from policyscan.operators.sellers import known_seller_listings, with_flagged_marker
 from policyscan.plans.screen import (
     REACTIVATED,
     candidates,
@@ -40,9 +40,7 @@ SCREENED_COLUMNS = (
 def watched_listings(flagged: DataFrame, master: DataFrame) -> DataFrame:
     """Listings of known sellers that are on sale today."""
     on_sale = known_seller_listings(flagged, master).filter(F.col("state") == ACTIVE)
-    return on_sale.select(
-        "listing_id", "seller_user_id", F.col("is_flagged").alias("was_flagged")
-    )
+    return with_flagged_marker(on_sale.select("listing_id", "seller_user_id"), flagged)
 
 
 def with_change_counts(listings: DataFrame, edits: DataFrame, flagged: DataFrame) -> DataFrame:
