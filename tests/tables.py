@@ -1,0 +1,63 @@
+"""Small contract tables for tests."""
+
+from __future__ import annotations
+
+import datetime as dt
+
+from pyspark.sql import DataFrame, SparkSession
+
+from policyscan.sources.tables import CONTRACTS
+
+DAY0 = dt.datetime(2020, 1, 1)
+
+
+def schema_of(table: str) -> str:
+    kinds = {name: kind or "bigint" for name, kind in CONTRACTS[table].items()}
+    return ", ".join(f"{name} {kind}" for name, kind in kinds.items())
+
+
+def listings(spark: SparkSession, cases: list[dict]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Active listings, tags and paths for screening cases, numbered from 1."""
+    active, tags, paths = [], [], []
+    for number, case in enumerate(cases, 1):
+        active.append(
+            (
+                number, 1, 1, case["title"], case.get("description"), 1, case.get("category"),
+                1.0, 1, "made", 1.0, case.get("digital"), (case.get("pod"),),
+            )
+        )
+        if case.get("tags") is not None:
+            tags.append((number, case["tags"]))
+        if case.get("path") is not None:
+            paths.append((number, case["path"]))
+    return (
+        spark.createDataFrame(active, schema_of("active_listings")),
+        spark.createDataFrame(tags, schema_of("listing_tags")),
+        spark.createDataFrame(paths, schema_of("listing_taxonomy")),
+    )
+
+
+def entry(listing, day, seq=0, title=("a", "a"), desc=("d", "d"), state=(0, 0), hour=0):
+    """One change log row; pairs are before and after."""
+    when = DAY0 + dt.timedelta(days=day, hours=hour)
+    before, after = zip(title, desc, state)
+    return (when, seq, (listing, *before), (listing, *after))
+
+
+def change_log(spark: SparkSession, rows: list[tuple]) -> DataFrame:
+    return spark.createDataFrame(rows, schema_of("change_log"))
+
+
+def ids(spark: SparkSession, *numbers: int) -> DataFrame:
+    return spark.createDataFrame([(n,) for n in numbers], schema_of("flagged"))
+
+
+def master(spark: SparkSession, rows: list[tuple]) -> DataFrame:
+    """Rows of (listing_id, user_id, state)."""
+    return spark.createDataFrame([(*row, None) for row in rows], schema_of("listings"))
+
+
+def reviewed(spark: SparkSession, rows: dict[int, int]) -> DataFrame:
+    """First review per listing, as days after ``DAY0``."""
+    data = [(n, (DAY0 + dt.timedelta(days=d)).date()) for n, d in rows.items()]
+    return spark.createDataFrame(data, "listing_id bigint, first_review_date date")

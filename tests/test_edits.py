@@ -1,0 +1,163 @@
+"""Edit timing, numbering and classification on hand-made logs."""
+
+from __future__ import annotations
+
+import datetime as dt
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from policyscan.operators import edits as E
+from policyscan.plans import changes, evasion, words
+from tests import tables as t
+
+SINCE = t.DAY0.date()
+
+
+def timed(spark, rows, reviews, flagged):
+    log = t.change_log(spark, rows)
+    return t.ids(spark, *flagged), E.content_edits(log, SINCE), t.reviewed(spark, reviews)
+
+
+def test_changed_flags_follow_three_valued_logic(spark):
+    rows = [
+        t.entry(1, 1, title=(None, "x"), desc=("a", "b")),
+        t.entry(2, 1, title=(None, "x"), desc=("a", "a")),
+        t.entry(3, -1, title=("a", "b")),
+        t.entry(None, 1, title=("a", "b")),
+    ]
+    edits = E.content_edits(t.change_log(spark, rows), SINCE).collect()
+    by_id = {e.listing_id: e for e in edits}
+    assert set(by_id) == {1, None}
+    assert by_id[1].title_changed is None and by_id[1].title_after is None
+    assert by_id[1].desc_changed and by_id[1].desc_after == "b"
+
+
+def test_summary_uses_first_edit_and_all_flags(spark):
+    rows = [
+        t.entry(1, 5, title=("a", "b")),
+        t.entry(1, 9, desc=("a", "b")),
+        t.entry(2, 10, title=("a", "b")),
+        t.entry(3, 4, desc=("a", "b")),
+        t.entry(9, 4, title=("a", "b")),
+    ]
+    flagged, edits, reviewed = timed(spark, rows, {1: 7, 2: 10, 4: 1}, [1, 2, 3, 4])
+    summary = changes.change_timing_summary(flagged, edits, reviewed).cache()
+    got = {r.listing_id: r for r in summary.collect()}
+    assert got[1].change_timing == "changed_before_review" and got[1].days_vs_review == -2
+    assert got[1].title_changed and got[1].desc_changed
+    assert got[2].change_timing == "changed_after_review" and got[2].days_vs_review == 0
+    assert got[3].change_timing == "changed_never_reviewed"
+    assert got[4].change_timing == "no_change" and got[4].title_changed is None
+    segments = {r.change_timing: r for r in changes.segment_summary(summary).collect()}
+    assert sum(r.listings for r in segments.values()) == 4
+    assert segments["no_change"].pct_of_listings == 25.0
+
+
+@pytest.mark.parametrize("slot", ["HOUR", "DAY", "MONTH"])
+@pytest.mark.parametrize("broadcast", ["10MB", "-1"])
+def test_numbering_of_a_listing_with_most_of_the_log(spark, slot, broadcast):
+    rng = random.Random(3)
+    rows = []
+    for seq in range(900):
+        listing = 1 if rng.random() < 0.4 else rng.randrange(2, 60)
+        rows.append(
+            t.entry(listing, rng.randrange(40), seq, desc=("a", str(seq)), hour=rng.randrange(3))
+        )
+    rng.shuffle(rows)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+    try:
+        edits = E.content_edits(t.change_log(spark, rows), SINCE)
+        numbered = E.numbered_with_timing(edits, t.reviewed(spark, {1: 20}), slot=slot)
+        got = {(r.listing_id, r.event_seq): r.change_num for r in numbered.collect()}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    expected, seen = {}, {}
+    for when, seq, before, _ in sorted(rows, key=lambda r: (r[0], r[1])):
+        seen[before[0]] = seen.get(before[0], 0) + 1
+        expected[before[0], seq] = seen[before[0]]
+    assert got == expected
+
+
+def test_histograms_cover_all_edges(spark):
+    days = [-31, -30, -15, -14, -8, -7, -1, 0, 1, 7, 8, 14, 15, 30, 31]
+    rows = [t.entry(1, 100 + d, i, desc=("a", "b")) for i, d in enumerate(days)]
+    rows.append(t.entry(2, 100, 99, desc=("a", "b")))
+    flagged, edits, reviewed = timed(spark, rows, {1: 100}, [1, 2])
+    by_label = {
+        r.days_bucket: r.total_edits
+        for r in changes.timing_vs_review(flagged, edits, reviewed).collect()
+    }
+    assert by_label == {
+        "< -30 days": 1,
+        "-30 to -15 days": 2,
+        "-14 to -8 days": 2,
+        "-7 to -1 days": 2,
+        "same day as review": 1,
+        "+1 to +7 days": 2,
+        "+8 to +14 days": 2,
+        "+15 to +30 days": 2,
+        "> +30 days": 1,
+        "N/A (never reviewed)": 1,
+    }
+    launch = (t.DAY0 + dt.timedelta(days=100)).date()
+    got = changes.timing_vs_launch(flagged, edits, reviewed, launch).collect()
+    launch_day = {r.change_timing: r.total_edits for r in got if r.days_from_launch == "launch day"}
+    assert launch_day == {"changed_after_review": 1, "changed_never_reviewed": 1}
+
+
+EDITS = [
+    ("Real Fox Tail", "Upcycled Tail", "real_to_neutral", True),
+    ("Real Fox Fur Hood", "Faux Fur Hood", "real_to_faux", False),
+    ("Fox Collar", "Faux Collar", "real_to_faux", True),
+    ("Natural Collar", "Natural Scarf", "real_to_neutral", True),
+    ("Faux Hat", "Faux Cap", "real_to_faux", False),
+    ("Real Bag", "Genuine Bag", "other_change", False),
+    ("Wool Hat", "Wool Cap", "other_change", False),
+    (None, "Fox Hat", None, False),
+]
+
+
+def test_evasion_types_and_detail(spark):
+    rows = [t.entry(i, 1, i, title=(b, a), desc=("a", "b")) for i, (b, a, _, _) in enumerate(EDITS)]
+    flagged, edits, reviewed = timed(spark, rows, {}, range(len(EDITS)))
+    types = {r.listing_id: r.evasion_type for r in evasion.with_evasion_type(edits).collect()}
+    assert types == {i: kind for i, (_, _, kind, _) in enumerate(EDITS) if kind}
+    history = changes.change_history(flagged, edits, reviewed)
+    detail = {r.listing_id for r in evasion.evasion_detail(history, ordered=True).collect()}
+    assert detail == {i for i, (_, _, _, listed) in enumerate(EDITS) if listed}
+
+
+def test_unflagged_evasion_counts_other_listings_of_known_sellers(spark):
+    away = ("Fox Collar", "Plain Collar")
+    rows = [t.entry(n, n, n, title=away) for n in (1, 2, 3, 4)] + [t.entry(2, 3, 9, title=away)]
+    edits = E.content_edits(t.change_log(spark, rows), SINCE)
+    owners = t.master(spark, [(1, 7, 0), (2, 7, 0), (3, 7, 1), (4, 8, 0)])
+    row = evasion.unflagged_evasion_monthly(edits, t.ids(spark, 1), owners).collect()
+    assert [tuple(r) for r in row] == [("real_to_neutral", "2020-01", 2, 1, 3)]
+    detail = evasion.unflagged_evasion_detail(edits, t.ids(spark, 1), owners, ordered=True)
+    assert [r.listing_id for r in detail.collect()] == [2, 2, 3]
+
+
+def test_word_swaps(spark):
+    rows = [
+        t.entry(1, 1, 1, title=("Real Fox, Fox Tail", "Upcycled Tail")),
+        t.entry(2, 1, 2, title=("Real Hat", "Hat of it")),
+        t.entry(3, 1, 3, title=("Real Hat", "Hat")),
+    ]
+    flagged, edits, reviewed = timed(spark, rows, {}, [1, 2])
+    got = {
+        (r.direction, r.word): r.listings_affected
+        for r in words.word_swaps(flagged, edits, reviewed).collect()
+    }
+    assert got == {("removed", "real"): 2, ("removed", "fox"): 1, ("added", "upcycled"): 1}
+    top = words.word_swaps(flagged, edits, reviewed, top=1).collect()
+    assert [(r.direction, r.word) for r in top] == [("added", "upcycled"), ("removed", "real")]
+
+
+def test_per_day_sums_keep_every_edit(spark):
+    rows = [t.entry(1, d % 3, d, desc=("a", "b"), hour=d % 5) for d in range(30)]
+    edits = E.content_edits(t.change_log(spark, rows), SINCE)
+    days = E.per_listing_day(edits)
+    assert days.count() == 3 and days.agg(F.sum("edits")).first()[0] == 30

@@ -1,0 +1,120 @@
+"""Screening outcomes for hand-derived cases, one or more per rule."""
+
+from __future__ import annotations
+
+import pytest
+
+from policyscan.plans import screen
+from policyscan.rules import bank
+from tests.tables import listings
+
+CLOTHING = "clothing.jackets_and_coats"
+
+
+def case(title, rule, tier=None, **fields):
+    return dict(title=title, rule=rule, tier=tier, **fields)
+
+
+CASES = [
+    case("Real Fox Fur Coat", "TIER2_WITH_FUR_CONTEXT", "03_HIGH_fox_mink"),
+    case("Real Fur Coat", "EXPLICIT_FUR_DECLARATION", "02_HIGH_explicit_declaration"),
+    case("Faux Fox Fur Hat", "EXCLUDED_FAUX_PROXIMITY"),
+    case("Vegan Leather Fox Bag", "EXCLUDED_FAUX_PROXIMITY"),
+    case("Synthetic Large Grey Fox Fur Tail", "EXCLUDED_HARD_NEGATION"),
+    case("Fox Fur Hat", "EXCLUDED_HARD_NEGATION", tags="polyester"),
+    case("Fox Fur Hat", "EXCLUDED_HARD_NEGATION", description="made of faux fur"),
+    case("Fox Fur Hat", "TIER2_WITH_FUR_CONTEXT", "03_HIGH_fox_mink", description="not faux fur, real fur"),
+    case("Fox Fur Hat", "EXCLUDED_HARD_NEGATION", description="x " * 20000 + "faux fur"),
+    case("Angora Rabbit Fur Hat", "EXCLUDED_ANGORA"),
+    case("Rabbit Urn Memorial", "EXCLUDED_PET_MEMORIAL", tags="fur"),
+    case("Fox Sticker", "EXCLUDED_STICKER_DECAL", tags="fur"),
+    case("Wolf Fursuit Tail", "EXCLUDED_FURSUIT", tags="fur"),
+    case("Wolf Fursuit Tail", "TIER2_WITH_FUR_CONTEXT", "11_REVIEW_unsampled_tier2_other", tags="real fur", category="toys"),
+    case("Fox Taxidermy Mount", "TAXIDERMY_FUR_ANIMAL"),
+    case("Fox Pelt Taxidermy", "TIER2_WITH_FUR_CONTEXT", "03_HIGH_fox_mink"),
+    case("Marten Pelt", "TIER1_WITH_FUR_CONTEXT", "05_HIGH_tier1_with_context"),
+    case("Vintage Ermine Cape", "TIER1_STANDALONE", "06_HIGH_tier1_standalone", path=CLOTHING),
+    case("Vintage Ermine Cape", "TIER1_STANDALONE", path="jewelry.necklaces"),
+    case("Vintage Ermine Cape", "TIER1_STANDALONE"),
+    case("Rabbit Fur Scarf", "TIER2_WITH_FUR_CONTEXT", "07_HIGH_rabbit_sampled_cats", category="clothing"),
+    case("Rabbit Fur Scarf", "TIER2_WITH_FUR_CONTEXT", "08_MEDIUM_rabbit_other_cats", category="home_and_living"),
+    case("Rabbit Fur Scarf", "TIER2_WITH_FUR_CONTEXT", "08_MEDIUM_rabbit_other_cats"),
+    case("Raccoon Fur Trim Hood", "TIER2_WITH_FUR_CONTEXT", "09_MEDIUM_unsampled_tier2_reviewed", category="craft_supplies_and_tools"),
+    case("Racccoon Fur Trim Hood", "TIER2_WITH_FUR_CONTEXT", "11_REVIEW_unsampled_tier2_other", category="toys"),
+    case("Sealskin Boots", "SEAL_COMPOUND"),
+    case("Vintage Fur Collar", "FUR_PRODUCT_TERM_ONLY", "10_REVIEW_fur_product_term_only"),
+    case("Vintage Fur Sheepskin Collar", "NO_MATCH"),
+    case("Real Fur Sheepskin Rug", "NO_MATCH"),
+    case("Doc Marten Leather Boots", "NO_MATCH"),
+    case("Abercrombie Fitch Fur Vest", "NO_MATCH"),
+    case("Van Pelt Print", "NO_MATCH"),
+    case("Kangaroo Hide Rug", "TIER2_WITH_FUR_CONTEXT", "11_REVIEW_unsampled_tier2_other", category="toys"),
+    case("Fox Hide Rug", "NO_MATCH"),
+    case("Blackglama Mink Coat", "TIER2_WITH_FUR_CONTEXT", "01_HIGH_auction_brand"),
+    case("Nerzmantel", "FUR_PRODUCT_TERM_ONLY", "04_HIGH_non_english"),
+    case("Two Minks", None),
+    case("Minks Fur Coat", "TIER2_WITH_FUR_CONTEXT", "03_HIGH_fox_mink"),
+    case("Mink Fur Picture", "TIER2_WITH_FUR_CONTEXT", path="art_and_collectibles.prints"),
+    case("Mink Fur Figure", "TIER2_WITH_FUR_CONTEXT", path="art_and_collectibles.sculpture"),
+    case("Real Fur Figure", "EXPLICIT_FUR_DECLARATION", "02_HIGH_explicit_declaration", path="art_and_collectibles.sculpture"),
+    case("Mink Fur Case", "TIER2_WITH_FUR_CONTEXT", path="electronics_and_accessories.cases"),
+    case("Fox Fur Wax Seal", None, path="craft.stamps_and_seals"),
+    case(None, "NO_MATCH", tags="mink fur"),
+    case("Foxes Fur Coat", "TIER2_WITH_FUR_CONTEXT", "03_HIGH_fox_mink", category="toys"),
+    case("Fox Fur Hat", None, digital=1),
+    case("Fox Fur Hat", None, pod=1),
+    case("Upcycled Tail", None),
+]
+
+
+@pytest.fixture(scope="module")
+def tables(spark):
+    return [df.cache() for df in listings(spark, CASES)]
+
+
+def test_match_rules(tables):
+    rows = screen.diagnose_listings(*tables).collect()
+    rules = {row.listing_id: row.match_rule for row in rows}
+    expected = {i: c["rule"] for i, c in enumerate(CASES, 1) if c["rule"]}
+    assert rules == expected
+    for row in rows:
+        assert row.is_fur_trade == (row.match_rule in screen.POSITIVE_RULES)
+
+
+def test_reported_tiers_and_bands(tables):
+    rows = screen.screen_listings(*tables, ordered=True).collect()
+    assert {r.listing_id: r.confidence_tier for r in rows} == {
+        i: c["tier"] for i, c in enumerate(CASES, 1) if c["tier"]
+    }
+    for row in rows:
+        assert row.confidence_tier.split("_")[1] == row.confidence_band
+
+
+def test_matched_terms(spark):
+    texts = listings(
+        spark,
+        [
+            dict(title="Abercrombie Fitch Fur Vest"),
+            dict(title="Dr Martens Marten Fur Hat, Kangaroo Skin", tags="wool, skull"),
+            dict(title="Minks Fur Coat", description="imitation fur"),
+        ],
+    )
+    rows = {r.listing_id: r for r in screen.diagnose_listings(*texts).collect()}
+    assert rows[1].matched_tier2_animals == "fitch"
+    assert rows[1].matched_negation_terms == "abercrombie_fitch"
+    assert rows[1].matched_tier1_animals is None
+    assert rows[2].matched_tier1_animals is None
+    assert rows[2].matched_fur_context == "fur, fur garment, kangaroo hide/skin, skull"
+    assert rows[2].matched_context_terms == "wool"
+    assert rows[3].matched_tier2_animals == "mink"
+    assert rows[3].matched_negation_terms == "desc_faux_fur"
+
+
+def test_bank_has_every_rule():
+    assert sum(len(rules) for rules in screen.fired_rules().values()) == 84
+
+
+def test_vocabulary_terms_are_plain():
+    for table in (bank.SURE_ANIMALS, bank.AMBIGUOUS_ANIMALS, bank.FUR_TERMS, bank.BYPRODUCTS):
+        for term in bank.all_terms(table):
+            assert term in bank.OPEN_SPELLINGS or term.replace(" ", "").isalpha()
