@@ -41,7 +41,10 @@ def change_timing_summary(
         of_listings(first_edit(edits), flagged)
         .withColumn("change_date", F.to_date("first_change_ts"))
     )
-    timed = with_timing(flagged.select("listing_id").join(first, "listing_id", "left"), reviewed)
+    timed = with_timing(
+        flagged.select("listing_id").join(first, "listing_id", "left"),
+        of_listings(reviewed, flagged),
+    )
     return timed.select(
         "listing_id",
         "first_review_date",
@@ -75,7 +78,8 @@ def change_history(
     flagged: DataFrame, edits: DataFrame, reviewed: DataFrame, ordered: bool = False
 ) -> DataFrame:
     """One row per edit of a flagged listing, numbered, with contents and timing."""
-    history = numbered_with_timing(of_listings(edits, flagged), reviewed).select(*HISTORY_COLUMNS)
+    numbered = numbered_with_timing(of_listings(edits, flagged), of_listings(reviewed, flagged))
+    history = numbered.select(*HISTORY_COLUMNS)
     return history.orderBy("listing_id", "change_num") if ordered else history
 
 
@@ -94,7 +98,9 @@ def _histogram(days: DataFrame, distance: Column, label: Column, name: str) -> D
 
 def timing_vs_review(flagged: DataFrame, edits: DataFrame, reviewed: DataFrame) -> DataFrame:
     """Edits of flagged listings by distance to the listing's first review."""
-    days = with_timing(of_listings(per_listing_day(edits), flagged), reviewed)
+    days = with_timing(
+        of_listings(per_listing_day(edits), flagged), of_listings(reviewed, flagged)
+    )
     distance = F.col("days_vs_review")
     return _histogram(days, distance, AROUND_REVIEW.label(distance), "days_bucket")
 
@@ -103,6 +109,8 @@ def timing_vs_launch(
     flagged: DataFrame, edits: DataFrame, reviewed: DataFrame, launch: dt.date
 ) -> DataFrame:
     """Edits of flagged listings by distance to the day enforcement began."""
-    days = with_timing(of_listings(per_listing_day(edits), flagged), reviewed)
+    days = with_timing(
+        of_listings(per_listing_day(edits), flagged), of_listings(reviewed, flagged)
+    )
     distance = days_between(F.col("change_date"), F.lit(launch))
     return _histogram(days, distance, AROUND_LAUNCH.label(distance), "days_from_launch")

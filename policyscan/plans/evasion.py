@@ -43,7 +43,7 @@ def evasion_summary(flagged: DataFrame, edits: DataFrame, reviewed: DataFrame) -
     """Flagged listings and their title edits by evasion type and timing."""
     days = of_listings(per_listing_day(with_evasion_type(edits), "evasion_type"), flagged)
     return (
-        with_timing(days, reviewed)
+        with_timing(days, of_listings(reviewed, flagged))
         .groupBy("evasion_type", "change_timing")
         .agg(F.countDistinct("listing_id").alias("listings"), F.sum("edits").alias("total_edits"))
         .orderBy("evasion_type", "change_timing")

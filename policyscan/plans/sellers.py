@@ -87,7 +87,7 @@ def seller_signals(
     days = of_listings(per_listing_day(edits, **signals), flagged)
     per_listing = _listing_timing(
         days,
-        reviewed,
+        of_listings(reviewed, flagged),
         F.min("days_vs_review").alias("first_days"),
         F.max("days_vs_review").alias("last_days"),
         *[F.bool_or(name).alias(name) for name in signals],
@@ -140,7 +140,8 @@ def seller_breakdown(
     ordered: bool = False,
 ) -> DataFrame:
     """One row per seller with edited flagged listings, by timing and listing state."""
-    per_listing = _listing_timing(of_listings(per_listing_day(edits), flagged), reviewed)
+    days = of_listings(per_listing_day(edits), flagged)
+    per_listing = _listing_timing(days, of_listings(reviewed, flagged))
     owned = flagged_listings(flagged, master).filter(F.col("seller_user_id").isNotNull())
     joined = owned.join(per_listing, "listing_id", "left")
     by_timing = []
@@ -190,7 +191,7 @@ def seller_relabel_profile(
     joined = (
         flagged_listings(flagged, master)
         .join(per_listing, "listing_id")
-        .join(reviewed, "listing_id", "left")
+        .join(of_listings(reviewed, flagged), "listing_id", "left")
     )
     result = joined.groupBy("seller_user_id").agg(
         F.count("*").alias("listings_relabelled"),

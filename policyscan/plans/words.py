@@ -55,7 +55,7 @@ def word_swaps(
     )
     counted = (
         of_listings(spans, flagged)
-        .join(reviewed, "listing_id", "left")
+        .join(of_listings(reviewed, flagged), "listing_id", "left")
         .select("direction", "word", F.explode(timings).alias("change_timing"))
         .groupBy("direction", "change_timing", "word")
         .agg(F.count("*").alias("listings_affected"))

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_CONTENT = "struct<listing_id:bigint,title:string,description:string,state:int>"
+_CONTENT = {"listing_id": "bigint", "title": "string", "description": "string", "state": "int"}
 
-# Columns and types by table. ``event_seq`` is any sortable value that tells
+# Columns and types by table; a nested table is a struct. ``event_seq`` is any sortable value that tells
 # apart log entries of one listing at one instant.
 CONTRACTS = {
     "active_listings": {
@@ -23,7 +23,7 @@ CONTRACTS = {
         "how_its_made_label": "string",
         "price_usd": "double",
         "is_digital": "int",
-        "print_on_demand": "struct<is_pod:int>",
+        "print_on_demand": {"is_pod": "int"},
     },
     "listing_tags": {"listing_id": "bigint", "all_tags": "string"},
     "listing_taxonomy": {"listing_id": "bigint", "full_path": "string"},
@@ -52,12 +52,19 @@ CONTRACTS = {
 }
 
 
+def _column(path: str, kind: str | dict | None) -> Column:
+    if isinstance(kind, dict):
+        # Field by field, so that the scan reads and filters the used ones only.
+        return F.struct(*[_column(f"{path}.{name}", k).alias(name) for name, k in kind.items()])
+    return F.col(path).cast(kind) if kind else F.col(path)
+
+
 def conform(df: DataFrame, table: str, renamed: dict[str, str] | None = None) -> DataFrame:
     """Select a table's columns with their types; ``renamed`` maps contract to source names."""
     source = renamed or {}
     return df.select(
         *[
-            (F.col(source.get(name, name)).cast(kind) if kind else F.col(source.get(name, name))).alias(name)
+            _column(source.get(name, name), kind).alias(name)
             for name, kind in CONTRACTS[table].items()
         ]
     )

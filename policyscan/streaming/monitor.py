@@ -32,7 +32,8 @@ def monitor_reactivations(
     """Write every new risky reactivation of a watched listing.
 
     Rows are taken as they arrive, so a late log entry is reported late instead
-    of being missed. The checkpoint remembers how far the last run came.
+    of being missed. The checkpoint remembers how far the last run came. Pass
+    ``watched`` as a stored table when a run has many batches: each joins it anew.
     """
     alerts = watched_events(reactivations(changes, since), watched)
     return _run(alerts, "append", target, checkpoint)

@@ -11,9 +11,14 @@ from policyscan.sources.tables import CONTRACTS
 DAY0 = dt.datetime(2020, 1, 1)
 
 
+def _ddl(kind: str | dict | None) -> str:
+    if isinstance(kind, dict):
+        return f"struct<{', '.join(f'{name}: {_ddl(k)}' for name, k in kind.items())}>"
+    return kind or "bigint"
+
+
 def schema_of(table: str) -> str:
-    kinds = {name: kind or "bigint" for name, kind in CONTRACTS[table].items()}
-    return ", ".join(f"{name} {kind}" for name, kind in kinds.items())
+    return ", ".join(f"{name} {_ddl(kind)}" for name, kind in CONTRACTS[table].items())
 
 
 def listings(spark: SparkSession, cases: list[dict]) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -161,3 +161,24 @@ def test_per_day_sums_keep_every_edit(spark):
     edits = E.content_edits(t.change_log(spark, rows), SINCE)
     days = E.per_listing_day(edits)
     assert days.count() == 3 and days.agg(F.sum("edits")).first()[0] == 30
+
+
+def test_stored_history_serves_as_edits(spark, folder):
+    from checks.catalogue import _edit_inputs
+    from checks.compare import spark_rows
+    from checks.standins import StandIns
+    from policyscan.plans import sellers
+    from policyscan.sources import sinks
+
+    stand_ins = StandIns(spark, folder)
+    flagged, edits, reviewed = _edit_inputs(stand_ins)
+    target = f"{sinks.shared_folder(spark)}/history"
+    history = sinks.replace_table(changes.change_history(flagged, edits, reviewed), target)
+    for analysis in (changes.timing_vs_review, words.word_swaps, evasion.evasion_summary):
+        direct, stored = (analysis(flagged, e, reviewed) for e in (edits, history))
+        assert spark_rows(direct) == spark_rows(stored)
+    for roll_up in (sellers.seller_signals, sellers.seller_breakdown):
+        direct, stored = (
+            roll_up(flagged, stand_ins.listings(), e, reviewed) for e in (edits, history)
+        )
+        assert spark_rows(direct) == spark_rows(stored)

@@ -1,7 +1,9 @@
 from __future__ import annotations
 
 import pytest
+from pyspark.sql import functions as F
 
+from policyscan.operators.reactivations import reactivation_rollup, reactivations
 from policyscan.sources import sinks, tables
 from tests import tables as t
 
@@ -30,6 +32,24 @@ def test_conform_renames_and_casts(spark):
     assert got.dtypes == [("listing_id", "bigint")] and got.first()[0] == 7
 
 
+def test_scan_reads_used_fields_of_a_wide_log(spark, tmp_path):
+    path = str(tmp_path / "log")
+    t.change_log(spark, [t.entry(1, 1, 1, state=(1, 0))]).withColumns(
+        {
+            "before": F.col("before").withField("extra", F.lit("x")),
+            "after": F.col("after").withField("extra", F.lit("x")),
+        }
+    ).write.parquet(path)
+    log = tables.read_table(spark, "change_log", path)
+    rollup = reactivation_rollup(reactivations(log, t.DAY0.date()))
+    assert rollup.count() == 1
+    plan = rollup._jdf.queryExecution().executedPlan().toString()
+    read = plan.split("ReadSchema: ")[1].splitlines()[0]
+    assert "title" not in read and "extra" not in read and "description" not in read
+    pushed = plan.split("PushedFilters: [")[1].split("]")[0]
+    assert "event_ts" in pushed and "after.state" in pushed
+
+
 def test_shared_folder_comes_from_the_session(spark, shared):
     assert sinks.shared_folder(spark) == shared
 
