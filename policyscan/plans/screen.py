@@ -259,20 +259,41 @@ def fired_rules() -> dict[str, dict[str, str]]:
     }
 
 
+def _rules_of(found: str, table: dict[str, str]) -> str:
+    """Names of the rules that the found terms belong to, in the table's order."""
+    pairs = [(term, rule) for rule, listed in table.items() for term in terms(listed)]
+    known = f"map_from_arrays({term_array(t for t, _ in pairs)}, {term_array(r for _, r in pairs)})"
+    rules = f"transform({found}, term -> try_element_at({known}, term))"
+    return f"array_intersect({term_array(table)}, {rules})"
+
+
+def _unless(test: str, names: str, dropped: str) -> str:
+    return f"IF({test}, array_remove({names}, '{dropped}'), {names})"
+
+
 def matched_terms() -> dict[str, Column]:
     """The five comma lists shown with a result; NULL when nothing matched."""
-    shown = fired_rules()
-    shown["tier1_animals"]["marten"] = _all(
-        in_title(*terms(bank.SURE_ANIMALS["marten"])), _not(_counter("doc_marten"))
-    )
-    shown["fur_context"][bank.HIDE_RULE] = _KANGAROO_HIDE
-    shown["negation_terms"]["desc_faux_fur"] = _SAYS_FAUX_ONLY
-    del shown["negation_terms"]["desc_real_fur"]
-    lists = {}
-    for name, rules in shown.items():
-        names = ", ".join(f"IF({test}, '{rule}', NULL)" for rule, test in rules.items())
-        lists[f"matched_{name}"] = F.expr(f"nullif(concat_ws(', ', {names}), '')")
-    return lists
+    negation = fired_rules()["negation_terms"]
+    negation["desc_faux_fur"] = _SAYS_FAUX_ONLY
+    del negation["desc_real_fur"]
+    negations = ", ".join(f"IF({test}, '{rule}', NULL)" for rule, test in negation.items())
+    shown = {
+        "tier1_animals": _unless(
+            _counter("doc_marten"), _rules_of("title_terms", bank.SURE_ANIMALS), "marten"
+        ),
+        "tier2_animals": _rules_of("title_terms", bank.AMBIGUOUS_ANIMALS),
+        "fur_context": _unless(
+            _not(_ambiguous("kangaroo")), _rules_of("listing_terms", bank.FUR_TERMS), bank.HIDE_RULE
+        ),
+        "negation_terms": f"array({negations})",
+        "context_terms": "concat({}, {})".format(
+            _rules_of("listing_terms", bank.MATERIALS), _rules_of("listing_terms", bank.BYPRODUCTS)
+        ),
+    }
+    return {
+        f"matched_{name}": F.expr(f"nullif(array_join({names}, ', '), '')")
+        for name, names in shown.items()
+    }
 
 
 def _suppressed(profile: Profile) -> Column:
