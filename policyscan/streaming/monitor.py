@@ -51,12 +51,13 @@ def roll_up_reactivations(
     Entries delivered twice within ``lateness`` count once. Each batch writes
     the listings it changed; ``current_rollup`` reads the latest of them.
     """
-    known = (
-        changes.withColumn("listing_id", F.col("before.listing_id"))
-        .withWatermark("event_ts", lateness)
+    # Only reactivations are remembered, though every entry moves the watermark on.
+    events = (
+        reactivations(changes.withWatermark("event_ts", lateness), since)
+        .withColumn("listing_id", F.col("before.listing_id"))
         .dropDuplicatesWithinWatermark(["listing_id", "event_ts", "event_seq"])
     )
-    return _run(reactivation_rollup(reactivations(known, since)), "update", target, checkpoint)
+    return _run(reactivation_rollup(events), "update", target, checkpoint)
 
 
 def current_rollup(spark: SparkSession, target: str) -> DataFrame:
