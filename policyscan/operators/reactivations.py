@@ -47,9 +47,9 @@ def risky_reactivations(events: DataFrame) -> DataFrame:
     )
 
 
-def reactivation_rollup(events: DataFrame) -> DataFrame:
+def reactivation_rollup(events: DataFrame, *extra_keys: Column) -> DataFrame:
     """Per listing: first reactivation, the state before it, and how many there were."""
-    return events.groupBy(F.col("before.listing_id").alias("listing_id")).agg(
+    return events.groupBy(F.col("before.listing_id").alias("listing_id"), *extra_keys).agg(
         F.min(F.to_date("event_ts")).alias("reactivated_date"),
         F.min_by("before.state", F.struct("event_ts", "event_seq")).alias("state_before"),
         F.count("*").alias("reactivation_count"),

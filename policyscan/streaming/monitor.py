@@ -45,11 +45,13 @@ def roll_up_reactivations(
     target: str,
     checkpoint: str,
     lateness: str = "1 day",
+    period: str = "30 days",
 ) -> StreamingQuery:
     """Keep first reactivation, state before it and count per listing up to date.
 
-    Entries delivered twice within ``lateness`` count once. Each batch writes
-    the listings it changed; ``current_rollup`` reads the latest of them.
+    Entries delivered twice within ``lateness`` count once. Sums are kept per
+    listing and ``period``, and leave the state when the period is over. Each
+    batch writes the sums it changed; ``current_rollup`` puts them together.
     """
     # Only reactivations are remembered, though every entry moves the watermark on.
     events = (
@@ -57,12 +59,23 @@ def roll_up_reactivations(
         .withColumn("listing_id", F.col("before.listing_id"))
         .dropDuplicatesWithinWatermark(["listing_id", "event_ts", "event_seq"])
     )
-    return _run(reactivation_rollup(events), "update", target, checkpoint)
+    sums = reactivation_rollup(events, F.window("event_ts", period).alias("period"))
+    return _run(sums, "update", target, checkpoint)
 
 
 def current_rollup(spark: SparkSession, target: str) -> DataFrame:
     """One row per listing from the batches of ``roll_up_reactivations``."""
     batches = spark.read.parquet(target)
-    values = [c for c in batches.columns if c not in ("listing_id", "batch_id")]
-    latest = F.max_by(F.struct(*values), "batch_id").alias("latest")
-    return batches.groupBy("listing_id").agg(latest).select("listing_id", "latest.*")
+    values = ("reactivated_date", "state_before", "reactivation_count")
+    latest = batches.groupBy("listing_id", "period").agg(
+        F.max_by(F.struct(*values), "batch_id").alias("latest")
+    )
+    return (
+        latest.select("listing_id", "period.start", "latest.*")
+        .groupBy("listing_id")
+        .agg(
+            F.min("reactivated_date").alias("reactivated_date"),
+            F.min_by("state_before", "start").alias("state_before"),
+            F.sum("reactivation_count").alias("reactivation_count"),
+        )
+    )

@@ -89,13 +89,14 @@ def test_stream_in_two_runs_equals_batch(spark, inputs, tmp_path):
     assert spark_rows(spark.read.parquet(target).drop("batch_id")) == spark_rows(batch)
 
 
-def test_streamed_rollup_drops_repeated_entries(spark, inputs, tmp_path):
+@pytest.mark.parametrize("period", ["30 days", "2 days"])
+def test_streamed_rollup_drops_repeated_entries(spark, inputs, tmp_path, period):
     folder, target, state = (str(tmp_path / n) for n in ("log", "out", "state"))
     for part in (ROWS[:4], ROWS[2:]):
         t.change_log(spark, part).coalesce(1).write.mode("append").parquet(folder)
         changes = tables.stream_table(spark, "change_log", folder)
         monitor.roll_up_reactivations(
-            changes, SINCE, target, state, lateness="30 days"
+            changes, SINCE, target, state, lateness="30 days", period=period
         ).awaitTermination()
     batch = R.reactivation_rollup(R.reactivations(inputs[0], SINCE))
     assert spark_rows(monitor.current_rollup(spark, target)) == spark_rows(batch)
