@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from policyscan.llm.tables import uniform
+from policyscan.llm.tables import uniform, unused_name
 
 #: Hexadecimal digits of a hash that pick the block in which a slot is numbered.
 BLOCK_DIGITS = 3
@@ -48,13 +48,14 @@ def with_shard(
     best = F.array_min(draws)
     if grown is None:
         return df.withColumn(shard, best["shard"])
+    drawn = unused_name(df, "_drawn")
     wins = _draw(key, F.lit(n), F.lit(float(grown_weight))) < best["draw"]
     # One generated row, so that the draws are made once and not for each use.
     return (
-        df.select("*", F.explode(F.array(F.struct(best["shard"].alias("own"), F.when(wins, F.lit(n)).otherwise(best["shard"]).alias("more")))).alias("_drawn"))
-        .withColumn(shard, F.col("_drawn.own"))
-        .withColumn(grown, F.col("_drawn.more"))
-        .drop("_drawn")
+        df.select("*", F.explode(F.array(F.struct(best["shard"].alias("own"), F.when(wins, F.lit(n)).otherwise(best["shard"]).alias("more")))).alias(drawn))
+        .withColumn(shard, F.col(drawn)["own"])
+        .withColumn(grown, F.col(drawn)["more"])
+        .drop(drawn)
     )
 
 
