@@ -101,7 +101,11 @@ def plan(documents: DataFrame, how: Mixture, tokens: Column) -> Plan:
     best, budget = exponent(totals, how)
     whole = totals.agg(F.sum(F.pow(F.col("tokens").cast("double"), F.lit(best)))).first()[0] or 1.0
     weight = F.pow(F.col("tokens").cast("double"), F.lit(best)) / F.lit(whole)
-    weighted = totals.withColumn("weight", weight).withColumn("budget", F.round(F.col("weight") * F.lit(float(budget))).cast("long"))
+    share = F.round(F.col("weight") * F.lit(float(budget)))
+    if how.repetition is not None:
+        # Neither the rounded exponent nor the rounded share goes beyond the limit.
+        share = F.least(share, F.floor(F.lit(how.repetition) * F.col("tokens")))
+    weighted = totals.withColumn("weight", weight).withColumn("budget", share.cast("long"))
     sources = weighted.withColumn("epochs", F.ceil(F.col("budget") / F.col("tokens")).cast("int"))
     return Plan(materialized(sources, "weights"), best, budget, max(1, -(-budget // how.block)))
 

@@ -57,4 +57,46 @@ SELECT doc_id, size, text_crc32, 'key' AS law, shard,
   ) - 1 AS slot,
   grown_shard
 FROM grown""",
+    "op3_temperature_mixture": r"""
+WITH measured AS (
+  SELECT doc_id, source,
+    CAST(greatest(1, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)) AS BIGINT) AS tokens
+  FROM documents
+),
+totals AS (SELECT source, CAST(sum(tokens) AS BIGINT) AS total FROM measured GROUP BY source),
+ends AS (SELECT max(total)::DOUBLE AS most, min(total)::DOUBLE AS least FROM totals),
+tempered AS (
+  SELECT most, CASE WHEN most <= 2 * least THEN 0.0 ELSE round(1 - ln(2) / ln(most / least), 6) END AS e FROM ends
+),
+sized AS (
+  SELECT any_value(e) AS e, sum(pow(total::DOUBLE, e)) AS whole,
+    ceil(any_value(most) * sum(exp(ln(total / most) * e))) AS budget
+  FROM totals, tempered
+),
+weights AS (
+  SELECT source, total, CAST(budget AS BIGINT) AS whole_budget,
+    CAST(least(round(pow(total::DOUBLE, e) / whole * budget), floor(2.0 * total)) AS BIGINT) AS budget
+  FROM totals, sized
+),
+parts AS (SELECT greatest(1, (any_value(whole_budget) + 1048575) // 1048576) AS n FROM weights),
+used AS (
+  SELECT doc_id, m.source, tokens, total, budget,
+    CAST(unnest(range(CAST(ceil(budget / total::DOUBLE) AS BIGINT))) AS INTEGER) AS epoch
+  FROM measured m JOIN weights w ON m.source IS NOT DISTINCT FROM w.source
+),
+ranked AS (
+  SELECT *, md5('0:' || epoch || ':' || coalesce(doc_id::VARCHAR, 'null')) AS rank FROM used
+),
+started AS (
+  SELECT *, CAST(epoch * total + sum(tokens) OVER (
+      PARTITION BY source, epoch ORDER BY rank, doc_id, tokens ROWS UNBOUNDED PRECEDING) - tokens AS BIGINT) AS start
+  FROM ranked
+),
+placed AS (
+  SELECT *, CAST(least(floor(start::DOUBLE * n / budget), n - 1) AS BIGINT) AS block
+  FROM started, parts WHERE start < budget
+)
+SELECT doc_id, source, epoch, tokens, start, block,
+  CAST(row_number() OVER (PARTITION BY block ORDER BY md5(rank || ':0'), source, doc_id, tokens) - 1 AS INTEGER) AS slot
+FROM placed""",
 }
