@@ -28,6 +28,13 @@ def reactivations(
     return events if until is None else events.filter(F.col("event_ts") < since_bound(until))
 
 
+def one_day(as_of: dt.datetime | dt.date) -> tuple[dt.datetime, dt.datetime]:
+    """The window ``[as_of - 1 day, as_of)`` of a daily run; a date is its midnight."""
+    if not isinstance(as_of, dt.datetime):
+        as_of = dt.datetime(as_of.year, as_of.month, as_of.day)
+    return as_of - dt.timedelta(days=1), as_of
+
+
 def signal_strength(title: Column) -> Column:
     fur = has_word(title, bank.FUR_OR_SPECIES_WORDS)
     claim = has_word(title, bank.EVIDENT_CLAIM_WORDS)

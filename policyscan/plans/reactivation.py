@@ -11,6 +11,7 @@ from policyscan.functions.listing import ACTIVE, days_between, prior_state
 from policyscan.functions.text import computed_once
 from policyscan.operators.edits import of_listings
 from policyscan.operators.reactivations import (
+    one_day,
     reactivation_rollup,
     reactivations,
     risky_reactivations,
@@ -26,6 +27,7 @@ from policyscan.plans.screen import (
     sellable,
     simple_band,
 )
+from policyscan.sources import sinks
 
 SCREENED_COLUMNS = (
     "listing_id",
@@ -72,7 +74,7 @@ def reactivation_summary(
             F.count("*").alias("listings"),
             F.countDistinct("seller_user_id").alias("sellers"),
         )
-        .orderBy(F.desc("was_flagged"), F.desc("listings"))
+        .orderBy(F.desc("was_flagged"), F.desc("listings"), "came_from_state", "fur_signal_strength")
     )
 
 
@@ -99,7 +101,9 @@ def reactivation_detail(
         "had_changes",
         "change_count",
     )
-    return detail.orderBy(F.desc("reactivated_date")) if ordered else detail
+    if not ordered:
+        return detail
+    return detail.orderBy(F.desc("reactivated_date"), "listing_id", "came_from_state", "current_title")
 
 
 def watched_events(events: DataFrame, listings: DataFrame) -> DataFrame:
@@ -133,6 +137,32 @@ def daily_reactivations(
     )
 
 
+def _shared(rows: DataFrame, *spread: str) -> DataFrame:
+    """Rows that several branches of a plan read from one shuffle.
+
+    All columns pass a generator, so each branch asks the shuffle for the same ones.
+    """
+    key, *rest = rows.columns
+    carried = {name: F.col(name) for name in rest}
+    return computed_once(rows.repartition(*spread), [key], **carried)
+
+
+def run_daily_job(
+    change_log: DataFrame,
+    flagged: DataFrame,
+    master: DataFrame,
+    edits: DataFrame,
+    as_of: dt.date,
+    target: str,
+) -> None:
+    """Report the last day before ``as_of`` and store it as the run of that date.
+
+    A rerun replaces the run's report, so what is no longer reported is gone.
+    """
+    report = daily_reactivations(change_log, flagged, master, edits, *one_day(as_of))
+    sinks.write_run(report, as_of, target)
+
+
 def reactivation_screen(
     change_log: DataFrame,
     listings: DataFrame,
@@ -144,16 +174,18 @@ def reactivation_screen(
 ) -> DataFrame:
     """Screening of reactivated listings, on the master's full descriptions."""
     back = reactivation_rollup(reactivations(change_log, since))
-    claims = description_claims(master, REACTIVATED, "listing_id")
+    returned = sellable(listings).select(*SCREENED_COLUMNS).join(back, "listing_id")
+    found = _shared(candidates(returned, tags, taxonomy), "listing_id")
+    # Long descriptions are looked at last, and those of other listings not at all:
+    # a small set of candidates filters the master where it is read.
+    texts = of_listings(master.select("listing_id", "description"), found)
+    claims = description_claims(texts, REACTIVATED, "listing_id")
     described = (
-        sellable(listings)
-        .select(*SCREENED_COLUMNS)
-        .join(back, "listing_id")
-        .join(claims, "listing_id", "left")
+        found.join(claims, "listing_id", "left")
         .withColumn("says_faux", F.coalesce("says_faux", F.lit(False)))
         .withColumn("says_real", F.coalesce("says_real", F.lit(False)))
     )
-    screened = emitted(classify(candidates(described, tags, taxonomy)), REACTIVATED).select(
+    screened = emitted(classify(described), REACTIVATED).select(
         "listing_id",
         "user_id",
         "reactivated_date",
@@ -173,7 +205,7 @@ def reactivation_screen(
     rank = F.array_position(
         F.array(F.lit("HIGH"), F.lit("MEDIUM"), F.lit("REVIEW"), F.lit("OTHER")), F.col("confidence_band")
     )
-    return screened.orderBy(rank, F.desc_nulls_last("past_year_gms"))
+    return screened.orderBy(rank, F.desc_nulls_last("past_year_gms"), "listing_id")
 
 
 def review_gap(
@@ -184,11 +216,21 @@ def review_gap(
     One row per review older than the reactivation, or one without a review;
     ``per_listing`` looks at the latest review of a listing only.
     """
-    seen = reviews.filter(F.col("content_type") == "listing").select(
-        F.col("reference_id").alias("listing_id"),
-        "first_review_date",
-        F.to_date("latest_review_date").alias("latest_review_date"),
-        "in_scope_policy",
+    high = (
+        screened.filter((F.col("confidence_band") == "HIGH") & F.col("listing_id").isNotNull())
+        .select("listing_id", "user_id", "reactivated_date")
+        .join(view.select("listing_id", "is_active"), "listing_id", "left")
+    )
+    high = _shared(high, "listing_id", "user_id")
+    # Of the reviews only those of these few listings are moved.
+    seen = of_listings(
+        reviews.filter(F.col("content_type") == "listing").select(
+            F.col("reference_id").alias("listing_id"),
+            "first_review_date",
+            F.to_date("latest_review_date").alias("latest_review_date"),
+            "in_scope_policy",
+        ),
+        high,
     )
     if per_listing:
         seen = seen.groupBy("listing_id").agg(
@@ -198,25 +240,17 @@ def review_gap(
                 "in_scope_policy"
             ),
         )
-    any_review = seen.select("listing_id").distinct().withColumn("any_review", F.lit(True))
-    high = (
-        screened.filter((F.col("confidence_band") == "HIGH") & F.col("listing_id").isNotNull())
-        .select("listing_id", "user_id", "reactivated_date")
-        .join(view.select("listing_id", "is_active"), "listing_id", "left")
-        .join(any_review, "listing_id", "left")
-        .repartition("listing_id", "user_id")
-    )
-    # Filters on generated columns stay above the generator, so both branches
-    # below read the same shuffle and the screening runs once.
-    carried = ("user_id", "reactivated_date", "is_active", "any_review")
-    high = computed_once(high, ["listing_id"], **{name: F.col(name) for name in carried})
+    seen = _shared(seen, "listing_id", "latest_review_date")
     # An outer join could not split the reviews of one listing over tasks; an
     # inner join can, and listings without any review are added.
     outdated = high.join(seen, "listing_id").filter(
         F.col("latest_review_date").isNull()
         | (F.col("reactivated_date") > F.col("latest_review_date"))
     )
-    unseen = high.filter(F.col("any_review").isNull())
+    # Not an anti join, which Spark would move below the shared shuffle.
+    marker = seen.select("listing_id").distinct().withColumn("any_review", F.lit(True))
+    unseen = high.join(marker, "listing_id", "left").filter(F.col("any_review").isNull())
+    unseen = unseen.drop("any_review")
     both = outdated.unionByName(unseen, allowMissingColumns=True)
     return both.select(
         "listing_id",

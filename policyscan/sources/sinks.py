@@ -1,22 +1,28 @@
-"""Where results go: replaced tables, snapshots and daily partitions."""
+"""Where results go: replaced tables, snapshots and the partitions of daily runs."""
 
 from __future__ import annotations
 
 import datetime as dt
-import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+RUN_DATE = "run_date"
+
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder for checkpoints and run output that every executor can reach."""
+    """The folder for checkpoints and run output that every executor can reach:
+    ``spark.checkpoint.dir``, or one in the warehouse where that is not set."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return tempfile.mkdtemp(prefix="policyscan-")
+    return (folder or f"{spark.conf.get('spark.sql.warehouse.dir')}/runs").rstrip("/")
+
+
+def folders(spark: SparkSession, path: str) -> list[str]:
+    """Names of the folders in a folder, which need not exist; by the session's file system."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = files.listStatus(place) if files.exists(place) else []
+    return sorted(f.getPath().getName() for f in found if f.isDirectory())
 
 
 def replace_table(df: DataFrame, target: str) -> DataFrame:
@@ -34,18 +40,23 @@ def snapshot(df: DataFrame, target: str) -> DataFrame:
     return replace_table(df, target)
 
 
-def write_days(df: DataFrame, day_column: str, target: str) -> None:
-    """Overwrite only the day partitions present in ``df``, so a rerun is harmless."""
-    (
-        # Rebalancing gathers small days and splits large ones.
-        df.hint("rebalance", F.col(day_column))
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy(day_column)
-        .parquet(target)
-    )
+def write_run(df: DataFrame, run_date: dt.date, target: str) -> None:
+    """Replace what the run of one date reported, also by nothing."""
+    # Rebalancing gathers small results and splits large ones.
+    df.hint("rebalance").write.mode("overwrite").parquet(f"{target}/{RUN_DATE}={run_date}")
+
+
+def run_dates(spark: SparkSession, target: str) -> list[dt.date]:
+    """The dates that were run, with or without a result."""
+    names = folders(spark, target)
+    return [dt.date.fromisoformat(n.split("=")[1]) for n in names if n.startswith(f"{RUN_DATE}=")]
+
+
+def last_run(spark: SparkSession, target: str) -> dt.date | None:
+    """The last date that was run; the next run follows it."""
+    return max(run_dates(spark, target), default=None)
 
 
-def last_day(spark: SparkSession, day_column: str, target: str) -> dt.date | None:
-    """Latest day written; the start of the next run."""
-    return spark.read.parquet(target).agg(F.max(day_column)).first()[0]
+def read_runs(spark: SparkSession, target: str) -> DataFrame:
+    """The reports of all runs with their date."""
+    return spark.read.parquet(target).withColumn(RUN_DATE, F.col(RUN_DATE).cast("date"))

@@ -3,31 +3,41 @@
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from policyscan.operators.reactivations import reactivation_rollup, reactivations
+from policyscan.operators.reactivations import reactivations
 from policyscan.plans.reactivation import watched_events
+from policyscan.sources.sinks import folders
 
+#: What a run does: take what is there and stop. A dictionary of trigger arguments.
+ONCE = {"availableNow": True}
+#: Batches after which the sums written so far are put together.
+MERGED_EVERY = 50
 
-def _run(stream: DataFrame, mode: str, target: str, checkpoint: str) -> StreamingQuery:
-    def write_batch(batch: DataFrame, batch_id: int) -> None:
-        # A retried batch overwrites its own folder.
-        batch.write.mode("overwrite").parquet(f"{target}/batch_id={batch_id}")
 
+def _run(
+    stream: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str, trigger: dict
+) -> StreamingQuery:
     return (
-        stream.writeStream.outputMode(mode)
+        stream.writeStream.outputMode("append")
         .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .foreachBatch(write_batch)
+        .trigger(**trigger)
+        .foreachBatch(write)
         .start()
     )
 
 
 def monitor_reactivations(
-    changes: DataFrame, watched: DataFrame, since: dt.date, target: str, checkpoint: str
+    changes: DataFrame,
+    watched: DataFrame,
+    since: dt.date,
+    target: str,
+    checkpoint: str,
+    trigger: dict = ONCE,
 ) -> StreamingQuery:
     """Write every new risky reactivation of a watched listing.
 
@@ -35,8 +45,12 @@ def monitor_reactivations(
     of being missed. The checkpoint remembers how far the last run came. Pass
     ``watched`` as a stored table when a run has many batches: each joins it anew.
     """
-    alerts = watched_events(reactivations(changes, since), watched)
-    return _run(alerts, "append", target, checkpoint)
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        # A retried batch overwrites its own folder.
+        batch.write.mode("overwrite").parquet(f"{target}/batch_id={batch_id}")
+
+    return _run(watched_events(reactivations(changes, since), watched), write, checkpoint, trigger)
 
 
 def roll_up_reactivations(
@@ -44,38 +58,86 @@ def roll_up_reactivations(
     since: dt.date,
     target: str,
     checkpoint: str,
-    lateness: str = "1 day",
-    period: str = "30 days",
+    trigger: dict = ONCE,
+    merged_every: int = MERGED_EVERY,
 ) -> StreamingQuery:
     """Keep first reactivation, state before it and count per listing up to date.
 
-    Entries delivered twice within ``lateness`` count once. Sums are kept per
-    listing and ``period``, and leave the state when the period is over. Each
-    batch writes the sums it changed; ``current_rollup`` puts them together.
+    Every entry counts, however late it comes, and one that is delivered again does
+    not count again. First dates and counts can be merged in any order, so nothing is
+    kept in memory between batches: each writes the entries it counted, by day, and its
+    sums per listing. A batch is compared only with stored entries of the days it holds.
+    A retried batch replaces what it wrote. ``current_rollup`` merges the sums, and every
+    ``merged_every`` batches the stream does, so that older ones need not be read again.
     """
-    # Only reactivations are remembered, though every entry moves the watermark on.
-    events = (
-        reactivations(changes.withWatermark("event_ts", lateness), since)
-        .withColumn("listing_id", F.col("before.listing_id"))
-        .dropDuplicatesWithinWatermark(["listing_id", "event_ts", "event_seq"])
+    events = reactivations(changes, since).select(
+        F.col("before.listing_id").alias("listing_id"),
+        "event_ts",
+        "event_seq",
+        F.col("before.state").alias("state"),
+        F.to_date("event_ts").alias("event_date"),
+    )
+    entry = ["event_date", "listing_id", "event_ts", "event_seq"]
+    counted = f"{target}/entries"
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        # One row per day of the calendar.
+        days = [row[0] for row in batch.select("event_date").distinct().collect()]
+        fresh = batch.dropDuplicates(entry)
+        stored = {f"event_date={day}" for day in days} & set(folders(spark, counted))
+        if stored:
+            held = spark.read.option("basePath", counted).parquet(
+                *[f"{counted}/{name}" for name in sorted(stored)]
+            )
+            held = held.filter(F.col("batch_id") != batch_id)
+            same = [fresh[name].eqNullSafe(held[name]) for name in entry]
+            fresh = fresh.join(held, same, "left_anti")
+        (
+            fresh.withColumn("batch_id", F.lit(batch_id))
+            .write.mode("overwrite")
+            .option("partitionOverwriteMode", "dynamic")
+            .partitionBy("event_date", "batch_id")
+            .parquet(counted)
+        )
+        sums = fresh.groupBy("listing_id").agg(
+            F.min(F.struct("event_ts", "event_seq", "state")).alias("first"),
+            F.count("*").alias("reactivation_count"),
+        )
+        sums.write.mode("overwrite").parquet(f"{target}/sums/batch_id={batch_id}")
+        if (batch_id + 1) % merged_every == 0:
+            _merged(spark, target, batch_id).write.mode("overwrite").parquet(
+                f"{target}/merged/batch_id={batch_id}"
+            )
+
+    return _run(events, write, checkpoint, trigger)
+
+
+def _numbers(spark: SparkSession, path: str) -> list[int]:
+    names = folders(spark, path)
+    return [int(n.partition("=")[2]) for n in names if n.startswith("batch_id=")]
+
+
+def _merged(spark: SparkSession, target: str, last: int | None = None) -> DataFrame:
+    """Sums of all batches, or of those up to ``last``: the latest merged ones and what follows."""
+    merged = [n for n in _numbers(spark, f"{target}/merged") if last is None or n < last]
+    known = max(merged, default=-1)
+    numbers = [n for n in _numbers(spark, f"{target}/sums") if n > known]
+    paths = [f"{target}/sums/batch_id={n}" for n in numbers if last is None or n <= last]
+    if known >= 0:
+        paths.append(f"{target}/merged/batch_id={known}")
+    return (
+        spark.read.parquet(*paths)
+        .groupBy("listing_id")
+        .agg(F.min("first").alias("first"), F.sum("reactivation_count").alias("reactivation_count"))
     )
-    sums = reactivation_rollup(events, F.window("event_ts", period).alias("period"))
-    return _run(sums, "update", target, checkpoint)
 
 
 def current_rollup(spark: SparkSession, target: str) -> DataFrame:
     """One row per listing from the batches of ``roll_up_reactivations``."""
-    batches = spark.read.parquet(target)
-    values = ("reactivated_date", "state_before", "reactivation_count")
-    latest = batches.groupBy("listing_id", "period").agg(
-        F.max_by(F.struct(*values), "batch_id").alias("latest")
-    )
-    return (
-        latest.select("listing_id", "period.start", "latest.*")
-        .groupBy("listing_id")
-        .agg(
-            F.min("reactivated_date").alias("reactivated_date"),
-            F.min_by("state_before", "start").alias("state_before"),
-            F.sum("reactivation_count").alias("reactivation_count"),
-        )
+    return _merged(spark, target).select(
+        "listing_id",
+        F.to_date("first.event_ts").alias("reactivated_date"),
+        F.col("first.state").alias("state_before"),
+        "reactivation_count",
     )
