@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 
 
 def flagged_listings(flagged: DataFrame, master: DataFrame) -> DataFrame:
-    """Flagged listings that still exist, with seller and state."""
-    return flagged.select("listing_id").join(
-        master.select("listing_id", F.col("user_id").alias("seller_user_id"), "state"),
-        "listing_id",
-    )
+    """Flagged listings that still exist, with seller and state, each once.
+
+    The ids are made distinct by a cheap partial aggregate, and repeated rows of the
+    master after the join, when they are few.
+    """
+    listings = master.select("listing_id", F.col("user_id").alias("seller_user_id"), "state")
+    return flagged.select("listing_id").distinct().join(listings, "listing_id").distinct()
 
 
 def known_sellers(flagged: DataFrame, master: DataFrame) -> DataFrame:
@@ -19,9 +21,10 @@ def known_sellers(flagged: DataFrame, master: DataFrame) -> DataFrame:
 
 
 def known_seller_listings(flagged: DataFrame, master: DataFrame) -> DataFrame:
-    """Every listing of a seller with a flagged listing."""
+    """Every listing of a seller with a flagged listing, each once."""
     listings = master.select("listing_id", F.col("user_id").alias("seller_user_id"), "state")
-    return listings.join(known_sellers(flagged, master), "seller_user_id", "left_semi")
+    known = listings.join(known_sellers(flagged, master), "seller_user_id", "left_semi")
+    return known.distinct()
 
 
 def unflagged_listings(flagged: DataFrame, master: DataFrame) -> DataFrame:

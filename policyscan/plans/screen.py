@@ -407,7 +407,7 @@ def screen_listings(
         )
         .withColumn("confidence_band", band_of(F.col("confidence_tier")))
     )
-    return result.orderBy(F.desc_nulls_last("past_year_gms")) if ordered else result
+    return result.orderBy(F.desc_nulls_last("past_year_gms"), "listing_id") if ordered else result
 
 
 def rule_counts(listings: DataFrame, tags: DataFrame, taxonomy: DataFrame) -> DataFrame:

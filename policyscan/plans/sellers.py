@@ -129,7 +129,9 @@ def seller_signals(
     )
     if not ordered:
         return result
-    return result.orderBy(F.desc("evasion_signal_count"), F.desc("listings_with_changes"))
+    return result.orderBy(
+        F.desc("evasion_signal_count"), F.desc("listings_with_changes"), "seller_user_id"
+    )
 
 
 def seller_breakdown(
@@ -165,7 +167,9 @@ def seller_breakdown(
     )
     if not ordered:
         return result
-    return result.orderBy(F.desc("listings_with_changes"), F.desc("edits_never_reviewed"))
+    return result.orderBy(
+        F.desc("listings_with_changes"), F.desc("edits_never_reviewed"), "seller_user_id"
+    )
 
 
 def seller_relabel_profile(

@@ -39,10 +39,11 @@ def word_swaps(
     flagged: DataFrame, edits: DataFrame, reviewed: DataFrame, top: int = 50, ordered: bool = True
 ) -> DataFrame:
     """The words most flagged listings removed from, or added to, their titles."""
+    # Titles are narrower than their words, so other listings go before the split.
     # Listings are counted, and timing only moves from before to after a review,
     # so the first and last day a listing swapped a word hold all that is needed.
     spans = (
-        swapped_words(edits)
+        swapped_words(of_listings(edits, flagged))
         .groupBy("listing_id", "direction", "word")
         .agg(F.min("change_date").alias("first_day"), F.max("change_date").alias("last_day"))
     )
@@ -54,8 +55,7 @@ def word_swaps(
         )
     )
     counted = (
-        of_listings(spans, flagged)
-        .join(of_listings(reviewed, flagged), "listing_id", "left")
+        spans.join(of_listings(reviewed, flagged), "listing_id", "left")
         .select("direction", "word", F.explode(timings).alias("change_timing"))
         .groupBy("direction", "change_timing", "word")
         .agg(F.count("*").alias("listings_affected"))
