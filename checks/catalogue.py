@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import uuid
 from collections.abc import Callable
 
@@ -19,7 +20,7 @@ from checks.standins import (
 from policyscan.operators import edits as edit_ops
 from policyscan.operators import reactivations as reactivation_ops
 from policyscan.plans import changes, evasion, reactivation, screen, sellers, words
-from policyscan.sources import sinks
+from policyscan.sources import sinks, tables
 from policyscan.streaming import monitor
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -187,6 +188,20 @@ def reactivation_daily(s: StandIns) -> DataFrame:
     )
 
 
+@_query
+def reactivation_daily_job(s: StandIns) -> DataFrame:
+    """Five runs, and two reruns after listings went off sale; the reports of all runs."""
+    target = _run_folder(s)
+    days = [dt.date(2001, 3, 1) + dt.timedelta(days=n) for n in range(5)]
+    off_sale = F.lit(1).cast("int")
+    none = s.listings().withColumn("state", off_sale)
+    odd = s.listings().withColumn("state", F.when(F.col("listing_id") % 2 == 1, F.col("state")).otherwise(off_sale))
+    runs = [(day, s.listings()) for day in days] + [(days[2], none), (days[4], odd)]
+    for day, listings in runs:
+        reactivation.run_daily_job(s.change_log(), s.flagged(), listings, _edits(s), day, target)
+    return sinks.read_runs(s.spark, target)
+
+
 @_query
 def reactivation_rollup(s: StandIns) -> DataFrame:
     events = reactivation_ops.reactivations(s.change_log(), REACTIVATED_SINCE)
@@ -225,8 +240,47 @@ def reactivation_stream(s: StandIns) -> DataFrame:
 
 @_query
 def reactivation_rollup_stream(s: StandIns) -> DataFrame:
+    """The log in three runs, each with entries of all times and some delivered again."""
     folder = _run_folder(s)
-    monitor.roll_up_reactivations(
-        s.change_log_stream(), REACTIVATED_SINCE, f"{folder}/out", f"{folder}/state"
-    ).awaitTermination()
+    log, turn = s.change_log(), F.pmod(F.xxhash64("event_seq"), F.lit(30))
+    for run in range(3):
+        # Entries of all times arrive in any order; a tenth of the run before once more.
+        again = (turn % 3 == run - 1) & (turn < 9)
+        log.filter((turn % 3 == run) | again).write.mode("append").parquet(f"{folder}/log")
+        arrived = tables.stream_table(s.spark, "change_log", f"{folder}/log")
+        monitor.roll_up_reactivations(
+            arrived, REACTIVATED_SINCE, f"{folder}/out", f"{folder}/state"
+        ).awaitTermination()
     return monitor.current_rollup(s.spark, f"{folder}/out")
+
+
+def _stored_history(s: StandIns) -> DataFrame:
+    return sinks.replace_table(change_history(s), f"{_run_folder(s)}/history")
+
+
+@_query
+def stored_timing_vs_review(s: StandIns) -> DataFrame:
+    return changes.timing_vs_review(s.flagged(), _stored_history(s), _reviewed(s))
+
+
+@_query
+def stored_word_swaps(s: StandIns) -> DataFrame:
+    return words.word_swaps(s.flagged(), _stored_history(s), _reviewed(s))
+
+
+@_query
+def stored_seller_signals(s: StandIns) -> DataFrame:
+    return sellers.seller_signals(s.flagged(), s.listings(), _stored_history(s), _reviewed(s))
+
+
+@_query
+def stored_evasion_summary(s: StandIns) -> DataFrame:
+    return evasion.evasion_summary(s.flagged(), _stored_history(s), _reviewed(s))
+
+
+@_query
+def seller_signals_repeated_ids(s: StandIns) -> DataFrame:
+    """The flagged ids twice and the master's rows three times."""
+    flagged, listings, edits, reviewed = _seller_inputs(s)
+    thrice = listings.unionAll(listings).unionAll(listings)
+    return sellers.seller_signals(flagged.unionAll(flagged), thrice, edits, reviewed)

@@ -31,6 +31,12 @@ def _template(number: Column, field: str) -> Column:
     return F.element_at(listed, (number % len(TEMPLATES) + 1).cast("int"))
 
 
+def _state(key: Column) -> Column:
+    """Four of five listings are active (0); the others have the states 1 to 5."""
+    turn = F.floor(key / 7) % 25
+    return F.when(turn < 20, 0).otherwise(turn - 19).cast("int")
+
+
 class StandIns:
     """The contract tables over one folder of driver Parquet."""
 
@@ -50,12 +56,13 @@ class StandIns:
         )
         key = F.col("p_partkey")
         own = _template(key, "description")
+        count = documents.agg(F.count("*")).scalar()
         return (
             self.source("part")
-            .withColumn("document", F.floor(key / 2))
+            .withColumn("document", key % count)
             .join(documents, "document", "left")
             .withColumn("description", F.nullif(F.concat_ws(" ", "text", own), F.lit("")))
-            .withColumn("state", (F.floor(key / 7) % 6).cast("int"))
+            .withColumn("state", _state(key))
         )
 
     def listings(self) -> DataFrame:
@@ -91,14 +98,15 @@ class StandIns:
 
     def listing_tags(self) -> DataFrame:
         key = F.col("p_partkey")
-        return self.source("part").filter(key % 29 != 0).select(
-            key.alias("listing_id"), _template(key, "tags").alias("all_tags")
+        return self.source("part").select(
+            key.alias("listing_id"), F.when(key % 29 != 0, _template(key, "tags")).alias("all_tags")
         )
 
     def listing_taxonomy(self) -> DataFrame:
         key = F.col("p_partkey")
-        return self.source("part").filter(key % 31 != 0).select(
-            key.alias("listing_id"), _template(key, "full_path").alias("full_path")
+        return self.source("part").select(
+            key.alias("listing_id"),
+            F.when(key % 31 != 0, _template(key, "full_path")).alias("full_path"),
         )
 
     def flagged(self) -> DataFrame:
@@ -127,7 +135,7 @@ class StandIns:
     def listing_view(self) -> DataFrame:
         key = F.col("p_partkey")
         return self.source("part").select(
-            key.alias("listing_id"), (F.floor(key / 7) % 6 == 0).alias("is_active")
+            key.alias("listing_id"), (_state(key) == 0).alias("is_active")
         )
 
     def change_log(self, items: DataFrame | None = None) -> DataFrame:
@@ -135,10 +143,12 @@ class StandIns:
         part, line, supplier = F.col("l_partkey"), F.col("l_linenumber"), F.col("l_suppkey")
         items = self.source("lineitem") if items is None else items
         title = F.when(supplier % 50 != 7, _template(part + line, "title"))
-        changed_title = F.when(F.col("l_returnflag") == "N", title).otherwise(
+        # A tenth of the listings is never edited; their entries change the state alone.
+        quiet = part % 10 == 9
+        changed_title = F.when(quiet | (F.col("l_returnflag") == "N"), title).otherwise(
             _template(part + supplier, "title")
         )
-        line_after = line + F.when(F.col("l_linestatus") == "F", 1).otherwise(0)
+        line_after = line + F.when(~quiet & (F.col("l_linestatus") == "F"), 1).otherwise(0)
 
         def content(title: Column, number: Column, state: Column) -> Column:
             return F.struct(
@@ -149,7 +159,7 @@ class StandIns:
             )
 
         log = conform(
-            items.filter(part % 10 != 9).select(
+            items.select(
                 F.col("l_shipdate").alias("event_ts"),
                 F.struct("l_orderkey", "l_linenumber", "l_suppkey").alias("event_seq"),
                 content(title, line, (line - 1) % 6).alias("before"),
