@@ -43,7 +43,8 @@ def folder():
 def executed_plan(df) -> str:
     """The plan that ran, without the initial one."""
     df.collect()
-    return df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    plan = df._jdf.queryExecution().executedPlan()
+    return (plan.executedPlan() if plan.nodeName() == "AdaptiveSparkPlan" else plan).toString()
 
 
 def optimized_plan(df) -> str:

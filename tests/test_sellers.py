@@ -6,8 +6,9 @@ import datetime as dt
 
 import pytest
 
+from checks.compare import spark_rows
 from policyscan.operators import edits as E
-from policyscan.plans import sellers
+from policyscan.plans import changes, evasion, reactivation, sellers, words
 from tests import tables as t
 
 
@@ -91,3 +92,62 @@ def test_relabel_profile(inputs):
     assert (got[40].removed_listings, got[40].listings_never_reviewed) == (1, 0)
     wider = sellers.seller_relabel_profile(*inputs, types=("real_to_faux", "real_to_neutral"))
     assert by_seller(wider)[10].relabelling_edits >= first.relabelling_edits
+
+
+def test_repeated_ids_and_master_rows_do_not_count_again(spark, inputs):
+    flagged, owners, edits, reviewed = inputs
+    twice = (flagged.unionAll(flagged), owners.unionAll(owners), edits, reviewed)
+    for plan in (sellers.seller_signals, sellers.seller_breakdown, sellers.seller_relabel_profile):
+        assert spark_rows(plan(*twice)) == spark_rows(plan(*inputs))
+    for plan in (evasion.unflagged_evasion_monthly, evasion.unflagged_evasion_detail):
+        some = t.ids(spark, 1, 1, 3)
+        assert spark_rows(plan(edits, some, owners.unionAll(owners))) == spark_rows(plan(edits, t.ids(spark, 1, 3), owners))
+
+
+def test_repeated_rows_do_not_count_again_in_reactivations(spark):
+    log = t.change_log(spark, [t.entry(n, 1, n, title=("a", "Real Fur"), state=(1, 0)) for n in (1, 2, 3)])
+    owners = t.master(spark, [(1, 10, 0), (2, 10, 0), (3, 20, 0)])
+    once = reactivation.reactivation_summary(log, t.ids(spark, 1, 3), owners, t.DAY0.date())
+    again = reactivation.reactivation_summary(
+        log, t.ids(spark, 1, 1, 3), owners.unionAll(owners), t.DAY0.date()
+    )
+    assert spark_rows(again) == spark_rows(once)
+
+
+def ranks(df, *keys):
+    """The sort keys of the rows in the order they came; nulls last where descending."""
+    return [tuple(key(row) for key in keys) for row in df.collect()]
+
+
+def test_ordered_results_are_sorted(inputs):
+    flagged, owners, edits, reviewed = inputs
+    high = lambda name: lambda r: (r[name] is None, -(r[name] or 0))
+    low = lambda name: lambda r: (r[name] is not None, r[name] or 0)
+    for df, keys in (
+        (
+            sellers.seller_signals(*inputs, ordered=True),
+            (high("evasion_signal_count"), high("listings_with_changes"), low("seller_user_id")),
+        ),
+        (
+            sellers.seller_breakdown(*inputs, ordered=True),
+            (high("listings_with_changes"), high("edits_never_reviewed"), low("seller_user_id")),
+        ),
+        (
+            sellers.seller_relabel_profile(*inputs, ordered=True),
+            (high("listings_relabelled"), low("seller_user_id")),
+        ),
+        (
+            changes.change_history(flagged, edits, reviewed, ordered=True),
+            (low("listing_id"), low("change_num")),
+        ),
+        (
+            words.word_swaps(flagged, edits, reviewed),
+            (lambda r: r.direction, high("listings_affected"), lambda r: r.change_timing, lambda r: r.word),
+        ),
+        (
+            evasion.evasion_detail(changes.change_history(flagged, edits, reviewed), ordered=True),
+            (lambda r: r.change_timing, low("listing_id"), low("change_num")),
+        ),
+    ):
+        found = ranks(df, *keys)
+        assert found and found == sorted(found)

@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import datetime as dt
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -54,6 +56,26 @@ def test_shared_folder_comes_from_the_session(spark, shared):
     assert sinks.shared_folder(spark) == shared
 
 
+def test_without_a_checkpoint_folder_the_warehouse_is_used():
+    class Session:
+        conf = {"spark.sql.warehouse.dir": "hdfs://x/warehouse"}
+
+    assert sinks.shared_folder(Session) == "hdfs://x/warehouse/runs"
+
+
+def test_a_rerun_replaces_a_day_also_by_nothing(spark, tmp_path):
+    target, day = str(tmp_path / "runs"), dt.date(2020, 1, 2)
+    assert sinks.last_run(spark, target) is None
+    for n in range(3):
+        sinks.write_run(t.ids(spark, n, n + 10), day + dt.timedelta(days=n), target)
+    sinks.write_run(t.ids(spark), day + dt.timedelta(days=1), target)
+    sinks.write_run(t.ids(spark), day + dt.timedelta(days=3), target)
+    rows = sorted((r.run_date.day, r.listing_id) for r in sinks.read_runs(spark, target).collect())
+    assert rows == [(2, 0), (2, 10), (4, 2), (4, 12)]
+    # Days without a result were run too.
+    assert sinks.last_run(spark, target) == dt.date(2020, 1, 5)
+
+
 @pytest.mark.parametrize("table", sorted(tables.CONTRACTS))
 def test_contracts_are_valid_schemas(spark, table):
     assert spark.createDataFrame([], t.schema_of(table)).count() == 0
