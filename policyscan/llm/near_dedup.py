@@ -45,6 +45,8 @@ class NearDuplicates:
     small: int = 100
     block: int = 2048
     depth: int = 3
+    #: Dropped ids, 8 bytes each, that go to all executors; more are joined by a shuffle.
+    broadcast: int = 2_000_000
 
     @property
     def trees(self) -> int:
@@ -382,7 +384,9 @@ def deduplicated(documents: DataFrame, how: NearDuplicates = NearDuplicates()) -
     Of rows with one doc_id one stays; rows without a doc_id all stay.
     """
     judged = materialized(near_duplicates(documents, how), "near-duplicates")
-    dropped = judged.where("not kept").select("doc_id").distinct()
+    dropped = materialized(judged.where("not kept").select("doc_id").distinct(), "dropped")
+    if dropped.count() <= how.broadcast:
+        dropped = F.broadcast(dropped)  # else the texts are shuffled
     rest = documents.join(dropped, "doc_id", "left_anti").select(*[f"`{c}`" for c in documents.columns])
     repeated = judged.where("kept and doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
     if repeated.isEmpty():

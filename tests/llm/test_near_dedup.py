@@ -96,9 +96,10 @@ def test_repeated_and_null_ids_and_clashing_columns(spark):
     assert rows(found, "doc_id", "component_id", "kept") == sorted(
         [(5, 5, True), (9, 5, False), (7, 7, True), (7, 7, True), (None, None, True), (None, None, True)], key=repr
     )
-    kept = deduplicated(df)
-    assert kept.columns == df.columns
-    assert rows(kept, "doc_id") == sorted([(5,), (7,), (None,), (None,)], key=repr)
+    for how in (NearDuplicates(), NearDuplicates(broadcast=0)):
+        kept = deduplicated(df, how)
+        assert kept.columns == df.columns
+        assert rows(kept, "doc_id") == sorted([(5,), (7,), (None,), (None,)], key=repr)
 
 
 def test_an_empty_table(spark):
