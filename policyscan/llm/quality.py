@@ -13,16 +13,20 @@ from pyspark.sql import functions as F
 from policyscan.llm.tables import materialized
 
 STATISTICS = (
-    "characters", "words", "word_length", "capitals", "marks", "digits", "kinds_of_words",
-    "repeated_neighbours", "odd_words", "repeated_lines", "sentence_length", "marked_ends",
+    "word_length", "capitals", "marks", "digits", "kinds_of_words", "repeated_neighbours", "odd_words",
+    "repeated_lines", "sentence_length", "marked_ends",
 )
+#: Words of plain prose that every text is given, so that shares of a short one say little:
+#: their length, shares of capitals, of marks and of words with a mark at the end, and the
+#: words of a sentence.
+GIVEN, LETTERS, CAPITALS, MARKS, ENDS, SENTENCE = 20, 5, 0.04, 0.03, 0.1, 12
 
 _SENTENCE_ENDS = str.maketrans({"!": ".", "?": ".", "\n": "."})
 _PLAIN_ENDS = frozenset(".,;:!?\"')»”’…")
 
 
 def statistics(text: str) -> list[float]:
-    """Transformed statistics of a whole text; an empty one gives their values for no words."""
+    """Transformed statistics of a whole text; an empty one has those of the given words."""
     words = text.split()
     n = len(words)
     letters = capitals = digits = marks = 0
@@ -34,29 +38,30 @@ def statistics(text: str) -> list[float]:
             digits += times
         elif not c.isspace():
             marks += times
-    visible = max(1, letters + digits + marks)
+    visible = letters + digits + marks
     lines = [line for line in text.split("\n") if line.strip()]
-    sentences = max(1, sum(1 for s in text.translate(_SENTENCE_ENDS).split(".") if s.strip()))
+    sentences = sum(1 for s in text.translate(_SENTENCE_ENDS).split(".") if s.strip())
     odd = sum(1 for w in words if not w.isalnum() and _odd(w))
     neighbours = sum(a == b for a, b in zip(words, words[1:], strict=False))
     marked = sum(1 for w in words if w[-1] in _PLAIN_ENDS)
-    share = lambda part, whole: np.log(0.005 + part / max(1, whole))
     return [
-        np.log1p(len(text)),
-        np.log1p(n),
-        np.log1p(letters / max(1, n)),
-        share(capitals, letters),
-        share(marks, visible),
-        share(digits, visible),
+        np.log1p((letters + LETTERS * GIVEN) / (n + GIVEN)),
+        _share(capitals, letters, LETTERS * GIVEN, CAPITALS),
+        _share(marks, visible, LETTERS * GIVEN, MARKS),
+        _share(digits, visible, LETTERS * GIVEN, 0),
         np.log1p(len(set(words))) / np.log1p(max(n, 1)),
-        share(neighbours, n),
-        share(odd, n),
-        share(len(lines) - len(set(lines)), len(lines)),
-        np.log1p(n / sentences),
-        share(marked, n),
+        _share(neighbours, n, GIVEN, 0),
+        _share(odd, n, GIVEN, 0),
+        _share(len(lines) - len(set(lines)), len(lines), GIVEN / 5, 0),
+        np.log1p((n + 2 * SENTENCE) / (max(1, sentences) + 2)),
+        _share(marked, n, GIVEN, ENDS),
     ]
 
 
+def _share(part: int, whole: int, given: float, usual: float) -> float:
+    return np.log(0.01 + (part + given * usual) / (whole + given))
+
+
 def _characters(text: str) -> dict[str, int]:
     points, times = np.unique(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32), return_counts=True)
     return {chr(p): t for p, t in zip(points.tolist(), times.tolist(), strict=True)}
@@ -81,7 +86,7 @@ class Discriminant:
     sample: int = 20_000
     to_common: float = 0.1
     to_diagonal: float = 0.1
-    floor: float = 1e-3
+    floor: float = 0.05
 
 
 @dataclass(frozen=True)
