@@ -24,10 +24,12 @@ def materialized(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once as Parquet in the shared folder and read back.
 
     It cuts the lineage: an executor that is lost later costs no recomputation of what
-    came before, and a result used twice is computed once.
+    came before, and a result used twice is computed once. All tables of an application
+    are in one folder there, which can be removed when the application has ended.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/policyscan-{spark.sparkContext.applicationId}"
+    path = f"{folder}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
