@@ -65,24 +65,39 @@ class NearDuplicates:
 
 
 def fingerprints(documents: DataFrame, how: NearDuplicates) -> DataFrame:
-    """Per document the size, a 128-bit key and the signature of its shingle set."""
+    """Per document the size, a 128-bit key and the signature of its shingle set, and the
+    nodes below the roots that it goes to.
+
+    These are named by all 32 bits of the smallest hashes, so that unrelated documents part
+    there however many there are; within a node the narrow signature will do.
+    """
+    roots = shingles.mixed(np.arange(1, how.trees + 1, dtype=np.uint64))
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         signature = shingles.Signatures(how.places)
         for batch in batches:
-            sizes, ones, twos, signs = [], [], [], []
+            sizes, ones, twos, least = [], [], [], []
             for found in shingles.shingle_sets(batch["text"].tolist(), how.words):
                 one, two = shingles.set_key(found)
                 sizes.append(len(found))
                 ones.append(one)
                 twos.append(two)
-                signs.append(signature(found).tobytes() if len(found) else b"")
+                least.append(signature(found))
+            values = np.array(least, np.uint32).reshape(-1, how.places)
+            nodes = [_children(np.full(len(values), r, np.uint64), values, how.branches) for r in roots]
             yield pd.DataFrame(
-                {"doc_id": batch["doc_id"].array, "n_shingles": sizes, "key_1": ones, "key_2": twos, "signature": signs}
+                {
+                    "doc_id": batch["doc_id"].array,
+                    "n_shingles": sizes,
+                    "key_1": ones,
+                    "key_2": twos,
+                    "signature": [s.tobytes() for s in shingles.narrowed(values)],
+                    "nodes": list(np.concatenate(nodes, axis=1).astype(np.int64)),
+                }
             )
 
     return documents.select(F.col("doc_id").cast("long"), "text").mapInPandas(
-        sign, "doc_id long, n_shingles long, key_1 long, key_2 long, signature binary"
+        sign, "doc_id long, n_shingles long, key_1 long, key_2 long, signature binary, nodes array<long>"
     )
 
 
@@ -95,7 +110,7 @@ def _children(nodes: np.ndarray, signs: np.ndarray, branches: int) -> np.ndarray
     for j in range(branches):
         place = ((start + np.uint64(j) * step) % np.uint64(places)).astype(np.int64)
         value = signs[np.arange(rows), place].astype(np.uint64)
-        out[:, j] = shingles.mixed(nodes + shingles.mixed((place.astype(np.uint64) << np.uint64(16)) + value + np.uint64(1)))
+        out[:, j] = shingles.mixed(nodes + shingles.mixed((place.astype(np.uint64) << np.uint64(32)) + value + np.uint64(1)))
     return out
 
 
@@ -103,21 +118,18 @@ def _signs(column: pd.Series, places: int) -> np.ndarray:
     return np.frombuffer(b"".join(column), "<u2").reshape(-1, places)
 
 
-def _branched(rows: DataFrame, how: NearDuplicates, nodes: list[int] | None = None) -> DataFrame:
-    """Rows (node, doc_id, signature) in the children of their node, or of given ``nodes``."""
+def _branched(rows: DataFrame, how: NearDuplicates) -> DataFrame:
+    """Rows (node, doc_id, signature) in the children of their nodes."""
 
     def descend(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             if not len(batch):
                 continue
             signs = _signs(batch["signature"], how.places)
-            own = [batch["node"].to_numpy().astype(np.uint64)] if nodes is None else [np.full(len(batch), n, np.uint64) for n in nodes]
-            for parents in own:
-                for child in _children(parents, signs, how.branches).T:
-                    yield pd.DataFrame({"node": child.astype(np.int64), "doc_id": batch["doc_id"].array})
+            for child in _children(batch["node"].to_numpy().astype(np.uint64), signs, how.branches).T:
+                yield pd.DataFrame({"node": child.astype(np.int64), "doc_id": batch["doc_id"].array})
 
-    columns = ["doc_id", "signature"] + (["node"] if nodes is None else [])
-    return rows.select(*columns).mapInPandas(descend, "node long, doc_id long")
+    return rows.select("doc_id", "signature", "node").mapInPandas(descend, "node long, doc_id long")
 
 
 def _forest(left: np.ndarray, right: np.ndarray, size: int) -> np.ndarray:
@@ -236,8 +248,7 @@ def _large_node_links(rows: DataFrame, sizes: DataFrame, how: NearDuplicates) ->
 
 def candidate_links(signed: DataFrame, how: NearDuplicates) -> DataFrame:
     """Links (a, b) whose components hold every pair that met in a tree and looks similar."""
-    roots = shingles.mixed(np.arange(1, how.trees + 1, dtype=np.uint64)).tolist()
-    entries = materialized(_branched(signed, how, roots), "nodes")
+    entries = signed.select(F.explode("nodes").alias("node"), "doc_id")
     links = None
     for level in range(how.depth):
         sizes = materialized(entries.groupBy("node").agg(F.count("*").alias("n")).where("n > 1"), "node-sizes")
@@ -356,8 +367,8 @@ def near_duplicates(documents: DataFrame, how: NearDuplicates = NearDuplicates()
     members = keyed.select("doc_id", "key_1", "key_2").join(distinct, ["key_1", "key_2"])
     copies = members.where("doc_id <> first_id").select(F.col("doc_id").alias("a"), F.col("first_id").alias("b"))
     keys = ["key_1", "key_2", "doc_id"]
-    alone = keyed.select(*keys, "signature").join(distinct.withColumnRenamed("first_id", "doc_id"), keys, "left_semi")
-    alone = materialized(alone.dropDuplicates(keys).select("doc_id", "signature"), "signatures")
+    alone = keyed.select(*keys, "signature", "nodes").join(distinct.withColumnRenamed("first_id", "doc_id"), keys, "left_semi")
+    alone = materialized(alone.dropDuplicates(keys).select("doc_id", "signature", "nodes"), "signatures")
     cells = components(candidate_links(alone, how)).select(F.col("node").alias("doc_id"), F.col("component").alias("cell"))
     cells = materialized(cells, "cells")
 
@@ -366,7 +377,7 @@ def near_duplicates(documents: DataFrame, how: NearDuplicates = NearDuplicates()
         for batch in batches:
             sets = list(shingles.shingle_sets(batch["text"].tolist(), how.words))
             batch["elements"] = [s.tobytes() for s in sets]
-            batch["signature"] = [signature(s).tobytes() for s in sets]
+            batch["signature"] = [shingles.narrowed(signature(s)).tobytes() for s in sets]
             yield batch[["cell", "doc_id", "elements", "signature"]]
 
     texts = documents.select(F.col("doc_id").cast("long"), "text").join(cells.hint("shuffle_hash"), "doc_id")

@@ -95,9 +95,8 @@ def shingle_sets(texts: Sequence[str | None], words: int) -> Iterator[np.ndarray
 
 
 class Signatures:
-    """Minwise signatures: for each of ``size`` functions 16 bits that stand for the
-    smallest hash of a set. Two sets agree in a place with the probability of their Jaccard
-    similarity, or by chance once in 65,536.
+    """Minwise signatures: for each of ``size`` functions the smallest hash of a set, 32 bits.
+    Two sets agree in a place with the probability of their Jaccard similarity.
     """
 
     def __init__(self, size: int):
@@ -110,7 +109,13 @@ class Signatures:
         for at in range(0, len(narrow), ROWS_AT_ONCE):
             part = narrow[at : at + ROWS_AT_ONCE, None] * self._factor + self._term
             np.minimum(least, part.min(axis=0), out=least)
-        return (mixed(least.astype(np.uint64)) >> np.uint64(48)).astype("<u2")
+        return least
+
+
+def narrowed(least: np.ndarray) -> np.ndarray:
+    """16 bits for each smallest hash, enough to compare a pair: by chance they agree once in
+    65,536 places."""
+    return (mixed(least.astype(np.uint64)) >> np.uint64(48)).astype("<u2")
 
 
 def set_key(hashes: np.ndarray) -> tuple[int, int]:
