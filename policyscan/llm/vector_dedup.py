@@ -95,10 +95,12 @@ class Index:
 
     def probes(self, x: np.ndarray, margin: float) -> tuple[np.ndarray, list[np.ndarray]]:
         """The home list of each row, and all lists whose border is within ``margin``."""
-        away = (x**2).sum(axis=1)[:, None] - 2 * x @ self.coarse.T + (self.coarse**2).sum(axis=1)
+        sizes = (self.coarse**2).sum(axis=1)
+        away = (x**2).sum(axis=1)[:, None] - 2 * x @ self.coarse.T + sizes
         home = np.argmin(away, axis=1)
-        apart = np.sqrt(np.maximum(((self.coarse[home][:, None, :] - self.coarse[None, :, :]) ** 2).sum(axis=2), 1e-300))
-        border = (away - away[np.arange(len(x)), home][:, None]) / (2 * apart)
+        apart = sizes[home][:, None] - 2 * self.coarse[home] @ self.coarse.T + sizes
+        # How far a vector is from the plane between its home and another centroid.
+        border = (away - away[np.arange(len(x)), home][:, None]) / (2 * np.sqrt(np.maximum(apart, 1e-12)))
         border[np.arange(len(x)), home] = 0
         return home, [np.flatnonzero(b <= margin) for b in border]
 
@@ -185,11 +187,11 @@ def _compared(index: Index, how: VectorDuplicates):
         codes = unpacked(entries["codes"], "u1", len(index.books))
         bound = (how.reach + entries["off"].to_numpy() + 1e-4) ** 2
         here = int(pdf["list"].iloc[0])
-        probed = [set(p.tolist()) for p in entries["probes"]]
-        home = queries["home"].to_numpy()
-        position = {v: i for i, v in enumerate(np.unique(np.concatenate([ids, asking])).tolist())}
-        forest, names = Forest(len(position)), np.array(list(position), np.int64)
-        sums = np.zeros(len(position), np.int64)
+        lists = len(index.coarse)
+        probed = np.sort(np.concatenate([[-1], *(j * lists + p.astype(np.int64) for j, p in enumerate(entries["probes"]))]))
+        home = queries["home"].to_numpy().astype(np.int64)
+        names = np.unique(np.concatenate([ids, asking]))
+        forest, label, sums = Forest(len(names)), np.arange(len(names)), np.zeros(len(names), np.int64)
         at_entry, at_query = np.searchsorted(names, ids), np.searchsorted(names, asking)
         for low in range(0, len(q), 256):
             part = q[low : low + 256]
@@ -199,16 +201,19 @@ def _compared(index: Index, how: VectorDuplicates):
             for first in range(0, len(rows), 1 << 15):
                 r, c = rows[first : first + (1 << 15)], columns[first : first + (1 << 15)]
                 linked = np.einsum("ij,ij->i", part[r], x[c]) >= how.least
-                for i, j in zip((r[linked] + low).tolist(), c[linked].tolist(), strict=True):
-                    # A pair that meets in both lists counts where the smaller id asks.
-                    if asking[i] > ids[j] and int(home[i]) in probed[j]:
-                        continue
-                    sums[at_query[i]] += weight[j]
-                    sums[at_entry[j]] += own_weight[i]
-                    forest.link(int(at_query[i]), int(at_entry[j]))
+                i, j = r[linked] + low, c[linked]
+                # A pair that meets in both lists counts where the smaller id asks.
+                key = j * lists + home[i]
+                both = probed[np.minimum(np.searchsorted(probed, key), len(probed) - 1)] == key
+                once = (asking[i] < ids[j]) | ~both
+                i, j = i[once], j[once]
+                np.add.at(sums, at_query[i], weight[j])
+                np.add.at(sums, at_entry[j], own_weight[i])
+                trees = np.unique(label[at_query[i]] * len(names) + label[at_entry[j]])
+                if sum([forest.link(*divmod(t, len(names))) for t in trees.tolist()]):
+                    label = np.array([forest.root(n) for n in range(len(names))], np.int64)
         some = np.flatnonzero(sums)
-        root = np.array([forest.root(i) for i in some.tolist()], np.int64)
-        return pd.DataFrame({"a": names[some], "b": names[root] if len(some) else some, "n": sums[some]})
+        return pd.DataFrame({"a": names[some], "b": names[label[some]], "n": sums[some]})
 
     return compare
 
