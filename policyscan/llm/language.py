@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from policyscan.llm.shingles import mixed, spans
-from policyscan.llm.tables import materialized
+from policyscan.llm.tables import hash_share, materialized
 
 UNDETERMINED = "und"
 CHARS_AT_ONCE = 1 << 19
@@ -131,6 +131,10 @@ class LanguageModel:
 
 def _sampled(labelled: DataFrame, how: NearestCentroids) -> DataFrame:
     ids = labelled.select("doc_id", "lang", F.xxhash64("doc_id").alias("_h"))
+    # About three times as many as wanted are sorted, whatever the partitions.
+    counts = ids.groupBy(F.col("lang").alias("_lang")).agg(F.count("*").alias("_all"))
+    ids = ids.join(counts, F.col("lang") == F.col("_lang"))
+    ids = ids.where(hash_share("doc_id") <= 3.0 * how.sample / F.col("_all"))
     first = Window.partitionBy("lang").orderBy("_h", "doc_id")
     chosen = ids.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= how.sample).select("doc_id", "lang").distinct()
     # At most ``sample`` ids of each language; an id may be repeated, so the texts are ranked too.

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from policyscan.llm.tables import materialized
+from policyscan.llm.tables import materialized, smallest_hashes
 
 STATISTICS = (
     "word_length", "capitals", "marks", "digits", "kinds_of_words", "repeated_neighbours", "odd_words",
@@ -136,7 +136,7 @@ def fit(documents: DataFrame, labels: DataFrame, how: Discriminant = Discriminan
     the scores follow from the priors alone.
     """
     marked = labels.where("quality in (0, 1) and doc_id is not null").select("doc_id", "quality")
-    chosen = materialized(marked.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(how.sample), "quality-sample")
+    chosen = materialized(smallest_hashes(marked, how.sample, "doc_id", "quality"), "quality-sample")
 
     @F.pandas_udf("array<double>")
     def measured(texts: pd.Series) -> pd.Series:

@@ -46,3 +46,19 @@ def uniform(*parts: Column) -> Column:
     """A number in (0, 1) that depends only on the texts of ``parts``; 52 bits of their MD5."""
     digits = F.substring(F.md5(F.concat_ws(":", *parts).cast("binary")), 1, 13)
     return (F.conv(digits, 16, 10).cast("double") + 0.5) / F.lit(float(2**52))
+
+
+def hash_share(*columns: str) -> Column:
+    """A number from 0 to 1 by the hash of the columns."""
+    return F.xxhash64(*columns).cast("double") / F.lit(float(2**64)) + 0.5
+
+
+def smallest_hashes(df: DataFrame, rows: int, *columns: str) -> DataFrame:
+    """At most ``rows`` rows of ``df``, those with the smallest hashes of the columns.
+
+    Rows are counted first, and only about twice as many as wanted are sorted, so that what
+    meets in one task does not grow with the partitions.
+    """
+    total = max(1, df.count())
+    few = df.where(hash_share(*columns) <= min(1.0, 2.0 * rows / total))
+    return few.orderBy(F.xxhash64(*columns), *columns).limit(rows)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from policyscan.llm.components import components
 from policyscan.llm.groups import Forest
-from policyscan.llm.tables import materialized
+from policyscan.llm.tables import materialized, smallest_hashes
 from policyscan.llm.vectors import matrix, unpacked, usable
 
 
@@ -238,7 +238,7 @@ def vector_duplicates(vectors: DataFrame, how: VectorDuplicates = VectorDuplicat
     distinct = materialized(rows.groupBy("embedding").agg(F.min("vec_id").alias("first_id"), F.count("*").alias("n")), "distinct")
     shape = distinct.agg(F.count("*"), F.max(F.size("embedding"))).first()
     if shape[0]:
-        sample = distinct.orderBy(F.xxhash64("first_id"), "first_id").limit(how.sample).select("embedding").toPandas()
+        sample = smallest_hashes(distinct, how.sample, "first_id").select("embedding").toPandas()
         x = np.zeros((len(sample), shape[1]))
         fitted = matrix(sample["embedding"])
         x[:, : fitted.shape[1]] = fitted
