@@ -107,6 +107,20 @@ def change_history(s: StandIns) -> DataFrame:
     return changes.change_history(*_edit_inputs(s))
 
 
+@_query
+def change_history_long_texts(s: StandIns) -> DataFrame:
+    """Histories that carry whole documents as descriptions; the result has their hashes."""
+    edits = edit_ops.content_edits(s.change_log(long=True), EDITS_SINCE)
+    history = changes.change_history(s.flagged(), edits, _reviewed(s))
+    return history.select(
+        "listing_id",
+        "change_num",
+        "desc_changed",
+        F.md5(F.col("desc_before").cast("binary")).alias("desc_before_md5"),
+        F.md5(F.col("desc_after").cast("binary")).alias("desc_after_md5"),
+    )
+
+
 @_query
 def timing_vs_review(s: StandIns) -> DataFrame:
     return changes.timing_vs_review(*_edit_inputs(s))

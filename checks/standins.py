@@ -138,10 +138,18 @@ class StandIns:
             key.alias("listing_id"), (_state(key) == 0).alias("is_active")
         )
 
-    def change_log(self, items: DataFrame | None = None) -> DataFrame:
-        """The change log over ``lineitem``, or over a stream of it."""
+    def change_log(self, items: DataFrame | None = None, long: bool = False) -> DataFrame:
+        """The change log over ``lineitem``, or over a stream of it; ``long`` descriptions
+        are whole documents."""
         part, line, supplier = F.col("l_partkey"), F.col("l_linenumber"), F.col("l_suppkey")
         items = self.source("lineitem") if items is None else items
+        own = F.lit("d")
+        if long:
+            documents = self.source("documents").select(F.col("doc_id").alias("document"), "text")
+            count = documents.agg(F.count("*")).scalar()
+            items = items.withColumn("document", F.col("l_orderkey") % count)
+            items = items.join(documents, "document", "left")
+            own = F.concat("text", F.lit(" d"))
         title = F.when(supplier % 50 != 7, _template(part + line, "title"))
         # A tenth of the listings is never edited; their entries change the state alone.
         quiet = part % 10 == 9
@@ -154,7 +162,7 @@ class StandIns:
             return F.struct(
                 part.alias("listing_id"),
                 title.alias("title"),
-                F.concat(F.lit("d"), number.cast("string")).alias("description"),
+                F.concat(own, number.cast("string")).alias("description"),
                 state.cast("int").alias("state"),
             )
 
