@@ -124,13 +124,16 @@ PLACED = "first_id long, n long, dims int, home int, probes array<int>, codes bi
 PAIRS = "a long, b long, n long"
 
 
-def _placed(distinct: DataFrame, index: Index, how: VectorDuplicates) -> DataFrame:
+def _placed(distinct: DataFrame, index: Index, how: VectorDuplicates, kind: str) -> DataFrame:
+    """Every distinct vector with its lists and codes, and its components as they were."""
+
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for at in range(0, len(batch), 256):
                 part = batch.iloc[at : at + 256]
                 dims = part["embedding"].map(len).to_numpy()
-                x = _unit(index.padded(matrix(part["embedding"])))
+                raw = index.padded(matrix(part["embedding"]))
+                x = _unit(raw)
                 margin = how.reach * min(1.0, how.spread / np.sqrt(x.shape[1]))
                 home, probes = index.probes(x, margin)
                 codes, off = index.encode(x - index.coarse[home])
@@ -143,7 +146,7 @@ def _placed(distinct: DataFrame, index: Index, how: VectorDuplicates) -> DataFra
                         "probes": [p.astype(np.int32) for p in probes],
                         "codes": [c.tobytes() for c in codes],
                         "off": off,
-                        "vector": [v.tobytes() for v in x],
+                        "vector": [v.tobytes() for v in raw.astype(kind)],
                     }
                 )
 
@@ -171,11 +174,12 @@ def _meetings(placed: DataFrame, how: VectorDuplicates) -> DataFrame:
         .withColumn("query_block", F.pmod(hashed, "query_blocks").cast("int"))
         .withColumn("entry_block", F.explode(F.expr("sequence(0, entry_blocks - 1)")))
         .withColumn("codes", F.lit(None).cast("binary"))
+        .withColumn("probes", F.lit(None).cast("array<int>"))
     )
     return stored.unionByName(asked).drop("entry_blocks", "query_blocks")
 
 
-def _compared(index: Index, how: VectorDuplicates):
+def _compared(index: Index, how: VectorDuplicates, kind: str):
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("first_id", kind="stable")
         asks = pdf["asks"].to_numpy()
@@ -183,7 +187,7 @@ def _compared(index: Index, how: VectorDuplicates):
         width = index.coarse.shape[1]
         ids, asking = entries["first_id"].to_numpy(), queries["first_id"].to_numpy()
         weight, own_weight = entries["n"].to_numpy(), queries["n"].to_numpy()
-        x, q = unpacked(entries["vector"], "f8", width), unpacked(queries["vector"], "f8", width)
+        x, q = (_unit(unpacked(rows["vector"], kind, width).astype("f8")) for rows in (entries, queries))
         codes = unpacked(entries["codes"], "u1", len(index.books))
         bound = (how.reach + entries["off"].to_numpy() + 1e-4) ** 2
         here = int(pdf["list"].iloc[0])
@@ -243,8 +247,9 @@ def vector_duplicates(vectors: DataFrame, how: VectorDuplicates = VectorDuplicat
         fitted = matrix(sample["embedding"])
         x[:, : fitted.shape[1]] = fitted
         index = Index.fit(_unit(x), shape[0], how)
-        placed = materialized(_placed(distinct, index, how), "placed")
-        found = _meetings(placed, how).groupBy("dims", "list", "entry_block", "query_block").applyInPandas(_compared(index, how), PAIRS)
+        kind = "f4" if dict(distinct.dtypes)["embedding"] == "array<float>" else "f8"
+        placed = materialized(_placed(distinct, index, how, kind), "placed")
+        found = _meetings(placed, how).groupBy("dims", "list", "entry_block", "query_block").applyInPandas(_compared(index, how, kind), PAIRS)
         found = materialized(found, "found")
     else:
         found = vectors.sparkSession.createDataFrame([], PAIRS)
