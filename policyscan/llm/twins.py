@@ -26,6 +26,10 @@ def _draw(shard: str) -> str:
     )
 
 
+#: A vector with an id and without null or non-finite components.
+_USABLE = """vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"""
+
 TWINS: dict[str, str] = {
     "op1_rendezvous_shards": f"""
 WITH {_CRC32},
@@ -99,4 +103,41 @@ placed AS (
 SELECT doc_id, source, epoch, tokens, start, block,
   CAST(row_number() OVER (PARTITION BY block ORDER BY md5(rank || ':0'), source, doc_id, tokens) - 1 AS INTEGER) AS slot
 FROM placed""",
+    "op2_quantised_vector_duplicates": f"""
+WITH RECURSIVE vectors AS (
+  SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS x
+  FROM embeddings WHERE {_USABLE} AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+),
+links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b
+  FROM vectors a JOIN vectors b ON a.vec_id <> b.vec_id AND len(a.x) = len(b.x)
+  WHERE list_cosine_similarity(a.x, b.x) >= 0.95
+),
+reached AS (
+  SELECT a, b FROM links
+  UNION
+  SELECT r.a, l.b FROM reached r JOIN links l ON l.a = r.b
+),
+direct AS (SELECT a AS vec_id, count(*) AS n FROM links GROUP BY a),
+least_reached AS (SELECT a AS vec_id, min(b) AS b FROM reached GROUP BY a)
+SELECT vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, least(vec_id, coalesce(b, vec_id)) AS component_id,
+  least(vec_id, coalesce(b, vec_id)) IS NOT DISTINCT FROM vec_id AS kept
+FROM embeddings LEFT JOIN direct USING (vec_id) LEFT JOIN least_reached USING (vec_id)""",
+    "op4_approximation_file_search": f"""
+WITH vectors AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * x::DOUBLE) AS BIGINT)) AS x
+  FROM embeddings WHERE {_USABLE}
+),
+scores AS (
+  SELECT q.vec_id AS query_id, v.vec_id,
+    CAST(coalesce(list_sum(list_transform(list_zip(q.x, v.x), lambda p: p[1] * p[2])), 0) AS BIGINT) AS score
+  FROM vectors q JOIN vectors v ON v.vec_id <> q.vec_id AND len(v.x) = len(q.x)
+  WHERE q.vec_id % 50 = 0
+),
+ranked AS (
+  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank,
+    vec_id, score
+  FROM scores
+)
+SELECT * FROM ranked WHERE rank <= 5""",
 }
