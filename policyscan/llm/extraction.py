@@ -37,7 +37,7 @@ SCOPES = frozenset("table td th caption button object template article section d
 
 # What is never main text.
 ASIDE = frozenset(
-    "nav footer aside form dialog menu head noscript template object embed svg math canvas audio video button select"
+    "nav footer aside form dialog menu head noscript template object embed svg canvas audio video button select"
     " datalist search".split()
 ) | RAW
 ASIDE_ROLES = frozenset(
@@ -50,6 +50,19 @@ ASIDE_NAMES = frozenset(
     " commentlist reply replies respond disqus share sharing social related recommended recommendations widget"
     " widgets toolbar pagination pager".split()
 )
+#: Words that say where or how an element is laid out, beside a name of the above.
+LAYOUT = frozenset(
+    "area bar block body bottom box button buttons card cards center col column container content div entry fixed form grid"
+    " group header icons inner item items js left link links list main mobile module outer page panel post posts primary"
+    " right row secondary section single site slot sticky thread top unit wrap wrapper zone".split()
+)
+COMMENT_NAMES = frozenset("comment comments commentlist reply replies respond disqus".split())
+#: Names of what may hold other articles than the page's own.
+OTHER_NAMES = COMMENT_NAMES | frozenset("related recommended recommendations".split())
+#: Elements that names can make an aside within an article or main element.
+CONTAINERS = frozenset("address aside center details dialog div dl fieldset figure footer form header hgroup li menu nav ol section table ul".split())
+#: Elements whose text outside links is prose.
+PROSE = frozenset("p pre blockquote".split())
 #: Elements that names cannot make an aside.
 ROOTS = frozenset(("html", "body", "main", "article"))
 #: Elements whose subtrees may belong to a template; prose inside an article never does.
@@ -65,47 +78,79 @@ _TOKEN = re.compile(
 _NAME = re.compile(r"[^\s/>]+")
 _ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'=<>`]+)))?")
 _WORD_EDGE = re.compile(r"[^a-z0-9]+")
+_PLAIN_PART = re.compile(r"[a-z]?|[0-9]+(?:x[0-9]+)?")
 
 
 class _Element:
-    __slots__ = ("tag", "parts", "first", "aside", "article", "main", "holds")
+    __slots__ = ("tag", "parts", "first", "aside", "article", "main", "holds", "named", "prose")
 
-    def __init__(self, tag: str, parts: list[str], first: int, aside: bool, article: bool, main: bool):
+    def __init__(self, tag: str, parts: list[str], first: int, aside: bool, article: bool, main: bool, named: int, prose: bool):
         self.tag, self.parts, self.first, self.aside = tag, parts, first, aside
         self.article, self.main, self.holds = article, main, False
+        self.named, self.prose = named, prose
+
+
+class _Named:
+    """An element with the name of an aside, and the text in it."""
+
+    __slots__ = ("parent", "names", "container", "in_article", "in_main", "holds_main", "size", "chosen", "prose", "dropped", "plain")
+
+    def __init__(self, parent: int, names: frozenset[str], container: bool, in_article: bool, in_main: bool):
+        self.parent, self.names, self.container = parent, names, container
+        self.in_article, self.in_main, self.holds_main = in_article, in_main, False
+        self.size = self.chosen = self.prose = 0
+        self.dropped = self.plain = False
 
 
-def _is_aside(tag: str, token: str, inside: bool) -> bool:
+def _aside_names(value: str) -> frozenset[str]:
+    """Names of asides in a class or an id: of those of its words that consist of such names
+    and words of layout. ``has-sidebar`` and ``related-work`` name none."""
+    found: set[str] = set()
+    for word in value.split():
+        parts = {part for part in _WORD_EDGE.split(word) if not _PLAIN_PART.fullmatch(part)} - LAYOUT
+        if parts and parts <= ASIDE_NAMES:
+            found |= parts
+    return frozenset(found)
+
+
+def _is_aside(tag: str, token: str, inside: bool) -> tuple[bool, frozenset[str]]:
+    """Whether an element is an aside whatever it holds, and else the aside's names it has."""
     if tag in ASIDE or tag == "header" and not inside:
-        return True
+        return True, frozenset()
+    names: frozenset[str] = frozenset()
     if " " not in token and "\n" not in token and "\t" not in token:
-        return False
+        return False, names
     for name, *values in _ATTRIBUTE.findall(token[len(tag) + 1 :].rstrip("/>")):
         name, value = name.lower(), "".join(values).lower()
         if name == "hidden" or name == "role" and value.strip() in ASIDE_ROLES:
-            return True
-        if name in ("class", "id") and tag not in ROOTS and not ASIDE_NAMES.isdisjoint(_WORD_EDGE.split(value)):
-            return True
-        # An article or a section may itself be a reader's comment.
-        if name in ("class", "id") and tag == "article" and not {"comment", "reply"}.isdisjoint(_WORD_EDGE.split(value)):
-            return True
+            return True, names
+        if name in ("class", "id"):
+            found = _aside_names(value)
+            # An article may itself be a reader's comment.
+            if tag == "article" and not COMMENT_NAMES.isdisjoint(found):
+                return True, names
+            if tag not in ROOTS and (tag in CONTAINERS or not inside):
+                names |= found
         if name == "style" and "display:none" in value.replace(" ", ""):
-            return True
-    return False
+            return True, names
+    return False, names
 
 
 class Page:
     """One pass over a page: its blocks of text and the hashes of its element subtrees.
 
-    ``templates`` are hashes of subtrees whose blocks are deleted.
+    ``templates`` are hashes of subtrees whose blocks are deleted. What elements with the name
+    of an aside hold is known at the end only; so each piece of text keeps the innermost one.
     """
 
     def __init__(self, html: str, templates: frozenset[int] = frozenset()):
         self.subtrees: set[int] = set()
         self._templates = templates
-        self._blocks: list[tuple[str, bool, bool]] = []
-        self._text: list[str] = []
-        self._open = [_Element("", [], 0, False, False, False)]
+        self._blocks: list[tuple[list[tuple[str, int, bool]], bool, bool]] = []
+        self._deleted: list[tuple[list[tuple[str, int, bool]], bool, bool]] = []
+        self._text: list[tuple[str, int, bool]] = []
+        self._named = [_Named(0, frozenset(), False, False, False)]
+        self._open = [_Element("", [], 0, False, False, False, 0, False)]
         self._parse(html)
         while len(self._open) > 1:
             self._close()
@@ -113,11 +158,49 @@ class Page:
 
     def text(self) -> str:
         """Blocks of the article, or else of the main element, or else of the page."""
+        if len(self._named) > 1:
+            self._judge_named()
+        kept = []
+        for pieces, article, main in self._blocks:
+            left = [p for p in pieces if not self._named[p[1]].dropped]
+            text = " ".join("".join(p[0] for p in left).split())
+            if text:
+                plain = all(self._named[p[1]].plain for p in left)
+                kept.append((text, article and not plain, main and not plain))
         for kind in (1, 2):
-            chosen = [b[0] for b in self._blocks if b[kind]]
+            chosen = [b[0] for b in kept if b[kind]]
             if chosen:
                 return "\n\n".join(chosen)
-        return "\n\n".join(b[0] for b in self._blocks)
+        return "\n\n".join(b[0] for b in kept)
+
+    def _judge_named(self) -> None:
+        """Find the named elements that are asides: all but those around the main element, the
+        page's article or most of its prose, deleted blocks included."""
+        count = [(named, article, main, prose, len("".join(text.split()))) for pieces, article, main in self._blocks + self._deleted for text, named, prose in pieces]
+        outside = outside_chosen = whole = whole_prose = 0
+        for named, article, main, prose, size in count:
+            whole += size
+            whole_prose += size if prose else 0
+            if not named:
+                outside += size
+                outside_chosen += size if article or main else 0
+            while named:
+                own = self._named[named]
+                own.size += size
+                own.prose += size if prose else 0
+                if not own.in_article and (article or main and not own.in_main):
+                    own.chosen += size
+                named = own.parent
+        for own in self._named[1:]:
+            around = own.holds_main or own.chosen > outside_chosen and OTHER_NAMES.isdisjoint(own.names)
+            # A page without any paragraph has its prose in other elements.
+            most = 2 * own.size > whole and (2 * own.prose > whole_prose or not whole_prose)
+            most = most and own.container and COMMENT_NAMES.isdisjoint(own.names)
+            above = self._named[own.parent]
+            own.dropped = above.dropped or not (around or most)
+            # A small article beside the text of a page without another is not put before it.
+            small = not outside_chosen and 4 * own.chosen < outside
+            own.plain = above.plain or small and not (own.in_article or own.holds_main or most)
 
     def _parse(self, html: str) -> None:
         at = 0
@@ -143,7 +226,7 @@ class Page:
             elif tag in VOID:
                 self._open[-1].parts.append(token)
                 if tag == "br":
-                    self._text.append(" ")
+                    self._add_blank()
                 elif tag == "hr":
                     self._end_block()
             else:
@@ -154,15 +237,17 @@ class Page:
             top = self._open[-1]
             top.parts.append(" ".join(raw.split()))
             if not top.aside:
-                self._text.append(unescape(raw) if "&" in raw else raw)
+                self._text.append((unescape(raw) if "&" in raw else raw, top.named, top.prose))
+
+    def _add_blank(self) -> None:
+        self._text.append((" ", self._open[-1].named, False))
 
     def _end_block(self) -> None:
         if self._text:
-            text = " ".join("".join(self._text).split())
-            self._text = []
-            if text:
+            pieces, self._text = self._text, []
+            if any(text and not text.isspace() for text, *_ in pieces):
                 top = self._open[-1]
-                self._blocks.append((text, top.article, top.main))
+                self._blocks.append((pieces, top.article, top.main))
 
     def _start(self, tag: str, token: str) -> None:
         if tag in BLOCK:
@@ -172,15 +257,24 @@ class Page:
         if tag in BLOCK:
             self._end_block()
         elif tag in ("td", "th"):
-            self._text.append(" ")
+            self._add_blank()
         top = self._open[-1]
-        aside = top.aside or _is_aside(tag, token, top.article or top.main)
+        aside, names = (True, None) if top.aside else _is_aside(tag, token, top.article or top.main)
+        named = top.named
+        if names and not aside:
+            named = len(self._named)
+            self._named.append(_Named(top.named, names, tag in CONTAINERS or tag in ("td", "th"), top.article, top.main))
         article = not aside and (top.article or tag == "article")
         main = not aside and (top.main or tag == "main" or 'role="main"' in token)
         if (article and not top.article) or (main and not top.main):
             for element in self._open:
                 element.holds = True
-        self._open.append(_Element(tag, [token], len(self._blocks), aside, article, main))
+        at = named if main and not top.main else 0
+        while at:
+            self._named[at].holds_main = True
+            at = self._named[at].parent
+        prose = tag != "a" and (top.prose or tag in PROSE)
+        self._open.append(_Element(tag, [token], len(self._blocks), aside, article, main, named, prose))
 
     def _leave(self, tags: set[str], scope) -> None:
         """Close an open element of ``tags``, if one is open within the scope."""
@@ -212,6 +306,7 @@ class Page:
         if not top.holds and top.tag in (TEMPLATE if inside else TEMPLATE_OUTSIDE) and top.tag not in ROOTS:
             self.subtrees.add(digest)
             if digest in self._templates:
+                self._deleted += self._blocks[top.first :]
                 del self._blocks[top.first :]
 
 

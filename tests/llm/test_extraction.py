@@ -51,6 +51,39 @@ def test_pages(html, text):
     assert Page(html).text() == text
 
 
+STORY = "<article><h1>Title</h1><p>The story</p></article>"
+
+
+@pytest.mark.parametrize("name", ["layout has-sidebar", "no-sidebar", "with-comments", "page-widget", "sidebar-left", "main widget"])
+def test_names_of_what_is_around_the_article_do_not_remove_it(name):
+    beside = '<div class="sidebar"><p>A text beside that is longer</p></div><div class="site-footer">End</div>'
+    for attribute in ("class", "id"):
+        assert Page(f'<div {attribute}="{name}">{STORY}{beside}</div>').text() == "Title\n\nThe story"
+        assert Page(f'<div {attribute}="{name}"><main><p>The story</p></main>{beside}</div>').text() == "The story"
+    prose = "".join(f"<p>Line {i} of the story</p>" for i in range(9))
+    assert Page(f'<div class="{name}">{prose}{beside}</div>').text().split("\n\n")[:9] == [f"Line {i} of the story" for i in range(9)]
+
+
+def test_names_within_an_article():
+    html = """<article><h2 id="related-work">Related work</h2><section id="comments-on-method"><p>On the method</p></section>
+<p class="notice">Notice this</p><p>See <a class="social">them</a>, <math><mi>x</mi><mo>=</mo><mn>1</mn></math></p>
+<div class="related-posts"><p>gone</p></div><section id="comments"><p>gone, however long this comment of a reader is, and it is long,
+longer than all that the article itself has to say about its own subject, be it the method or the related work.</p></section></article>"""
+    assert Page(html).text() == "Related work\n\nOn the method\n\nNotice this\n\nSee them, x=1"
+
+
+def test_articles_in_asides_do_not_replace_the_text():
+    prose = "<p>" + "A long story. " * 20 + "</p>"
+    story = ("A long story. " * 20).strip()
+    card = "<article><p>card</p></article>"
+    assert Page(f'<article>{prose}</article><div class="widget">{card}</div>').text() == story
+    assert Page(f'<main>{prose}<div class="related-posts">{card}</div></main>').text() == story
+    assert Page(f'<main>{prose}<section class="comments">{card}</section></main>').text() == story
+    assert Page(f'<div>{prose}</div><div class="related">{card}</div>').text() == story
+    assert Page(f'<div>{prose}</div><div class="widget">{card}</div>').text() == f"{story}\n\ncard"
+    assert Page(f'<div>{prose}</div><ol class="comment-list"><li><article class="comment-body">{prose}{prose}</article></ol>').text() == story
+
+
 def site(spark, n=12, extra=()):
     rows = [
         (i, "http://a.org/%d" % i, f'<div><p>Welcome to our site</p></div><div><p>Story {i} of many</p><p>A line on all</p></div>')
