@@ -136,6 +136,10 @@ def _is_aside(tag: str, token: str, inside: bool) -> tuple[bool, frozenset[str]]
     return False, names
 
 
+def _digest(text: str) -> int:
+    return int.from_bytes(blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
+
+
 class Page:
     """One pass over a page: its blocks of text and the hashes of its element subtrees.
 
@@ -299,7 +303,7 @@ class Page:
         top = self._open[-1]
         if top.tag in BLOCK:
             self._end_block()
-        digest = int.from_bytes(blake2b("\0".join(top.parts).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
+        digest = _digest("\0".join(top.parts))
         self._open.pop()
         self._open[-1].parts.append(f"{digest:x}")
         inside = top.article or top.main
@@ -312,8 +316,8 @@ class Page:
 
 @dataclass(frozen=True)
 class SiteTemplates:
-    """A subtree is a template if it is on ``pages`` different pages of its host or more, and
-    on ``share`` of them. Up to ``broadcast`` template subtrees go to all executors."""
+    """A subtree is a template if it is beside ``pages`` different main texts of its host or
+    more, and beside ``share`` of them. Up to ``broadcast`` template subtrees go to all executors."""
 
     pages: int = 5
     share: float = 0.3
@@ -327,17 +331,22 @@ def _host(url: str = "url"):
 def templates(pages: DataFrame, how: SiteTemplates = SiteTemplates()) -> DataFrame:
     """Hosts and the hashes of their template subtrees, from the columns url and html.
 
-    Equal pages of a host count once, so that copies do not make a template of their text.
+    Pages of a host with equal main texts, templates included, count once, so that copies do
+    not make a template of their text, whatever else on them differs.
     """
 
     def subtrees(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            found = [[0, *Page(html).subtrees] for html in batch["html"]]
-            yield pd.DataFrame({"host": batch["host"].array, "page": batch["page"].array, "subtree": found}).explode("subtree")
-
-    read = pages.select(_host().alias("host"), F.xxhash64("html").alias("page"), "html").where("host <> '' and html is not null")
-    found = read.mapInPandas(subtrees, "host string, page long, subtree long")
-    # Subtree 0 stands for the page.
+            main, found = [], []
+            for html in batch["html"]:
+                page = Page(html)
+                main.append(_digest(page.text()))
+                found.append([0, *page.subtrees])
+            yield pd.DataFrame({"host": batch["host"].array, "main": main, "subtree": found}).explode("subtree")
+
+    read = pages.select(_host().alias("host"), "html").where("host <> '' and html is not null")
+    found = read.mapInPandas(subtrees, "host string, main long, subtree long")
+    # Subtree 0 stands for the main text.
     counted = materialized(found.distinct().groupBy("host", "subtree").agg(F.count("*").alias("n")).where((F.col("n") >= how.pages)), "subtrees")
     sizes = counted.where("subtree = 0").select("host", F.col("n").alias("pages"))
     return counted.where("subtree <> 0").join(sizes, "host").where(F.col("n") >= how.share * F.col("pages")).select("host", "subtree")

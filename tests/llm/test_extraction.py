@@ -109,6 +109,21 @@ def test_copies_of_a_page_are_no_template(spark):
     assert all(found[600 + i] == "Alone" for i in range(30))
 
 
+def test_near_copies_of_a_page_are_no_template(spark):
+    body = "<h2>Title</h2><div><p>The same story</p></div><ul><li>one<li>two</ul><table><tr><td>a<td>b</table>"
+    text = "Title\n\nThe same story\n\none\n\ntwo\n\na b"
+    kinds = {"e.org": f"<article>{body}<p>End</p></article>", "f.org": f"<main>{body}<p>End</p></main>", "g.org": f"<div>{body}<p>End</p></div>"}
+    rows = []
+    for host, html in kinds.items():
+        for i in range(30):
+            rows.append((i, f"http://{host}/{i}", f"<script>track({i});</script><nav>{i}</nav><!-- ad {i} -->{html}<!-- {i} -->"))
+        # Other pages of the host share a template.
+        rows += [(100 + i, f"http://{host}/{i}", f"<div><b>Template</b></div><div><i>Page {i}</i></div>") for i in range(9)]
+    found = {(r.url.split("/")[2], r.page_id): r.text for r in with_main_text(spark.createDataFrame(rows, PAGE)).collect()}
+    assert all(found[host, i] == f"{text}\n\nEnd" for host in kinds for i in range(30))
+    assert all(found[host, 100 + i] == f"Page {i}" for host in kinds for i in range(9))
+
+
 def test_few_pages_make_no_template(spark):
     df = site(spark, n=4)
     assert templates(df).where("host = 'a.org'").isEmpty()
