@@ -43,7 +43,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """The pieces of all documents with their sequences."""
-    return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), special=True)
 
 
 STAGES: list[tuple[str, Stage]] = [

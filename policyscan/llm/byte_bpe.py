@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import struct
+from functools import partial
 
 #: The pre-tokenizer's pattern of byte-level BPE files.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -23,30 +24,33 @@ class ByteBpe:
     """Ids as little-endian unsigned 32-bit bytes, equal to those of the tokenizers library.
 
     The library itself takes about five times the CPU seconds for the same ids; so its file
-    is loaded into the other installed encoder of such vocabularies. Strings of special
-    tokens in a text are ordinary text. A probe text must get the library's ids.
+    is loaded into the other installed encoder of such vocabularies. Strings of the file's
+    added tokens in a text get their own ids if ``special``, which is the library's default,
+    and are ordinary text otherwise. A probe text must get the library's ids.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, special: bool = False):
         import tiktoken
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as file:
             content = json.load(file)
-        special = {token["content"] for token in content["added_tokens"]}
+        added = {token["content"]: token["id"] for token in content["added_tokens"]}
         byte = _byte_characters()
         ranks = {
             bytes(byte[c] for c in token): rank
             for token, rank in content["model"]["vocab"].items()
-            if token not in special
+            if token not in added
         }
-        self._encode = tiktoken.Encoding(
-            path, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}
-        ).encode_ordinary
+        encoding = tiktoken.Encoding(
+            path, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=added if special else {}
+        )
+        self._encode = partial(encoding.encode, allowed_special="all") if special else encoding.encode_ordinary
         library = Tokenizer.from_file(path)
-        library.encode_special_tokens = True
-        ids = library.encode(PROBE, add_special_tokens=False).ids
-        if self.encode(PROBE) != struct.pack(f"<{len(ids)}I", *ids):
+        library.encode_special_tokens = not special
+        probe = PROBE + "".join(f" {token} x{token}" for token in added)
+        ids = library.encode(probe, add_special_tokens=False).ids
+        if self.encode(probe) != struct.pack(f"<{len(ids)}I", *ids):
             raise ValueError(f"{path} is not a byte-level BPE file with ranks as ids")
 
     def encode(self, text: str) -> bytes:

@@ -19,17 +19,18 @@ PIECES_PER_PACKER = 1 << 15
 PIECE_SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
-def pieces(documents: DataFrame, tokenizer: str, window: int = 1024, end_id: int = 0) -> DataFrame:
+def pieces(documents: DataFrame, tokenizer: str, window: int = 1024, end_id: int = 0, special: bool = False) -> DataFrame:
     """Each document's tokens and a final ``end_id``, cut into windows and a rest.
 
     One row per piece: where it starts, its length, the CRC-32 of its ids and the tokens of
     the document. A null text counts as empty and gives the end alone. Equal rows of the
-    input give equal rows here.
+    input give equal rows here. ``special`` tells whether the strings of added tokens in a
+    text get their own ids.
     """
     end = np.array([end_id], "<u4").tobytes()
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = ByteBpe(tokenizer).encode
+        encode = ByteBpe(tokenizer, special).encode
         for batch in batches:
             rows = []
             for at, text in enumerate(batch["text"]):
@@ -106,7 +107,7 @@ def packed(cut: DataFrame, window: int = 1024, pieces_per_packer: int = PIECES_P
     return dealt.drop("_n").groupBy("_packer").applyInPandas(place, f"{PIECE_SCHEMA}, sequence_id long, offset long")
 
 
-def pack_documents(documents: DataFrame, tokenizer: str, window: int = 1024, end_id: int = 0) -> DataFrame:
+def pack_documents(documents: DataFrame, tokenizer: str, window: int = 1024, end_id: int = 0, special: bool = False) -> DataFrame:
     """``documents`` cut into pieces and packed; one row per piece."""
-    return packed(pieces(documents, tokenizer, window, end_id), window)
+    return packed(pieces(documents, tokenizer, window, end_id, special), window)
 

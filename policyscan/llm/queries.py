@@ -57,7 +57,7 @@ def op4_approximation_file_search(spark: SparkSession, folder: str) -> DataFrame
 
 def op5_sum_of_squares_packing(spark: SparkSession, folder: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.json")
-    return packing.pack_documents(read(spark, folder, "documents"), path, WINDOW)
+    return packing.pack_documents(read(spark, folder, "documents"), path, WINDOW, special=True)
 
 
 def op6_nearest_centroid_language(spark: SparkSession, folder: str) -> DataFrame:

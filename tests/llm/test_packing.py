@@ -8,8 +8,10 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
+import corpus_pipeline
 from policyscan.llm.byte_bpe import ByteBpe
 from policyscan.llm.packing import pack_documents, sum_of_squares
+from policyscan.llm.queries import QUERIES
 
 from .tables import documents
 
@@ -80,6 +82,27 @@ def test_ids_equal_the_library_on_random_texts(library):
         assert encode(text) == np.array(library(text), "<u4").tobytes()
 
 
+def test_added_tokens_get_the_ids_of_the_library_left_alone(spark):
+    plain = Tokenizer.from_file(PATH)
+    assert plain.encode("a <|endoftext|> b", add_special_tokens=False).ids == [64, 220, 50256, 275]
+    rng = random.Random(4)
+    alphabet = [*" \n\t ab'sé1!", "<|endoftext|>", "<|endo", "'re", "\U0001f600"]
+    encode = ByteBpe(PATH, special=True).encode
+    for _ in range(2000):
+        text = "".join(rng.choices(alphabet, k=rng.randrange(40)))
+        assert encode(text) == np.array(plain.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+
+def test_the_query_and_the_stage_take_the_ids_of_the_library_left_alone(spark, tmp_path):
+    plain = Tokenizer.from_file(PATH)
+    texts = ["a <|endoftext|> b", "x<|endoftext|><|endoftext|>", "no such token"]
+    df = documents(spark, texts)
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    own = lambda text: plain.encode(text, add_special_tokens=False).ids
+    check(QUERIES["op5_sum_of_squares_packing"](spark, str(tmp_path)).collect(), dict(enumerate(texts)), own, 1024)
+    check(corpus_pipeline.pack(spark, df, str(tmp_path)).collect(), dict(enumerate(texts)), own, 1024)
+
+
 def naive(lengths, window):
     counts, bins, out = [0] * (window + 1), [], []
     for size in lengths:
