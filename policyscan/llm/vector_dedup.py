@@ -23,8 +23,9 @@ class VectorDuplicates:
     The index is fitted on ``sample`` distinct vectors, those of the smallest hashes: one
     coarse centroid per ``sqrt(n)`` vectors, ``lists`` at most, and ``parts`` codebooks of
     ``codes`` centroids each for the residuals. A vector is searched for in every list whose
-    border it comes near: by the distance at the threshold times ``spread / sqrt(dims)``,
-    what a difference in a random direction exceeds one time in many thousands.
+    border it comes near: by the distance at the threshold times ``spread / sqrt(dims)``, and
+    by half that distance at least. One of two linked vectors in different lists is so near
+    to the border between these, so every pair meets in a list, in any number of dimensions.
     """
 
     least: float = 0.95
@@ -93,8 +94,8 @@ class Index:
             off += ((part - book[codes[:, s]]) ** 2).sum(axis=1)
         return codes, np.sqrt(off)
 
-    def probes(self, x: np.ndarray, margin: float) -> tuple[np.ndarray, list[np.ndarray]]:
-        """The home list of each row, and all lists whose border is within ``margin``."""
+    def probes(self, x: np.ndarray, margin: float | np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+        """The home list of each row, and all lists whose border is within its ``margin``."""
         sizes = (self.coarse**2).sum(axis=1)
         away = (x**2).sum(axis=1)[:, None] - 2 * x @ self.coarse.T + sizes
         home = np.argmin(away, axis=1)
@@ -102,7 +103,7 @@ class Index:
         # How far a vector is from the plane between its home and another centroid.
         border = (away - away[np.arange(len(x)), home][:, None]) / (2 * np.sqrt(np.maximum(apart, 1e-12)))
         border[np.arange(len(x)), home] = 0
-        return home, [np.flatnonzero(b <= margin) for b in border]
+        return home, [np.flatnonzero(b <= m) for b, m in zip(border, np.broadcast_to(margin, len(x)), strict=True)]
 
     def distances(self, rest: np.ndarray, codes: np.ndarray) -> np.ndarray:
         """Squared distances of query residuals to coded ones, from tables per subspace."""
@@ -134,7 +135,8 @@ def _placed(distinct: DataFrame, index: Index, how: VectorDuplicates, kind: str)
                 dims = part["embedding"].map(len).to_numpy()
                 raw = index.padded(matrix(part["embedding"]))
                 x = _unit(raw)
-                margin = how.reach * min(1.0, how.spread / np.sqrt(x.shape[1]))
+                # A little more than the half, which rounding must not cut.
+                margin = how.reach * np.clip(how.spread / np.sqrt(dims), 0.5 + 1e-6, 1.0) + 1e-9
                 home, probes = index.probes(x, margin)
                 codes, off = index.encode(x - index.coarse[home])
                 yield pd.DataFrame(

@@ -57,6 +57,20 @@ def test_recall_on_the_given_table(spark, folder):
     assert sum(n for _, n in found) >= 0.9 * sum(n for _, n, _ in wanted) > 0
 
 
+@pytest.mark.parametrize("dims", [768, 300])
+def test_wide_groups_that_differ_in_few_directions(spark, dims):
+    rng = np.random.default_rng(dims)
+    plane = np.linalg.qr(rng.normal(size=(dims, 2)))[0].T
+    angles = rng.uniform(0, 2 * np.pi, 300)
+    x = np.float32(np.stack([np.cos(angles), np.sin(angles)], 1) @ plane)
+    data = [(i, v.tolist()) for i, v in enumerate(x)]
+    # Short vectors beside wide ones, alike in few directions too.
+    short = [(1000 + i, v[:40].tolist()) for i, v in enumerate(np.float32(rng.normal(size=(60, 2)) @ rng.normal(size=(2, 40))))]
+    found = vector_duplicates(vectors(spark, data + short))
+    wanted = linked(data, 0.95) + linked(short, 0.95)
+    assert rows(found, "vec_id", "n_links", "component_id") == sorted(wanted, key=repr)
+
+
 def test_vectors_that_link_with_nothing(spark):
     data = [*ODD, (1, [1.0] * 12), (2, [2.0] * 12), (3, [1.0] * 11), (None, [1.0] * 12)]
     found = {r.vec_id: r for r in vector_duplicates(vectors(spark, data)).collect()}
