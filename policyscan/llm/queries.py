@@ -19,6 +19,7 @@ from policyscan.llm import (
     token_counts,
     vector_dedup,
     vector_search,
+    whitening,
 )
 from policyscan.llm.tables import read
 
@@ -90,6 +91,24 @@ def op10_site_template_removal(spark: SparkSession, folder: str) -> DataFrame:
     return pages.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
+def op11_bit_sliced_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = read(spark, folder, "embeddings")
+    model = whitening.fit(vectors)
+    explained = model.explained if model else []
+    found = whitening.whiten(vectors, model)
+    parts = found.select("vec_id", "deviation", F.posexplode("whitened").alias("at", "whitened"))
+    shares = F.array(*map(F.lit, explained)) if explained else F.array().cast("array<double>")
+    return parts.select(
+        "vec_id",
+        (F.col("at") + 1).cast("int").alias("component"),
+        F.lit(model.rows if model else 0).cast("long").alias("n"),
+        F.expr("try_cast(deviation as bigint)").alias("deviation"),
+        "whitened",
+        F.element_at(shares, F.col("at") + 1).alias("explained"),
+        F.lit(model.identity_error if model else None).cast("double").alias("identity_error"),
+    )
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -103,5 +122,6 @@ QUERIES: dict[str, Query] = {
         op8_viterbi_token_counts,
         op9_chosen_path_near_duplicates,
         op10_site_template_removal,
+        op11_bit_sliced_whitening,
     )
 }
