@@ -15,6 +15,7 @@ from policyscan.llm import (
     near_dedup,
     packing,
     quality,
+    repeated_phrases,
     sharding,
     token_counts,
     vector_dedup,
@@ -109,6 +110,10 @@ def op11_bit_sliced_whitening(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op12_repeated_phrase_removal(spark: SparkSession, folder: str) -> DataFrame:
+    return repeated_phrases.without_repeats(read(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -123,5 +128,6 @@ QUERIES: dict[str, Query] = {
         op9_chosen_path_near_duplicates,
         op10_site_template_removal,
         op11_bit_sliced_whitening,
+        op12_repeated_phrase_removal,
     )
 }

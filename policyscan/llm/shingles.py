@@ -16,7 +16,9 @@ ROWS_AT_ONCE = 1 << 13
 _random = np.random.Generator(np.random.PCG64(20_011))
 _IS_WORD = np.ones(256, bool)
 _IS_WORD[list(SPACES)] = False
-_BYTE = _random.integers(1, 2**64, 256, np.uint64)
+#: A random number for each byte; words are hashed as written.
+AS_WRITTEN = _random.integers(1, 2**64, 256, np.uint64)
+_BYTE = AS_WRITTEN.copy()
 _BYTE[ord("A") : ord("Z") + 1] = _BYTE[ord("a") : ord("z") + 1]  # lower case
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -28,7 +30,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _odd(count: int, seed: int) -> np.ndarray:
+def odd(count: int, seed: int) -> np.ndarray:
     return mixed((np.arange(count, dtype=np.uint64) + np.uint64(seed)) * _STEP) | np.uint64(1)
 
 
@@ -44,8 +46,9 @@ def spans(sizes: Sequence[int], most: int) -> Iterator[tuple[int, int]]:
         yield low, len(sizes)
 
 
-def _word_hashes(encoded: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words in order, and the number of words of each text."""
+def word_hashes(encoded: list[bytes], byte: np.ndarray = _BYTE) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words in order, and the number of words of each text; ``byte`` has a
+    random number for each byte and so says which bytes are taken as equal."""
     buffer = np.frombuffer(b" ".join(encoded) + b" ", np.uint8)
     inside = _IS_WORD[buffer]
     edges = np.flatnonzero(inside[1:] != inside[:-1]) + 1
@@ -59,8 +62,8 @@ def _word_hashes(encoded: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     lengths = ends - starts
     first = np.cumsum(lengths) - lengths
     within = np.arange(int(lengths.sum())) - np.repeat(first, lengths)
-    powers = _odd(1, 5)[0] ** np.arange(int(lengths.max()) + 1, dtype=np.uint64)
-    weighted = _BYTE[buffer[inside]] * powers[within]
+    powers = odd(1, 5)[0] ** np.arange(int(lengths.max()) + 1, dtype=np.uint64)
+    weighted = byte[buffer[inside]] * powers[within]
     return mixed(np.add.reduceat(weighted, first) + lengths.astype(np.uint64)), counts
 
 
@@ -72,9 +75,9 @@ def shingle_sets(texts: Sequence[str | None], words: int) -> Iterator[np.ndarray
     none.
     """
     encoded = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
-    factors = _odd(words, 77)
+    factors = odd(words, 77)
     for low, high in spans([len(e) + 1 for e in encoded], BYTES_AT_ONCE):
-        hashes, counts = _word_hashes(encoded[low:high])
+        hashes, counts = word_hashes(encoded[low:high])
         joined = np.empty(0, np.uint64)
         if len(hashes) >= words:
             total = np.zeros(len(hashes) - words + 1, np.uint64)
@@ -100,8 +103,8 @@ class Signatures:
     """
 
     def __init__(self, size: int):
-        self._factor = (_odd(size, 1_001) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
-        self._term = (_odd(size, 5_003) >> np.uint64(32)).astype(np.uint32)
+        self._factor = (odd(size, 1_001) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
+        self._term = (odd(size, 5_003) >> np.uint64(32)).astype(np.uint32)
 
     def __call__(self, hashes: np.ndarray) -> np.ndarray:
         narrow = (hashes >> np.uint64(32)).astype(np.uint32)

@@ -140,4 +140,21 @@ ranked AS (
   FROM scores
 )
 SELECT * FROM ranked WHERE rank <= 5""",
+    "op12_repeated_phrase_removal": r"""
+WITH texts AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words
+  FROM documents
+),
+starts AS (SELECT r, words, unnest(range(1, len(words) - 33)) AS s FROM texts),
+windows AS (SELECT r, s, array_to_string(words[s : s + 34], ' ') AS content FROM starts),
+repeated AS (SELECT r, s FROM windows QUALIFY count(*) OVER (PARTITION BY content) > 1),
+removed AS (SELECT DISTINCT r, unnest(range(s, s + 35)) AS place FROM repeated),
+placed AS (SELECT r, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS place FROM texts),
+kept AS (
+  SELECT r, count(*) AS n, string_agg(word, ' ' ORDER BY place) AS content
+  FROM placed ANTI JOIN removed USING (r, place) GROUP BY r
+)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(len(words) - coalesce(n, 0) AS BIGINT) AS n_removed,
+  sha256(coalesce(content, '')) AS kept_sha256
+FROM texts LEFT JOIN kept USING (r)""",
 }
