@@ -17,6 +17,7 @@ from policyscan.llm import (
     quality,
     repeated_phrases,
     sharding,
+    spelling,
     token_counts,
     vector_dedup,
     vector_search,
@@ -114,6 +115,10 @@ def op12_repeated_phrase_removal(spark: SparkSession, folder: str) -> DataFrame:
     return repeated_phrases.without_repeats(read(spark, folder, "documents"))
 
 
+def op13_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling.spelling_variants(read(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -129,5 +134,6 @@ QUERIES: dict[str, Query] = {
         op10_site_template_removal,
         op11_bit_sliced_whitening,
         op12_repeated_phrase_removal,
+        op13_spelling_variants,
     )
 }

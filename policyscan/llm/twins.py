@@ -157,4 +157,46 @@ kept AS (
 SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(len(words) - coalesce(n, 0) AS BIGINT) AS n_removed,
   sha256(coalesce(content, '')) AS kept_sha256
 FROM texts LEFT JOIN kept USING (r)""",
+    "op13_spelling_variants": f"""
+WITH RECURSIVE {_CRC32},
+runs AS (
+  SELECT coalesce(doc_id::VARCHAR, '') AS id, translate(
+      unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run
+  FROM documents
+),
+counted AS (SELECT run, id || ':' || run AS text, count(*) AS n FROM runs WHERE length(run) >= 5 GROUP BY ALL),
+summed AS (SELECT run, n, {_TEXT_CRC32} AS h FROM counted, crc_table),
+shortened AS (
+  SELECT n, CASE WHEN h % 97 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word
+  FROM summed
+),
+words AS (
+  SELECT word, CAST(sum(n) AS BIGINT) AS n FROM shortened WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3
+),
+gaps AS (
+  SELECT word, n, i, substr(word, 1, i - 1) AS l, substr(word, i + 1) AS r
+  FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words)
+),
+pairs AS (
+  SELECT a.word, b.word AS near, b.n AS near_n
+  FROM gaps a JOIN gaps b ON a.i = b.i AND a.l = b.l AND a.r = b.r AND a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM gaps a JOIN words b ON b.word = a.l || a.r
+  UNION SELECT b.word, a.word, a.n FROM gaps a JOIN words b ON b.word = a.l || a.r
+),
+most AS (SELECT word, count(*) AS n_near, max(near_n) AS best FROM pairs GROUP BY word),
+chosen AS (
+  SELECT word, any_value(n_near) AS n_near, any_value(best) AS best, min(near) AS near
+  FROM most JOIN pairs USING (word) WHERE near_n = best GROUP BY word
+),
+forms AS (
+  SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN best >= 2 * n THEN near END AS form,
+    CASE WHEN best >= 2 * n THEN best END AS form_n
+  FROM words LEFT JOIN chosen USING (word)
+),
+paths AS (
+  SELECT word, word AS place, form AS further FROM forms
+  UNION ALL
+  SELECT p.word, f.word, f.form FROM paths p JOIN forms f ON f.word = p.further
+)
+SELECT word, form, place AS root, n, n_near, form_n FROM forms JOIN paths USING (word) WHERE further IS NULL""",
 }
