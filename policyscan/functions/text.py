@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 WORD_START = r"(?<![0-9A-Za-z_])"
 WORD_END = r"(?![0-9A-Za-z_])"
 BLANKS = r"[\t\n\f\r ]+"
+#: A pattern that holds nowhere, for lists without words.
+NOTHING = r"(?!)"
 
 
 def padded_words(text: Column) -> Column:
@@ -40,10 +42,12 @@ def terms_in(surface: Column, vocabulary: Iterable[str], open_spellings: dict[st
     listed = [v for v in vocabulary if v not in open_spellings]
     words = F.split(F.trim(surface), " ")
     runs = [words]
-    for length in range(2, max(len(v.split()) for v in listed) + 1):
+    for length in range(2, max((len(v.split()) for v in listed), default=1) + 1):
         following = F.slice(words, F.lit(length), F.size(words))
         runs.append(F.zip_with(runs[-1], following, lambda a, b: F.concat_ws(" ", a, b)))
     found = F.array_intersect(F.expr(term_array(listed)), F.concat(*runs))
+    if not listed:
+        found = F.array().cast("array<string>")
     for entry in vocabulary:
         if entry in open_spellings:
             hit = F.when(surface.rlike(open_spellings[entry]), F.array(F.lit(entry)))
@@ -63,11 +67,13 @@ def computed_once(df: DataFrame, keep: Iterable[str | Column], **columns: Column
 
 def has_word(text: Column, words: Iterable[str]) -> Column:
     """Whole-word test on raw text; NULL when the text is NULL."""
+    words = tuple(words) or (NOTHING,)
     return F.lower(text).rlike(f"{WORD_START}(?:{'|'.join(words)}){WORD_END}")
 
 
 def has_phrase(text: Column, firsts: Iterable[str], last: str) -> Column:
     """True when raw text holds ``<one of firsts> <last>`` with only blanks between."""
+    firsts = tuple(firsts) or (NOTHING,)
     lowered = F.lower(F.coalesce(text, F.lit("")))
     # The substring test is cheap and settles most long texts.
     return lowered.contains(last) & lowered.rlike(

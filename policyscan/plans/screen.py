@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from policyscan.functions.buckets import case_sql, first_match
 from policyscan.functions.text import (
+    NOTHING,
     computed_once,
     has_phrase,
     has_word,
@@ -23,7 +24,7 @@ from policyscan.functions.text import (
     terms_in,
 )
 from policyscan.rules import bank
-from policyscan.rules.bank import all_terms, terms
+from policyscan.rules.bank import BUILT_IN, Bank, all_terms, terms
 
 LISTING_COLUMNS = (
     "listing_id",
@@ -51,33 +52,32 @@ POSITIVE_RULES = (*EMITTED_RULES, "TAXIDERMY_FUR_ANIMAL", "SEAL_COMPOUND")
 class Profile:
     """What differs between screening the catalogue and screening reactivated listings."""
 
-    description_faux: str = bank.DESCRIPTION_FAUX
+    description_faux: str = "faux"
     drop_sculptures: bool = True
 
 
 CATALOGUE = Profile()
-REACTIVATED = Profile(bank.DESCRIPTION_FAUX_REACTIVATED, drop_sculptures=False)
-
-_TITLE_VOCABULARY = (
-    *all_terms(bank.SURE_ANIMALS),
-    *all_terms(bank.AMBIGUOUS_ANIMALS),
-    *all_terms(bank.TITLE_COUNTERS),
-    *terms(bank.STRONG_TERMS),
-    *terms(bank.PELT_TERMS),
-    *terms(bank.VINTAGE_TERMS),
-)
-_LISTING_VOCABULARY = (
-    *all_terms(bank.FUR_TERMS),
-    *all_terms(bank.ANGORA),
-    *all_terms(bank.MATERIALS),
-    *all_terms(bank.BYPRODUCTS),
-)
-_TAG_VOCABULARY = all_terms(bank.TAG_NEGATION)
-_CANDIDATE = f" (?:{'|'.join(terms(bank.CANDIDATE_TERMS))}) "
-_FAUX_NEAR_FUR = (
-    f" (?:{'|'.join(terms(bank.FAUX_WORDS))})"
-    rf" (?:\w+ )?(?:{'|'.join(terms(bank.FAUX_NEIGHBOURS))}) "
-)
+REACTIVATED = Profile("faux_reactivated", drop_sculptures=False)
+
+
+def _title_vocabulary(rules: Bank) -> tuple[str, ...]:
+    animals = (*all_terms(rules.sure_animals), *all_terms(rules.ambiguous_animals))
+    return (*animals, *all_terms(rules.counters), *all_terms(rules.claims))
+
+
+def _listing_vocabulary(rules: Bank) -> tuple[str, ...]:
+    others = (*all_terms(rules.excluded), *all_terms(rules.materials), *all_terms(rules.byproducts))
+    return (*all_terms(rules.fur_terms), *others)
+
+
+def _one_of(listed: tuple[str, ...]) -> str:
+    return "|".join(listed) or NOTHING
+
+
+def _faux_near_fur(rules: Bank) -> str:
+    words = _one_of(terms(rules.faux_near.get("words", "")))
+    near = _one_of(terms(rules.faux_near.get("neighbours", "")))
+    return rf" (?:{words}) (?:\w+ )?(?:{near}) "
 
 
 # The tests below are SQL text: the rule bank makes for hundreds of them, and one
@@ -85,6 +85,8 @@ _FAUX_NEAR_FUR = (
 
 
 def _holds(found: str, wanted: tuple[str, ...]) -> str:
+    if not wanted:
+        return "false"
     return f"arrays_overlap({found}, {term_array(wanted)})"
 
 
@@ -97,7 +99,7 @@ def in_listing(*wanted: str) -> str:
 
 
 def _any(*tests: str) -> str:
-    return f"({' OR '.join(tests)})"
+    return f"({' OR '.join(tests) or 'false'})"
 
 
 def _all(*tests: str) -> str:
@@ -116,16 +118,22 @@ def sellable(listings: DataFrame) -> DataFrame:
     )
 
 
-def description_claims(listings: DataFrame, profile: Profile, *keep: str) -> DataFrame:
+def description_claims(
+    listings: DataFrame, profile: Profile, *keep: str, rules: Bank = BUILT_IN
+) -> DataFrame:
     """Replace descriptions by what they claim about fur."""
+    faux = terms(rules.descriptions.get(profile.description_faux, ""))
+    real = terms(rules.descriptions.get("real", ""))
     return listings.select(
         *keep,
-        has_phrase(F.col("description"), terms(profile.description_faux), "fur").alias("says_faux"),
-        has_phrase(F.col("description"), terms(bank.DESCRIPTION_REAL), "fur").alias("says_real"),
+        has_phrase(F.col("description"), faux, "fur").alias("says_faux"),
+        has_phrase(F.col("description"), real, "fur").alias("says_real"),
     )
 
 
-def candidates(listings: DataFrame, tags: DataFrame, taxonomy: DataFrame) -> DataFrame:
+def candidates(
+    listings: DataFrame, tags: DataFrame, taxonomy: DataFrame, rules: Bank = BUILT_IN
+) -> DataFrame:
     """Listings whose title or tags hold a candidate term, with tags and category path."""
     tagged = listings.join(tags.select("listing_id", "all_tags"), "listing_id", "left").withColumn(
         "listing_words",
@@ -136,125 +144,141 @@ def candidates(listings: DataFrame, tags: DataFrame, taxonomy: DataFrame) -> Dat
         ),
     )
     # The filter runs before the second join, which then moves candidates only.
-    hits = tagged.filter(F.col("listing_words").rlike(_CANDIDATE))
+    hits = tagged.filter(F.col("listing_words").rlike(f" (?:{_one_of(all_terms(rules.candidates))}) "))
     placed = hits.join(taxonomy.select("listing_id", "full_path"), "listing_id", "left")
     return placed.filter(
         F.col("full_path").isNull() | ~F.lower("full_path").contains(bank.NOISE_PATH)
     )
 
 
-def find_terms(candidate_listings: DataFrame) -> DataFrame:
+def _found(rules: Bank) -> dict[str, Column]:
     """Terms found per surface; everything later is a test on these short arrays."""
     title_words = padded_words(F.col("title"))
-    return computed_once(
-        candidate_listings,
-        [c for c in candidate_listings.columns if c not in ("listing_words", "all_tags")],
-        title_terms=terms_in(title_words, _TITLE_VOCABULARY, bank.OPEN_SPELLINGS),
-        listing_terms=terms_in(F.col("listing_words"), _LISTING_VOCABULARY, bank.OPEN_SPELLINGS),
-        tag_terms=terms_in(padded_words(F.lower("all_tags")), _TAG_VOCABULARY, bank.OPEN_SPELLINGS),
-        faux_near_fur=title_words.rlike(_FAUX_NEAR_FUR),
-        tags_say_real=F.coalesce(has_word(F.col("all_tags"), bank.FURSUIT_OVERRIDE), F.lit(False)),
-    )
+    tag_words = padded_words(F.lower("all_tags"))
+    override = all_terms(rules.overrides)
+    return {
+        "title_terms": terms_in(title_words, _title_vocabulary(rules), rules.spellings),
+        "listing_terms": terms_in(F.col("listing_words"), _listing_vocabulary(rules), rules.spellings),
+        "tag_terms": terms_in(tag_words, all_terms(rules.tag_negation), rules.spellings),
+        "faux_near_fur": title_words.rlike(_faux_near_fur(rules)),
+        "tags_say_real": F.coalesce(has_word(F.col("all_tags"), override), F.lit(False)),
+    }
+
 
+def find_terms(candidate_listings: DataFrame, rules: Bank = BUILT_IN) -> DataFrame:
+    """Candidates with the terms found, computed once for all later filters."""
+    keep = [c for c in candidate_listings.columns if c not in ("listing_words", "all_tags")]
+    return computed_once(candidate_listings, keep, **_found(rules))
 
-def _counter(rule: str) -> str:
-    return in_title(*terms(bank.TITLE_COUNTERS[rule]))
 
+def _counter(rules: Bank, name: str) -> str:
+    return in_title(*terms(rules.counters.get(name, "")))
 
-def _ambiguous(rule: str) -> str:
-    return in_title(*terms(bank.AMBIGUOUS_ANIMALS[rule]))
 
+def _ambiguous(rules: Bank, name: str) -> str:
+    return in_title(*terms(rules.ambiguous_animals.get(name, "")))
 
-def _fur_term(*rules: str) -> str:
-    return in_listing(*all_terms(bank.FUR_TERMS, *rules))
 
+def _fur_term(rules: Bank, *names: str) -> str:
+    return in_listing(*all_terms(rules.fur_terms, *names)) if names else "false"
 
-def _guarded(animals: dict[str, str], rule: str, guard: str) -> str:
-    """Any of the animals in the title, one of them only without its guard."""
-    others = all_terms({name: listed for name, listed in animals.items() if name != rule})
-    return _any(in_title(*others), _all(in_title(*terms(animals[rule])), _not(_counter(guard))))
+
+def _unguarded(rules: Bank, name: str, test: str) -> str:
+    """A test that holds only without the counter that guards it."""
+    guard = rules.guards.get(name)
+    return _all(test, _not(_counter(rules, guard))) if guard else test
+
+
+def _any_animal(rules: Bank, animals: dict[str, str]) -> str:
+    """Any of the animals in the title, some of them only without their guards."""
+    guarded = [name for name in animals if name in rules.guards]
+    others = all_terms({name: listed for name, listed in animals.items() if name not in guarded})
+    return _any(
+        in_title(*others),
+        *[_unguarded(rules, name, in_title(*terms(animals[name]))) for name in guarded],
+    )
 
 
-_KANGAROO_HIDE = _all(_ambiguous("kangaroo"), _fur_term(bank.HIDE_RULE))
 _SAYS_FAUX_ONLY = "(says_faux AND NOT says_real)"
-_NEGATED_BY_TAGS = _holds("tag_terms", _TAG_VOCABULARY)
 _EMITTED = "match_rule IN ({})".format(", ".join(f"'{rule}'" for rule in EMITTED_RULES))
 
 
-def match_rule() -> Column:
+def _negated_by_tags(rules: Bank) -> str:
+    return _holds("tag_terms", all_terms(rules.tag_negation))
+
+
+def match_rule(rules: Bank = BUILT_IN) -> Column:
     """The screening decision: the first rule that holds."""
     strong = _any(
-        in_title(*terms(bank.STRONG_TERMS)),
-        _all(in_title(*terms(bank.PELT_TERMS)), _not(_counter("van_pelt"))),
+        in_title(*rules.claim("strong")), _unguarded(rules, "pelt", in_title(*rules.claim("pelt")))
     )
     weak = _not(strong)
-    no_byproduct = _not(in_listing(*all_terms(bank.BYPRODUCTS)))
-    context = _any(_fur_term(*bank.EVIDENCE_RULES), _KANGAROO_HIDE)
-    sure = _guarded(bank.SURE_ANIMALS, "marten", "doc_marten")
-    ambiguous = _guarded(bank.AMBIGUOUS_ANIMALS, "fitch", "abercrombie_fitch")
+    no_byproduct = _not(in_listing(*all_terms(rules.byproducts)))
+    hides = [_all(_ambiguous(rules, animal), _fur_term(rules, hide)) for hide, animal in rules.hide.items()]
+    context = _any(_fur_term(rules, *rules.evidence), *hides)
+    sure = _any_animal(rules, rules.sure_animals)
+    ambiguous = _any_animal(rules, rules.ambiguous_animals)
     return case_sql(
         [
-            (in_listing(*all_terms(bank.ANGORA)), "EXCLUDED_ANGORA"),
+            (in_listing(*all_terms(rules.excluded)), "EXCLUDED_ANGORA"),
             ("faux_near_fur", "EXCLUDED_FAUX_PROXIMITY"),
             (
-                _any(_NEGATED_BY_TAGS, _counter("title_negation"), _SAYS_FAUX_ONLY),
+                _any(_negated_by_tags(rules), _counter(rules, "title_negation"), _SAYS_FAUX_ONLY),
                 "EXCLUDED_HARD_NEGATION",
             ),
-            (_all(_counter("pet_memorial"), weak), "EXCLUDED_PET_MEMORIAL"),
-            (_all(_counter("sticker_decal"), weak), "EXCLUDED_STICKER_DECAL"),
+            (_all(_counter(rules, "pet_memorial"), weak), "EXCLUDED_PET_MEMORIAL"),
+            (_all(_counter(rules, "sticker_decal"), weak), "EXCLUDED_STICKER_DECAL"),
             (
-                _all(_counter("fursuit_title"), weak, "(NOT tags_say_real)"),
+                _all(_counter(rules, "fursuit_title"), weak, "(NOT tags_say_real)"),
                 "EXCLUDED_FURSUIT",
             ),
             (
-                _all(_fur_term(*bank.TAXIDERMY_RULES), _any(sure, ambiguous), weak),
+                _all(_fur_term(rules, *rules.taxidermy), _any(sure, ambiguous), weak),
                 "TAXIDERMY_FUR_ANIMAL",
             ),
             (
-                _all(in_title(*terms(bank.EXPLICIT_CLAIMS)), no_byproduct),
+                _all(in_title(*rules.claim("explicit")), no_byproduct),
                 "EXPLICIT_FUR_DECLARATION",
             ),
             (_all(sure, context), "TIER1_WITH_FUR_CONTEXT"),
             (sure, "TIER1_STANDALONE"),
             (_all(ambiguous, context), "TIER2_WITH_FUR_CONTEXT"),
-            (_fur_term(*bank.SEAL_RULES), "SEAL_COMPOUND"),
+            (_fur_term(rules, *rules.seal), "SEAL_COMPOUND"),
             (_all(strong, no_byproduct), "FUR_PRODUCT_TERM_ONLY"),
         ],
         "NO_MATCH",
     )
 
 
-def classify(candidate_listings: DataFrame) -> DataFrame:
+def classify(candidate_listings: DataFrame, rules: Bank = BUILT_IN) -> DataFrame:
     """Candidates with the terms found and the match rule."""
-    found = find_terms(candidate_listings)
-    return computed_once(found, found.columns, match_rule=match_rule())
+    found = find_terms(candidate_listings, rules)
+    return computed_once(found, found.columns, match_rule=match_rule(rules))
 
 
 def is_positive() -> Column:
     return F.col("match_rule").isin(*POSITIVE_RULES)
 
 
-def fired_rules() -> dict[str, dict[str, str]]:
+def fired_rules(rules: Bank = BUILT_IN) -> dict[str, dict[str, str]]:
     """Every named rule as a test, by list, in the order the lists show them."""
-    title_negation, *other_counters = bank.TITLE_COUNTERS
+    title = {name: _counter(rules, name) for name in rules.counters}
+    first = {"title_negation": title.pop("title_negation")} if "title_negation" in title else {}
     return {
-        "tier1_animals": {
-            rule: in_title(*terms(listed)) for rule, listed in bank.SURE_ANIMALS.items()
-        },
-        "tier2_animals": {rule: _ambiguous(rule) for rule in bank.AMBIGUOUS_ANIMALS},
-        "fur_context": {rule: _fur_term(rule) for rule in bank.FUR_TERMS},
+        "tier1_animals": {name: in_title(*terms(listed)) for name, listed in rules.sure_animals.items()},
+        "tier2_animals": {name: _ambiguous(rules, name) for name in rules.ambiguous_animals},
+        "fur_context": {name: _fur_term(rules, name) for name in rules.fur_terms},
         "negation_terms": {
-            "angora": in_listing(*all_terms(bank.ANGORA)),
-            "tag_negation": _NEGATED_BY_TAGS,
-            title_negation: _counter(title_negation),
+            **{name: in_listing(*terms(listed)) for name, listed in rules.excluded.items()},
+            **{name: _holds("tag_terms", terms(listed)) for name, listed in rules.tag_negation.items()},
+            **first,
             "faux_proximity": "faux_near_fur",
             "desc_faux_fur": "says_faux",
             "desc_real_fur": "says_real",
-            **{rule: _counter(rule) for rule in other_counters},
+            **title,
         },
         "context_terms": {
-            rule: in_listing(*terms(listed))
-            for rule, listed in (bank.MATERIALS | bank.BYPRODUCTS).items()
+            name: in_listing(*terms(listed)) for name, listed in (rules.materials | rules.byproducts).items()
         },
     }
 
@@ -262,6 +286,8 @@ def fired_rules() -> dict[str, dict[str, str]]:
 def _rules_of(found: str, table: dict[str, str]) -> str:
     """Names of the rules that the found terms belong to, in the table's order."""
     pairs = [(term, rule) for rule, listed in table.items() for term in terms(listed)]
+    if not pairs:
+        return "cast(array() AS array<string>)"
     known = f"map_from_arrays({term_array(t for t, _ in pairs)}, {term_array(r for _, r in pairs)})"
     rules = f"transform({found}, term -> try_element_at({known}, term))"
     return f"array_intersect({term_array(table)}, {rules})"
@@ -271,23 +297,26 @@ def _unless(test: str, names: str, dropped: str) -> str:
     return f"IF({test}, array_remove({names}, '{dropped}'), {names})"
 
 
-def matched_terms() -> dict[str, Column]:
+def matched_terms(rules: Bank = BUILT_IN) -> dict[str, Column]:
     """The five comma lists shown with a result; NULL when nothing matched."""
-    negation = fired_rules()["negation_terms"]
+    negation = fired_rules(rules)["negation_terms"]
     negation["desc_faux_fur"] = _SAYS_FAUX_ONLY
     del negation["desc_real_fur"]
     negations = ", ".join(f"IF({test}, '{rule}', NULL)" for rule, test in negation.items())
+    sure = _rules_of("title_terms", rules.sure_animals)
+    for name in rules.sure_animals:
+        if name in rules.guards:
+            sure = _unless(_counter(rules, rules.guards[name]), sure, name)
+    context = _rules_of("listing_terms", rules.fur_terms)
+    for hide, animal in rules.hide.items():
+        context = _unless(_not(_ambiguous(rules, animal)), context, hide)
     shown = {
-        "tier1_animals": _unless(
-            _counter("doc_marten"), _rules_of("title_terms", bank.SURE_ANIMALS), "marten"
-        ),
-        "tier2_animals": _rules_of("title_terms", bank.AMBIGUOUS_ANIMALS),
-        "fur_context": _unless(
-            _not(_ambiguous("kangaroo")), _rules_of("listing_terms", bank.FUR_TERMS), bank.HIDE_RULE
-        ),
+        "tier1_animals": sure,
+        "tier2_animals": _rules_of("title_terms", rules.ambiguous_animals),
+        "fur_context": context,
         "negation_terms": f"array({negations})",
         "context_terms": "concat({}, {})".format(
-            _rules_of("listing_terms", bank.MATERIALS), _rules_of("listing_terms", bank.BYPRODUCTS)
+            _rules_of("listing_terms", rules.materials), _rules_of("listing_terms", rules.byproducts)
         ),
     }
     return {
@@ -315,15 +344,16 @@ def emitted(classified: DataFrame, profile: Profile) -> DataFrame:
 
 
 # Confidence tiers; the word after the number is the band.
-def confidence_tier() -> Column:
+def confidence_tier(rules: Bank = BUILT_IN) -> Column:
     tier2 = "match_rule = 'TIER2_WITH_FUR_CONTEXT'"
-    rabbit = _all(tier2, _ambiguous("rabbit"))
+    prime = _any(*[_ambiguous(rules, name) for name in rules.tier("prime")])
+    rabbit = _all(tier2, _any(*[_ambiguous(rules, name) for name in rules.tier("sampled")]))
     return case_sql(
         [
-            (_fur_term("auction brand"), "01_HIGH_auction_brand"),
+            (_fur_term(rules, *rules.tier("brand")), "01_HIGH_auction_brand"),
             ("match_rule = 'EXPLICIT_FUR_DECLARATION'", "02_HIGH_explicit_declaration"),
-            (_all(tier2, _any(_ambiguous("fox"), _ambiguous("mink"))), "03_HIGH_fox_mink"),
-            (_fur_term("non-english fur"), "04_HIGH_non_english"),
+            (_all(tier2, prime), "03_HIGH_fox_mink"),
+            (_fur_term(rules, *rules.tier("foreign")), "04_HIGH_non_english"),
             ("match_rule = 'TIER1_WITH_FUR_CONTEXT'", "05_HIGH_tier1_with_context"),
             ("match_rule = 'TIER1_STANDALONE'", "06_HIGH_tier1_standalone"),
             (
@@ -348,7 +378,7 @@ def band_of(tier: Column) -> Column:
     return F.when(tier == "OTHER", tier).otherwise(F.split_part(tier, F.lit("_"), F.lit(2)))
 
 
-def simple_band() -> Column:
+def simple_band(rules: Bank = BUILT_IN) -> Column:
     """The band used for reactivated listings; reads species off the raw title."""
     rule = F.col("match_rule")
     tier2 = rule == "TIER2_WITH_FUR_CONTEXT"
@@ -360,7 +390,7 @@ def simple_band() -> Column:
                 ),
                 "HIGH",
             ),
-            (tier2 & has_word(F.col("title"), ("fox", "mink")), "HIGH"),
+            (tier2 & has_word(F.col("title"), rules.tier("prime")), "HIGH"),
             (
                 tier2 & F.col("top_category").isin("clothing", "accessories", "bags_and_purses"),
                 "MEDIUM",
@@ -372,54 +402,67 @@ def simple_band() -> Column:
 
 
 def catalogue_candidates(
-    listings: DataFrame, tags: DataFrame, taxonomy: DataFrame, profile: Profile = CATALOGUE
+    listings: DataFrame,
+    tags: DataFrame,
+    taxonomy: DataFrame,
+    profile: Profile = CATALOGUE,
+    rules: Bank = BUILT_IN,
 ) -> DataFrame:
-    described = description_claims(sellable(listings), profile, *LISTING_COLUMNS)
-    return candidates(described, tags, taxonomy)
+    described = description_claims(sellable(listings), profile, *LISTING_COLUMNS, rules=rules)
+    return candidates(described, tags, taxonomy, rules)
 
 
-def diagnose_listings(listings: DataFrame, tags: DataFrame, taxonomy: DataFrame) -> DataFrame:
+def diagnose_listings(
+    listings: DataFrame, tags: DataFrame, taxonomy: DataFrame, rules: Bank = BUILT_IN
+) -> DataFrame:
     """Every candidate with its match rule and matched terms, reported or not."""
-    classified = classify(catalogue_candidates(listings, tags, taxonomy))
+    classified = classify(catalogue_candidates(listings, tags, taxonomy, rules=rules), rules)
     return classified.select(
         "listing_id",
         "match_rule",
         is_positive().alias("is_fur_trade"),
-        *[column.alias(name) for name, column in matched_terms().items()],
+        *[column.alias(name) for name, column in matched_terms(rules).items()],
     )
 
 
 def screen_listings(
-    listings: DataFrame, tags: DataFrame, taxonomy: DataFrame, ordered: bool = False
+    listings: DataFrame,
+    tags: DataFrame,
+    taxonomy: DataFrame,
+    ordered: bool = False,
+    rules: Bank = BUILT_IN,
 ) -> DataFrame:
     """Reported listings with match rule, confidence and matched terms."""
-    classified = classify(catalogue_candidates(listings, tags, taxonomy))
+    classified = classify(catalogue_candidates(listings, tags, taxonomy, rules=rules), rules)
     result = (
         emitted(classified, CATALOGUE)
         .select(
             *LISTING_COLUMNS,
             "full_path",
-            *[column.alias(name) for name, column in matched_terms().items()],
+            *[column.alias(name) for name, column in matched_terms(rules).items()],
             "match_rule",
             is_positive().alias("is_fur_trade"),
-            F.expr(in_title(*terms(bank.VINTAGE_TERMS))).alias("is_vintage"),
-            confidence_tier().alias("confidence_tier"),
+            F.expr(in_title(*rules.claim("vintage"))).alias("is_vintage"),
+            confidence_tier(rules).alias("confidence_tier"),
         )
         .withColumn("confidence_band", band_of(F.col("confidence_tier")))
     )
     return result.orderBy(F.desc_nulls_last("past_year_gms"), "listing_id") if ordered else result
 
 
-def rule_counts(listings: DataFrame, tags: DataFrame, taxonomy: DataFrame) -> DataFrame:
-    """How many candidates each named rule fired on."""
-    found = find_terms(catalogue_candidates(listings, tags, taxonomy))
-    fired = ", ".join(
-        f"struct('{group}' AS rule_group, '{rule}' AS rule, {test} AS hit)"
-        for group, rules in fired_rules().items()
-        for rule, test in rules.items()
-    )
-    return (
-        found.select(F.expr(f"inline(array({fired}))"))
-        .groupBy("rule_group", "rule")
-        .agg(F.count_if("hit").alias("listings"))
+def rule_counts(
+    listings: DataFrame, tags: DataFrame, taxonomy: DataFrame, rules: Bank = BUILT_IN
+) -> DataFrame:
+    """How many candidates each named rule fired on.
+
+    One aggregate counts all rules, and its single row is turned into a row per rule.
+    """
+    # No filter follows, so a projection will do: its values are read, not copied.
+    found = catalogue_candidates(listings, tags, taxonomy, rules=rules)
+    found = found.select("says_faux", "says_real", *[c.alias(name) for name, c in _found(rules).items()])
+    fired = [(group, name, test) for group, named in fired_rules(rules).items() for name, test in named.items()]
+    counts = found.agg(*[F.expr(f"count_if({test})").alias(f"n{at}") for at, (_, _, test) in enumerate(fired)])
+    listed = ", ".join(
+        f"struct('{group}' AS rule_group, '{name}' AS rule, n{at} AS listings)" for at, (group, name, _) in enumerate(fired)
     )
+    return counts.select(F.expr(f"inline(array({listed}))"))

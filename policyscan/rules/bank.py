@@ -7,9 +7,11 @@ stand in ``OPEN_SPELLINGS`` and are used in the lists by their key.
 
 from __future__ import annotations
 
+from dataclasses import dataclass, field
+
 
 def terms(listed: str) -> tuple[str, ...]:
-    return tuple(listed.split(", "))
+    return tuple(listed.split(", ")) if listed else ()
 
 
 def all_terms(table: dict[str, str], *names: str) -> tuple[str, ...]:
@@ -118,9 +120,6 @@ SEAL_RULES = ("sealskin", "seal fur/pelt")
 HIDE_RULE = "kangaroo hide/skin"
 # Shown to the reader of a result, but no evidence of fur.
 SHOWN_ONLY_RULES = ("skull", "claws", "oddities/curiosities")
-EVIDENCE_RULES = tuple(
-    rule for rule in FUR_TERMS if rule not in (HIDE_RULE, *SEAL_RULES, *SHOWN_ONLY_RULES)
-)
 
 # Words that speak against fur, in the order the negation list shows them.
 ANGORA = {"angora": "angora"}
@@ -209,3 +208,70 @@ FUR_OR_SPECIES_WORDS = ("fur", *SPECIES_WORDS, "pelz")
 AUTHENTIC_WORDS = ("real", "genuine")
 CLAIM_WORDS = ("real", "genuine", "natural")
 EVIDENT_CLAIM_WORDS = ("real", "genuine", "natural", "authentic")
+
+
+@dataclass(frozen=True)
+class Bank:
+    """A rule bank for screening; ``rules.table`` reads one from a table.
+
+    Tables map rules to comma lists of terms. Fur terms that are neither of ``hide`` nor seal
+    nor shown only are evidence of fur. ``guards`` names the counter that cancels an animal or
+    the pelt claim, ``hide`` the animal that a fur term needs, and ``tiers`` the rules that
+    the confidence tiers treat apart.
+    """
+
+    sure_animals: dict[str, str] = field(default_factory=dict)
+    ambiguous_animals: dict[str, str] = field(default_factory=dict)
+    fur_terms: dict[str, str] = field(default_factory=dict)
+    taxidermy: tuple[str, ...] = ()
+    seal: tuple[str, ...] = ()
+    shown_only: tuple[str, ...] = ()
+    hide: dict[str, str] = field(default_factory=dict)
+    excluded: dict[str, str] = field(default_factory=dict)
+    tag_negation: dict[str, str] = field(default_factory=dict)
+    counters: dict[str, str] = field(default_factory=dict)
+    materials: dict[str, str] = field(default_factory=dict)
+    byproducts: dict[str, str] = field(default_factory=dict)
+    claims: dict[str, str] = field(default_factory=dict)
+    faux_near: dict[str, str] = field(default_factory=dict)
+    descriptions: dict[str, str] = field(default_factory=dict)
+    overrides: dict[str, str] = field(default_factory=dict)
+    candidates: dict[str, str] = field(default_factory=dict)
+    spellings: dict[str, str] = field(default_factory=dict)
+    guards: dict[str, str] = field(default_factory=dict)
+    tiers: dict[str, str] = field(default_factory=dict)
+
+    @property
+    def evidence(self) -> tuple[str, ...]:
+        other = (*self.hide, *self.seal, *self.shown_only)
+        return tuple(rule for rule in self.fur_terms if rule not in other)
+
+    def claim(self, name: str) -> tuple[str, ...]:
+        return terms(self.claims.get(name, ""))
+
+    def tier(self, name: str) -> tuple[str, ...]:
+        return tuple(rule for rule, tier in self.tiers.items() if tier == name)
+
+
+BUILT_IN = Bank(
+    sure_animals=SURE_ANIMALS,
+    ambiguous_animals=AMBIGUOUS_ANIMALS,
+    fur_terms=FUR_TERMS,
+    taxidermy=TAXIDERMY_RULES,
+    seal=SEAL_RULES,
+    shown_only=SHOWN_ONLY_RULES,
+    hide={HIDE_RULE: "kangaroo"},
+    excluded=ANGORA,
+    tag_negation=TAG_NEGATION,
+    counters=TITLE_COUNTERS,
+    materials=MATERIALS,
+    byproducts=BYPRODUCTS,
+    claims={"explicit": EXPLICIT_CLAIMS, "pelt": PELT_TERMS, "strong": STRONG_TERMS, "vintage": VINTAGE_TERMS},
+    faux_near={"words": FAUX_WORDS, "neighbours": FAUX_NEIGHBOURS},
+    descriptions={"faux": DESCRIPTION_FAUX, "faux_reactivated": DESCRIPTION_FAUX_REACTIVATED, "real": DESCRIPTION_REAL},
+    overrides={"fursuit": ", ".join(FURSUIT_OVERRIDE)},
+    candidates={"candidate": CANDIDATE_TERMS},
+    spellings=OPEN_SPELLINGS,
+    guards={"marten": "doc_marten", "fitch": "abercrombie_fitch", "pelt": "van_pelt"},
+    tiers={"auction brand": "brand", "non-english fur": "foreign", "fox": "prime", "mink": "prime", "rabbit": "sampled"},
+)

@@ -1,0 +1,113 @@
+"""Rule banks as tables: the built-in one, another one, and wrong ones."""
+
+from __future__ import annotations
+
+import pytest
+from pyspark.sql import functions as F
+
+from checks.catalogue import _screen_inputs
+from checks.compare import spark_rows
+from checks.standins import StandIns
+from policyscan.plans import screen
+from policyscan.rules import table
+from policyscan.rules.bank import BUILT_IN, Bank
+from tests import tables as t
+
+
+def test_the_built_in_bank_survives_its_table(spark, tmp_path):
+    path = str(tmp_path / "rules")
+    table.bank_table(spark, BUILT_IN).repartition(5).write.parquet(path)
+    assert table.read_bank(spark.read.parquet(path)) == BUILT_IN
+
+
+@pytest.mark.parametrize("analysis", [screen.screen_listings, screen.diagnose_listings, screen.rule_counts])
+def test_the_built_in_bank_as_a_table_gives_the_same_rows(spark, folder, analysis):
+    inputs = _screen_inputs(StandIns(spark, folder))
+    rules = table.read_bank(table.bank_table(spark, BUILT_IN))
+    assert spark_rows(analysis(*inputs, rules=rules)) == spark_rows(analysis(*inputs))
+
+
+OTHER = [
+    ("sure_animal", "elephant", "title", "ivory, tusk, tusks", 1, "toy", None),
+    ("ambiguous_animal", "horn", "title", "horn, horns", 2, None, "prime"),
+    ("ambiguous_animal", "shell", "title", "shell", 3, None, "sampled"),
+    ("fur_evidence", "carved", "title and tags", "carved, hand carved, scrim*", 4, None, "brand"),
+    ("fur_hide", "scutes", "title and tags", "scute, scutes", 5, "shell", None),
+    ("counter", "toy", "title", "toy", 6, None, None),
+    ("counter", "title_negation", "title", "imitation", 7, None, None),
+    ("claim", "explicit", "title", "real ivory", 8, None, None),
+    ("description", "real", "description", "real", 9, None, None),
+    ("candidate", "any", "title and tags", r"ivory, tusks?, horns?, shell", 10, None, None),
+    ("spelling", "scrim*", "any", r" scrim\w* ", 11, None, None),
+]
+
+
+def test_another_bank_screens_other_things(spark):
+    titles = ["Ivory Box", "Toy Ivory Box", "Carved Horn Cup", "Horn Cup", "Shell With Scutes", "Horn Scutes", "Real Ivory", "Imitation Tusk", "Scrimshaw Horn", "Fox Fur", None]
+    inputs = t.listings(spark, [{"title": x} for x in titles])
+    rules = table.read_bank(spark.createDataFrame(OTHER, table.SCHEMA))
+    got = {r.listing_id: r for r in screen.diagnose_listings(*inputs, rules=rules).collect()}
+    assert {titles[n - 1]: r.match_rule for n, r in got.items()} == {
+        "Ivory Box": "TIER1_STANDALONE",
+        "Toy Ivory Box": "NO_MATCH",
+        "Carved Horn Cup": "TIER2_WITH_FUR_CONTEXT",
+        "Horn Cup": "NO_MATCH",
+        "Shell With Scutes": "TIER2_WITH_FUR_CONTEXT",
+        "Horn Scutes": "NO_MATCH",
+        "Real Ivory": "EXPLICIT_FUR_DECLARATION",
+        "Imitation Tusk": "EXCLUDED_HARD_NEGATION",
+        "Scrimshaw Horn": "TIER2_WITH_FUR_CONTEXT",
+    }
+    assert got[2].matched_tier1_animals is None and got[3].matched_fur_context == "carved"
+    assert got[5].matched_fur_context == "scutes" and got[6].matched_fur_context is None
+    shown = {r.listing_id: r.confidence_tier for r in screen.screen_listings(*inputs, rules=rules).collect()}
+    assert shown == {3: "01_HIGH_auction_brand", 5: "08_MEDIUM_rabbit_other_cats", 7: "02_HIGH_explicit_declaration", 9: "01_HIGH_auction_brand"}
+    counts = {(r.rule_group, r.rule): r.listings for r in screen.rule_counts(*inputs, rules=rules).collect()}
+    assert counts["tier1_animals", "elephant"] == 4 and counts["fur_context", "scutes"] == 2
+    assert len(counts) == 1 + 2 + 2 + 2 + 3
+
+
+def test_an_empty_bank_finds_nothing(spark):
+    inputs = t.listings(spark, [{"title": "Real Fox Fur", "tags": "fur", "description": "real fur"}, {"title": None}])
+    assert screen.diagnose_listings(*inputs, rules=Bank()).isEmpty()
+    assert {r.listings for r in screen.rule_counts(*inputs, rules=Bank()).collect()} == {0}
+
+
+@pytest.mark.parametrize(
+    "row, said",
+    [
+        (("no_such", "x", "title", "x", 20, None, None), "there is no group"),
+        ((None, "x", "title", "x", 20, None, None), "there is no group"),
+        (("sure_animal", "x", "tags", "x", 20, None, None), "its surface is 'title'"),
+        (("sure_animal", "x", "title", "Fox", 20, None, None), "words in lower case"),
+        (("sure_animal", "x", "title", "fox,mink", 20, None, None), "words in lower case"),
+        (("sure_animal", "x", "title", None, 20, None, None), "words in lower case"),
+        (("sure_animal", "x", "title", "x", None, None, None), "no position"),
+        (("sure_animal", "o'x", "title", "x", 20, None, None), "no quotes"),
+        (("sure_animal", "elephant", "title", "x", 20, None, None), "stands twice"),
+        (("sure_animal", "x", "title", "tusk", 20, None, None), "two rules"),
+        (("sure_animal", "x", "title", "x", 20, "nobody", None), "is no counter"),
+        (("material", "x", "title and tags", "x", 20, "toy", None), "have no guard"),
+        (("fur_hide", "x", "title and tags", "x", 20, None, None), "needs an ambiguous animal"),
+        (("sure_animal", "x", "title", "x", 20, None, "prime"), "no tier of this group"),
+        (("candidate", "x", "title and tags", "(", 20, None, None), "is no pattern"),
+        (("claim", "loud", "title", "x", 20, None, None), "names here are"),
+    ],
+)
+def test_wrong_tables_are_refused(spark, row, said):
+    with pytest.raises(table.RuleTableError, match=said):
+        table.read_bank(spark.createDataFrame([*OTHER, row], table.SCHEMA))
+
+
+def test_tables_without_a_column_or_with_too_many_rules_are_refused(spark):
+    good = spark.createDataFrame(OTHER, table.SCHEMA)
+    with pytest.raises(table.RuleTableError, match="columns are missing: guard"):
+        table.read_bank(good.drop("guard"))
+    with pytest.raises(table.RuleTableError, match="more than"):
+        table.read_bank(good.crossJoin(spark.range(600)).withColumn("rule", F.col("id").cast("string")))
+
+
+def test_rules_are_counted_by_one_aggregate(spark, folder):
+    plan = screen.rule_counts(*_screen_inputs(StandIns(spark, folder)))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate") == 1 and plan.index("Generate") < plan.index("Aggregate")
+    assert plan.count("array_intersect") == 3
