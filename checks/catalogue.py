@@ -19,7 +19,10 @@ from checks.standins import (
 )
 from policyscan.operators import edits as edit_ops
 from policyscan.operators import reactivations as reactivation_ops
+from policyscan.operators.order import ranked
 from policyscan.plans import changes, evasion, reactivation, screen, sellers, words
+from policyscan.rules import table as rule_tables
+from policyscan.rules.bank import BUILT_IN
 from policyscan.sources import sinks, tables
 from policyscan.streaming import monitor
 
@@ -56,11 +59,22 @@ def _run_folder(s: StandIns) -> str:
     return f"{sinks.shared_folder(s.spark)}/policyscan-{uuid.uuid4().hex}"
 
 
+def _table_name(name: str) -> str:
+    return f"policyscan_{name}_{uuid.uuid4().hex}"
+
+
 @_query
 def screen_listings(s: StandIns) -> DataFrame:
     return screen.screen_listings(*_screen_inputs(s))
 
 
+@_query
+def screen_listings_rule_table(s: StandIns) -> DataFrame:
+    """The screen by a rule bank that was stored as a table."""
+    stored = sinks.replace_table(rule_tables.bank_table(s.spark, BUILT_IN), _run_folder(s))
+    return screen.screen_listings(*_screen_inputs(s), rules=rule_tables.read_bank(stored))
+
+
 @_query
 def screen_rule_counts(s: StandIns) -> DataFrame:
     return screen.rule_counts(*_screen_inputs(s))
@@ -76,6 +90,14 @@ def flagged_snapshot(s: StandIns) -> DataFrame:
     return sinks.snapshot(s.flagged(), _run_folder(s))
 
 
+@_query
+def flagged_snapshot_catalog(s: StandIns) -> DataFrame:
+    """A catalog table that is replaced: first by half of the ids, then by all of them."""
+    name, flagged = _table_name("flagged"), s.flagged()
+    sinks.snapshot(flagged.filter("listing_id % 2 = 0"), name)
+    return sinks.snapshot(flagged, name)
+
+
 @_query
 def first_review(s: StandIns) -> DataFrame:
     return _reviewed(s)
@@ -107,6 +129,27 @@ def change_history(s: StandIns) -> DataFrame:
     return changes.change_history(*_edit_inputs(s))
 
 
+@_query
+def change_history_ranked(s: StandIns) -> DataFrame:
+    history = change_history(s).select("listing_id", "change_num", "change_date", "change_timing")
+    return ranked(history, *changes.history_order())
+
+
+@_query
+def timing_vs_review_ranked(s: StandIns) -> DataFrame:
+    """The histogram in the order of a column that it does not show."""
+    return changes.timing_vs_review(*_edit_inputs(s), numbered=True)
+
+
+@_query
+def reactivation_screen_ranked(s: StandIns) -> DataFrame:
+    """By band, then by sales with unknown ones last."""
+    unknown = F.when(F.col("listing_id") % 5 != 0, F.col("past_year_gms"))
+    screened = reactivation_screen(s).withColumn("past_year_gms", unknown)
+    rows = screened.select("listing_id", "confidence_band", "past_year_gms")
+    return ranked(rows, *reactivation.screen_order())
+
+
 @_query
 def change_history_long_texts(s: StandIns) -> DataFrame:
     """Histories that carry whole documents as descriptions; the result has their hashes."""
@@ -216,6 +259,18 @@ def reactivation_daily_job(s: StandIns) -> DataFrame:
     return sinks.read_runs(s.spark, target)
 
 
+@_query
+def reactivation_daily_job_late(s: StandIns) -> DataFrame:
+    """Four runs over a log whose entries arrive up to three days late, one of them twice."""
+    target = _run_folder(s)
+    late = F.make_dt_interval(F.pmod(F.col("event_seq.l_orderkey"), F.lit(4)))
+    log = s.change_log().withColumn("arrival_ts", F.col("event_ts") + late)
+    days = [dt.date(2001, 3, 1) + dt.timedelta(days=n) for n in range(4)]
+    for day in [*days, days[1]]:
+        reactivation.run_daily_job(log, s.flagged(), s.listings(), _edits(s), day, target)
+    return sinks.read_runs(s.spark, target)
+
+
 @_query
 def reactivation_rollup(s: StandIns) -> DataFrame:
     events = reactivation_ops.reactivations(s.change_log(), REACTIVATED_SINCE)
@@ -249,7 +304,7 @@ def reactivation_stream(s: StandIns) -> DataFrame:
     monitor.monitor_reactivations(
         s.change_log_stream(), watched, REACTIVATED_SINCE, f"{folder}/out", f"{folder}/state"
     ).awaitTermination()
-    return s.spark.read.parquet(f"{folder}/out").drop("batch_id")
+    return monitor.current_alerts(s.spark, f"{folder}/out").drop("batch_id")
 
 
 @_query
@@ -269,7 +324,8 @@ def reactivation_rollup_stream(s: StandIns) -> DataFrame:
 
 
 def _stored_history(s: StandIns) -> DataFrame:
-    return sinks.replace_table(change_history(s), f"{_run_folder(s)}/history")
+    """The history as a job hands it over: by listing, so that its readers need not move it."""
+    return sinks.replace_table(change_history(s), _table_name("history"), by="listing_id", buckets=16)
 
 
 @_query

@@ -20,6 +20,35 @@ def since_bound(since: dt.date | dt.datetime) -> Column:
     return F.lit(since).cast("timestamp")
 
 
+def happened(
+    change_log: DataFrame,
+    since: dt.date | dt.datetime,
+    until: dt.date | dt.datetime | None = None,
+) -> DataFrame:
+    """Log entries in ``[since, until)``. Of a log with a column ``event_date``, the day of the
+    entry, by which it may be partitioned, other days are not read."""
+    days = "event_date" in change_log.columns
+    entries = change_log.filter(F.col("event_ts") >= since_bound(since))
+    if days:
+        entries = entries.filter(F.col("event_date") >= F.lit(_day(since)))
+    if until is not None:
+        entries = entries.filter(F.col("event_ts") < since_bound(until))
+        if days:
+            entries = entries.filter(F.col("event_date") <= F.lit(_last_day(until)))
+    return entries
+
+
+def _day(bound: dt.date | dt.datetime) -> dt.date:
+    return bound.date() if isinstance(bound, dt.datetime) else bound
+
+
+def _last_day(until: dt.date | dt.datetime) -> dt.date:
+    """The day of the last instant before a bound."""
+    if isinstance(until, dt.datetime):
+        return (until - dt.timedelta(microseconds=1)).date()
+    return until - dt.timedelta(days=1)
+
+
 def title_changed() -> Column:
     """NULL when either title is NULL."""
     return F.col("before.title") != F.col("after.title")
@@ -31,9 +60,7 @@ def description_changed() -> Column:
 
 def content_edits(change_log: DataFrame, since: dt.date) -> DataFrame:
     """One row per log entry that changed the title or the description."""
-    edited = change_log.filter(
-        (F.col("event_ts") >= since_bound(since)) & (title_changed() | description_changed())
-    )
+    edited = happened(change_log, since).filter(title_changed() | description_changed())
     return edited.select(
         F.col("before.listing_id").alias("listing_id"),
         F.col("event_ts").alias("change_ts"),

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from policyscan.functions.buckets import first_match
 from policyscan.functions.listing import ACTIVE, prior_state
 from policyscan.functions.text import has_word
-from policyscan.operators.edits import since_bound
+from policyscan.operators.edits import happened, since_bound
 from policyscan.rules import bank
 
 
@@ -20,12 +20,9 @@ def reactivations(
     until: dt.date | dt.datetime | None = None,
 ) -> DataFrame:
     """Log entries in ``[since, until)`` that made a listing active."""
-    events = change_log.filter(
-        (F.col("event_ts") >= since_bound(since))
-        & (F.col("before.state") != ACTIVE)
-        & (F.col("after.state") == ACTIVE)
+    return happened(change_log, since, until).filter(
+        (F.col("before.state") != ACTIVE) & (F.col("after.state") == ACTIVE)
     )
-    return events if until is None else events.filter(F.col("event_ts") < since_bound(until))
 
 
 def one_day(as_of: dt.datetime | dt.date) -> tuple[dt.datetime, dt.datetime]:

@@ -16,6 +16,7 @@ from policyscan.operators.edits import (
     per_listing_day,
     with_timing,
 )
+from policyscan.operators.order import ranked
 
 HISTORY_COLUMNS = (
     "listing_id",
@@ -80,10 +81,16 @@ def change_history(
     """One row per edit of a flagged listing, numbered, with contents and timing."""
     numbered = numbered_with_timing(of_listings(edits, flagged), of_listings(reviewed, flagged))
     history = numbered.select(*HISTORY_COLUMNS)
-    return history.orderBy("listing_id", "change_num") if ordered else history
+    return history.orderBy(*history_order()) if ordered else history
 
 
-def _histogram(days: DataFrame, distance: Column, label: Column, name: str) -> DataFrame:
+def history_order() -> tuple[Column, ...]:
+    return F.col("listing_id"), F.col("change_num")
+
+
+def _histogram(
+    days: DataFrame, distance: Column, label: Column, name: str, numbered: bool
+) -> DataFrame:
     counted = (
         days.withColumns({name: label, "distance": distance})
         .groupBy("change_timing", name)
@@ -93,24 +100,35 @@ def _histogram(days: DataFrame, distance: Column, label: Column, name: str) -> D
             F.min("distance").alias("nearest"),
         )
     )
-    return counted.orderBy("change_timing", "nearest").drop("nearest")
+    # By a column that is not shown; unknown distances come first, as the least values.
+    order = F.asc_nulls_first("change_timing"), F.asc_nulls_first("nearest")
+    shown = ranked(counted, *order) if numbered else counted.orderBy(*order)
+    return shown.drop("nearest")
 
 
-def timing_vs_review(flagged: DataFrame, edits: DataFrame, reviewed: DataFrame) -> DataFrame:
-    """Edits of flagged listings by distance to the listing's first review."""
+def timing_vs_review(
+    flagged: DataFrame, edits: DataFrame, reviewed: DataFrame, numbered: bool = False
+) -> DataFrame:
+    """Edits of flagged listings by distance to the listing's first review; sorted, or with
+    the ``rank`` of each row."""
     days = with_timing(
         of_listings(per_listing_day(edits), flagged), of_listings(reviewed, flagged)
     )
     distance = F.col("days_vs_review")
-    return _histogram(days, distance, AROUND_REVIEW.label(distance), "days_bucket")
+    return _histogram(days, distance, AROUND_REVIEW.label(distance), "days_bucket", numbered)
 
 
 def timing_vs_launch(
-    flagged: DataFrame, edits: DataFrame, reviewed: DataFrame, launch: dt.date
+    flagged: DataFrame,
+    edits: DataFrame,
+    reviewed: DataFrame,
+    launch: dt.date,
+    numbered: bool = False,
 ) -> DataFrame:
-    """Edits of flagged listings by distance to the day enforcement began."""
+    """Edits of flagged listings by distance to the day enforcement began; sorted, or with
+    the ``rank`` of each row."""
     days = with_timing(
         of_listings(per_listing_day(edits), flagged), of_listings(reviewed, flagged)
     )
     distance = days_between(F.col("change_date"), F.lit(launch))
-    return _histogram(days, distance, AROUND_LAUNCH.label(distance), "days_from_launch")
+    return _histogram(days, distance, AROUND_LAUNCH.label(distance), "days_from_launch", numbered)

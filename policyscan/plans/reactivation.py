@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from policyscan.functions.listing import ACTIVE, days_between, prior_state
 from policyscan.functions.text import computed_once
-from policyscan.operators.edits import of_listings
+from policyscan.operators.edits import of_listings, since_bound
 from policyscan.operators.reactivations import (
     one_day,
     reactivation_rollup,
@@ -27,6 +27,7 @@ from policyscan.plans.screen import (
     sellable,
     simple_band,
 )
+from policyscan.rules.bank import BUILT_IN, Bank
 from policyscan.sources import sinks
 
 SCREENED_COLUMNS = (
@@ -147,6 +148,18 @@ def _shared(rows: DataFrame, *spread: str) -> DataFrame:
     return computed_once(rows.repartition(*spread), [key], **carried)
 
 
+def arrived_days(change_log: DataFrame, as_of: dt.date, retained: int) -> list[dt.date]:
+    """Days before ``as_of`` with reactivations that reached the log on the day before it.
+
+    One value per day of the calendar; of the log the last ``retained`` days are read.
+    """
+    since, until = one_day(as_of)
+    new = reactivations(change_log, as_of - dt.timedelta(days=retained), as_of).filter(
+        (F.col("arrival_ts") >= since_bound(since)) & (F.col("arrival_ts") < since_bound(until))
+    )
+    return sorted(r[0] for r in new.select(F.to_date("event_ts")).distinct().collect())
+
+
 def run_daily_job(
     change_log: DataFrame,
     flagged: DataFrame,
@@ -154,13 +167,33 @@ def run_daily_job(
     edits: DataFrame,
     as_of: dt.date,
     target: str,
-) -> None:
+    retained: int = 90,
+) -> list[dt.date]:
     """Report the last day before ``as_of`` and store it as the run of that date.
 
-    A rerun replaces the run's report, so what is no longer reported is gone.
+    Where the log says when entries arrived (``arrival_ts``), days of the ``retained`` ones
+    with entries that arrived late, on that last day, are reported anew as the runs of their
+    dates, with all that has arrived. So an entry is reported once however late it comes. The
+    dates of the runs that were written are returned, and all of them are replaced at once.
+
+    A rerun replaces a run's report, so what is no longer reported is gone; it knows all
+    entries that the last run knew.
     """
-    report = daily_reactivations(change_log, flagged, master, edits, *one_day(as_of))
-    sinks.write_run(report, as_of, target)
+    since, until = one_day(as_of)
+    days, known = [since.date()], change_log
+    if "arrival_ts" in change_log.columns:
+        last = sinks.last_run(change_log.sparkSession, target)
+        known_until = max(as_of, last) if last else as_of
+        known = change_log.filter(F.col("arrival_ts") < since_bound(known_until))
+        days = sorted({*days, *arrived_days(change_log, as_of, retained)})
+        if "event_date" in known.columns:
+            known = known.filter(F.col("event_date").isin(days))
+        known = known.filter(F.to_date("event_ts").isin(days))
+    report = daily_reactivations(known, flagged, master, edits, days[0], until)
+    report = report.withColumn(sinks.RUN_DATE, F.date_add("reactivated_date", 1))
+    dates = [day + dt.timedelta(days=1) for day in days]
+    sinks.write_runs(report, dates, target)
+    return dates
 
 
 def reactivation_screen(
@@ -171,21 +204,22 @@ def reactivation_screen(
     taxonomy: DataFrame,
     since: dt.date,
     ordered: bool = False,
+    rules: Bank = BUILT_IN,
 ) -> DataFrame:
     """Screening of reactivated listings, on the master's full descriptions."""
     back = reactivation_rollup(reactivations(change_log, since))
     returned = sellable(listings).select(*SCREENED_COLUMNS).join(back, "listing_id")
-    found = _shared(candidates(returned, tags, taxonomy), "listing_id")
+    found = _shared(candidates(returned, tags, taxonomy, rules), "listing_id")
     # Long descriptions are looked at last, and those of other listings not at all:
     # a small set of candidates filters the master where it is read.
     texts = of_listings(master.select("listing_id", "description"), found)
-    claims = description_claims(texts, REACTIVATED, "listing_id")
+    claims = description_claims(texts, REACTIVATED, "listing_id", rules=rules)
     described = (
         found.join(claims, "listing_id", "left")
         .withColumn("says_faux", F.coalesce("says_faux", F.lit(False)))
         .withColumn("says_real", F.coalesce("says_real", F.lit(False)))
     )
-    screened = emitted(classify(described), REACTIVATED).select(
+    screened = emitted(classify(described, rules), REACTIVATED).select(
         "listing_id",
         "user_id",
         "reactivated_date",
@@ -193,19 +227,21 @@ def reactivation_screen(
         "reactivation_count",
         "title",
         "match_rule",
-        simple_band().alias("confidence_band"),
+        simple_band(rules).alias("confidence_band"),
         "top_category",
         "full_path",
         "past_year_gms",
         "past_year_orders",
         is_positive().alias("is_fur_trade"),
     )
-    if not ordered:
-        return screened
-    rank = F.array_position(
-        F.array(F.lit("HIGH"), F.lit("MEDIUM"), F.lit("REVIEW"), F.lit("OTHER")), F.col("confidence_band")
-    )
-    return screened.orderBy(rank, F.desc_nulls_last("past_year_gms"), "listing_id")
+    return screened.orderBy(*screen_order()) if ordered else screened
+
+
+def screen_order() -> tuple[Column, ...]:
+    """The surest bands first, within them the largest sales, unknown ones last."""
+    bands = F.array(F.lit("HIGH"), F.lit("MEDIUM"), F.lit("REVIEW"), F.lit("OTHER"))
+    rank = F.array_position(bands, F.col("confidence_band"))
+    return rank, F.desc_nulls_last("past_year_gms"), F.col("listing_id")
 
 
 def review_gap(

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from policyscan.sources.sinks import read_folder
+
 _CONTENT = {"listing_id": "bigint", "title": "string", "description": "string", "state": "int"}
 
 # Columns and types by table; a nested table is a struct. ``event_seq`` is any sortable value that tells
@@ -59,13 +61,26 @@ def _column(path: str, kind: str | dict | None) -> Column:
     return F.col(path).cast(kind) if kind else F.col(path)
 
 
+# Columns that a table may have besides. ``event_date`` is the day of ``event_ts``, by which a log
+# may be partitioned; ``arrival_ts`` is when the log received an entry.
+OPTIONAL = {"change_log": {"event_date": "date", "arrival_ts": "timestamp"}}
+
+
 def conform(df: DataFrame, table: str, renamed: dict[str, str] | None = None) -> DataFrame:
-    """Select a table's columns with their types; ``renamed`` maps contract to source names."""
+    """Select a table's columns with their types; ``renamed`` maps contract to source names.
+
+    Optional columns are selected where the source has them.
+    """
     source = renamed or {}
+    more = {
+        name: kind
+        for name, kind in OPTIONAL.get(table, {}).items()
+        if source.get(name, name) in df.columns
+    }
     return df.select(
         *[
             _column(source.get(name, name), kind).alias(name)
-            for name, kind in CONTRACTS[table].items()
+            for name, kind in (CONTRACTS[table] | more).items()
         ]
     )
 
@@ -73,8 +88,9 @@ def conform(df: DataFrame, table: str, renamed: dict[str, str] | None = None) ->
 def read_table(
     spark: SparkSession, table: str, location: str, renamed: dict[str, str] | None = None
 ) -> DataFrame:
-    """Read a table from a catalog name, or from Parquet when ``location`` is a path."""
-    df = spark.read.parquet(location) if "/" in location else spark.table(location)
+    """Read a table from a catalog name, or from a folder when ``location`` is a path: its
+    published version if ``sinks`` wrote it, or else its Parquet files."""
+    df = read_folder(spark, location) if "/" in location else spark.table(location)
     return conform(df, table, renamed)
 
 

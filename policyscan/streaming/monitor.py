@@ -1,22 +1,30 @@
-"""Reactivations as they arrive in the change log."""
+"""Reactivations as they arrive in the change log.
+
+A batch writes its files and then publishes a state that names them (``sources.commits``), so
+readers see whole batches only, whatever a stopped or retried batch left behind.
+"""
 
 from __future__ import annotations
 
 import datetime as dt
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import LongType
 
 from policyscan.operators.reactivations import reactivations
 from policyscan.plans.reactivation import watched_events
-from policyscan.sources.sinks import folders
+from policyscan.sources import commits
 
 #: What a run does: take what is there and stop. A dictionary of trigger arguments.
 ONCE = {"availableNow": True}
-#: Batches after which the sums written so far are put together.
-MERGED_EVERY = 50
+#: Folders of one level that are put together into one of the next.
+FOLDERS = 8
+ROLLUP = "listing_id bigint, reactivated_date date, state_before int, reactivation_count bigint"
+ENTRY = ["event_date", "listing_id", "event_ts", "event_seq"]
 
 
 def _run(
@@ -31,6 +39,11 @@ def _run(
     )
 
 
+def _stream_id(spark: SparkSession, checkpoint: str) -> str:
+    """What tells a stream from one that begins again with an empty checkpoint."""
+    return json.loads(spark.read.text(f"{checkpoint}/metadata").first()[0])["id"]
+
+
 def monitor_reactivations(
     changes: DataFrame,
     watched: DataFrame,
@@ -42,33 +55,54 @@ def monitor_reactivations(
     """Write every new risky reactivation of a watched listing.
 
     Rows are taken as they arrive, so a late log entry is reported late instead
-    of being missed. The checkpoint remembers how far the last run came. Pass
-    ``watched`` as a stored table when a run has many batches: each joins it anew.
+    of being missed. The checkpoint remembers how far the last run came; with a new one the
+    stream begins again, and its alerts take the place of the old ones. ``current_alerts``
+    reads them. Pass ``watched`` as a stored table when a run has many batches: each joins
+    it anew.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        # A retried batch overwrites its own folder.
-        batch.write.mode("overwrite").parquet(f"{target}/batch_id={batch_id}")
+        spark = batch.sparkSession
+        stream, before = _stream_id(spark, checkpoint), commits.published(spark, target)
+        if before and before["stream"] == stream and before["last"] >= batch_id:
+            return  # stopped between this batch's publication and the checkpoint's
+        batch.write.mode("overwrite").parquet(f"{target}/stream={stream}/batch_id={batch_id}")
+        commits.publish(spark, target, {"stream": stream, "last": batch_id}, before)
+        commits.tidy(spark, target)
 
     return _run(watched_events(reactivations(changes, since), watched), write, checkpoint, trigger)
 
 
+def current_alerts(spark: SparkSession, target: str) -> DataFrame:
+    """The alerts of all finished batches of ``monitor_reactivations``, with their batch."""
+    state = commits.published(spark, target)
+    if state is None:
+        raise FileNotFoundError(f"no batch was finished in {target}")
+    folder, last = f"{target}/stream={state['stream']}", state["last"]
+    schema = spark.read.parquet(f"{folder}/batch_id={last}").schema.add("batch_id", LongType())
+    return spark.read.schema(schema).parquet(folder).filter(F.col("batch_id") <= last)
+
+
 def roll_up_reactivations(
     changes: DataFrame,
     since: dt.date,
     target: str,
     checkpoint: str,
     trigger: dict = ONCE,
-    merged_every: int = MERGED_EVERY,
+    folders: int = FOLDERS,
 ) -> StreamingQuery:
     """Keep first reactivation, state before it and count per listing up to date.
 
-    Every entry counts, however late it comes, and one that is delivered again does
-    not count again. First dates and counts can be merged in any order, so nothing is
-    kept in memory between batches: each writes the entries it counted, by day, and its
-    sums per listing. A batch is compared only with stored entries of the days it holds.
-    A retried batch replaces what it wrote. ``current_rollup`` merges the sums, and every
-    ``merged_every`` batches the stream does, so that older ones need not be read again.
+    Every entry counts, however late it comes, and one that is delivered again does not count
+    again: a batch is compared with the stored entries of its days. First dates and counts
+    can be merged in any order, so nothing is kept in memory between batches.
+
+    A batch adds one folder of entries and one of sums per listing. Their files follow the
+    amount of data, whatever days it is of; entries are stored by day, so that the statistics
+    of files and row groups lead to the days wanted. ``folders`` folders of one level are
+    (two at least) are put together into one of the next, so their number grows with the
+    logarithm of the batches. A batch that is repeated, by a retry or a lost checkpoint, finds its entries
+    stored and adds nothing.
     """
     events = reactivations(changes, since).select(
         F.col("before.listing_id").alias("listing_id"),
@@ -77,65 +111,94 @@ def roll_up_reactivations(
         F.col("before.state").alias("state"),
         F.to_date("event_ts").alias("event_date"),
     )
-    entry = ["event_date", "listing_id", "event_ts", "event_seq"]
-    counted = f"{target}/entries"
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        # One row per day of the calendar.
-        days = [row[0] for row in batch.select("event_date").distinct().collect()]
-        fresh = batch.dropDuplicates(entry)
-        stored = {f"event_date={day}" for day in days} & set(folders(spark, counted))
-        if stored:
-            held = spark.read.option("basePath", counted).parquet(
-                *[f"{counted}/{name}" for name in sorted(stored)]
-            )
-            held = held.filter(F.col("batch_id") != batch_id)
-            same = [fresh[name].eqNullSafe(held[name]) for name in entry]
-            fresh = fresh.join(held, same, "left_anti")
-        (
-            fresh.withColumn("batch_id", F.lit(batch_id))
-            .write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .partitionBy("event_date", "batch_id")
-            .parquet(counted)
-        )
-        sums = fresh.groupBy("listing_id").agg(
-            F.min(F.struct("event_ts", "event_seq", "state")).alias("first"),
-            F.count("*").alias("reactivation_count"),
-        )
-        sums.write.mode("overwrite").parquet(f"{target}/sums/batch_id={batch_id}")
-        if (batch_id + 1) % merged_every == 0:
-            _merged(spark, target, batch_id).write.mode("overwrite").parquet(
-                f"{target}/merged/batch_id={batch_id}"
-            )
+        before = commits.published(spark, target)
+        state = {kind: list(before[kind]) if before else [] for kind in ("entries", "sums")}
+        fresh = _unknown(batch.dropDuplicates(ENTRY), _stored(spark, target, state["entries"]))
+        # The range of days that a file holds is as narrow as the data allow.
+        entries = _by_day(fresh)
+        added = _added(entries, target)
+        if spark.read.parquet(f"{target}/{added}").isEmpty():
+            commits.remove(spark, f"{target}/{added}")
+            if before is None:
+                commits.publish(spark, target, state, before)
+            return
+        counted = spark.read.schema(entries.schema).parquet(f"{target}/{added}")
+        state["entries"].append([0, added])
+        state["sums"].append([0, _added(_sums(counted).hint("rebalance"), target)])
+        _merge(spark, target, state["entries"], folders, _by_day)
+        _merge(spark, target, state["sums"], folders, lambda df: _merged(df).hint("rebalance"))
+        commits.publish(spark, target, state, before)
+        commits.tidy(spark, target)
 
     return _run(events, write, checkpoint, trigger)
 
 
-def _numbers(spark: SparkSession, path: str) -> list[int]:
-    names = folders(spark, path)
-    return [int(n.partition("=")[2]) for n in names if n.startswith("batch_id=")]
+def _by_day(entries: DataFrame) -> DataFrame:
+    return entries.repartitionByRange(*ENTRY[:3]).sortWithinPartitions(*ENTRY[:3])
 
 
-def _merged(spark: SparkSession, target: str, last: int | None = None) -> DataFrame:
-    """Sums of all batches, or of those up to ``last``: the latest merged ones and what follows."""
-    merged = [n for n in _numbers(spark, f"{target}/merged") if last is None or n < last]
-    known = max(merged, default=-1)
-    numbers = [n for n in _numbers(spark, f"{target}/sums") if n > known]
-    paths = [f"{target}/sums/batch_id={n}" for n in numbers if last is None or n <= last]
-    if known >= 0:
-        paths.append(f"{target}/merged/batch_id={known}")
-    return (
-        spark.read.parquet(*paths)
-        .groupBy("listing_id")
-        .agg(F.min("first").alias("first"), F.sum("reactivation_count").alias("reactivation_count"))
+def _added(df: DataFrame, target: str) -> str:
+    """Write rows into a folder of their own; its name."""
+    folder = commits.fresh()
+    df.write.parquet(f"{target}/{folder}")
+    return folder
+
+
+def _stored(spark: SparkSession, target: str, listed: list) -> DataFrame | None:
+    paths = [f"{target}/{folder}" for _, folder in listed]
+    return spark.read.parquet(*paths) if paths else None
+
+
+def _unknown(fresh: DataFrame, held: DataFrame | None) -> DataFrame:
+    """The entries that are not among those held; of these, only days of the batch are read."""
+    if held is None:
+        return fresh
+    # One row per day of the calendar.
+    days = [row[0] for row in fresh.select("event_date").distinct().collect()]
+    keys = fresh.select(*ENTRY)
+    held = held.filter(F.col("event_date").isin(days)).select(*ENTRY)
+    # The batch is mostly the smaller side, which Spark can send to all tasks; what it meets
+    # among the stored entries are those delivered again.
+    again = held.join(keys, [held[n].eqNullSafe(keys[n]) for n in ENTRY], "left_semi")
+    return fresh.join(again, [fresh[n].eqNullSafe(again[n]) for n in ENTRY], "left_anti")
+
+
+def _sums(entries: DataFrame) -> DataFrame:
+    return entries.groupBy("listing_id").agg(
+        F.min(F.struct("event_ts", "event_seq", "state")).alias("first"),
+        F.count("*").alias("reactivation_count"),
     )
 
 
+def _merged(sums: DataFrame) -> DataFrame:
+    return sums.groupBy("listing_id").agg(
+        F.min("first").alias("first"), F.sum("reactivation_count").alias("reactivation_count")
+    )
+
+
+def _merge(
+    spark: SparkSession, target: str, listed: list, folders: int, together: Callable[[DataFrame], DataFrame]
+) -> None:
+    """Replace full levels of ``listed``, pairs of level and folder, by a folder of the next."""
+    level = 0
+    while len(full := [f for at, f in listed if at == level]) >= folders:
+        whole = together(spark.read.parquet(*[f"{target}/{f}" for f in full]))
+        merged = [level + 1, _added(whole, target)]
+        listed[:] = [pair for pair in listed if pair[0] != level] + [merged]
+        level += 1
+
+
 def current_rollup(spark: SparkSession, target: str) -> DataFrame:
-    """One row per listing from the batches of ``roll_up_reactivations``."""
-    return _merged(spark, target).select(
+    """One row per listing from the finished batches of ``roll_up_reactivations``."""
+    state = commits.published(spark, target)
+    if state is None:
+        raise FileNotFoundError(f"no batch was finished in {target}")
+    if not state["sums"]:
+        return spark.createDataFrame([], ROLLUP)
+    return _merged(_stored(spark, target, state["sums"])).select(
         "listing_id",
         F.to_date("first.event_ts").alias("reactivated_date"),
         F.col("first.state").alias("state_before"),

@@ -5,12 +5,13 @@ from __future__ import annotations
 import datetime as dt
 
 import pytest
+from pyspark.sql import functions as F
 
 from checks.compare import spark_rows
 from policyscan.operators import edits as E
 from policyscan.operators import reactivations as R
 from policyscan.plans import reactivation
-from policyscan.sources import sinks, tables
+from policyscan.sources import commits, sinks, tables
 from policyscan.streaming import monitor
 from tests import tables as t
 
@@ -87,6 +88,51 @@ def test_daily_runs_equal_the_whole_span(spark, inputs, tmp_path):
     assert sinks.read_runs(spark, target).filter("run_date = date'2020-01-03' and listing_id = 1").isEmpty()
 
 
+LATE = [
+    (t.entry(1, 1, 1, title=("Fox", "Real Fox Coat"), state=(1, 0)), 0),
+    (t.entry(2, 1, 2, title=("Fox", "Real Mink"), state=(1, 0)), 3),
+    (t.entry(2, 3, 3, title=("Fox", "Real Beaver"), state=(1, 0)), 1),
+    (t.entry(1, 2, 4, title=("Fox", "Plain"), state=(1, 0)), 1),
+    (t.entry(1, 5, 5, title=("Fox", "Fox Hat"), state=(1, 0)), 0),
+    (t.entry(1, 0, 6, title=("Fox", "Rabbit Fur"), state=(1, 0)), 30),
+]
+
+
+@pytest.mark.parametrize("partitioned", [False, True])
+def test_entries_that_come_late_are_reported_once(spark, tmp_path, partitioned):
+    rows = [(*row, row[0] + dt.timedelta(days=days)) for row, days in LATE]
+    log = spark.createDataFrame(rows, f"{t.schema_of('change_log')}, arrival_ts timestamp")
+    if partitioned:
+        log.withColumn("event_date", F.to_date("event_ts")).write.partitionBy("event_date").parquet(str(tmp_path / "log"))
+        log = tables.read_table(spark, "change_log", str(tmp_path / "log"))
+        assert {"event_date", "arrival_ts"} < set(log.columns)
+    flagged, owners, target = t.ids(spark, 1), t.master(spark, OWNERS), str(tmp_path / "runs")
+    edits = E.content_edits(log, SINCE)
+    days = [(t.DAY0 + dt.timedelta(days=d)).date() for d in range(1, 8)]
+
+    def reported():
+        return sorted((r.run_date.day, r.listing_id, r.current_title) for r in sinks.read_runs(spark, target).collect())
+
+    def job(day):
+        return reactivation.run_daily_job(log, flagged, owners, edits, day, target, retained=20)
+
+    assert [job(day) for day in days[:4]] == [[days[0]], [days[1]], [days[2]], [days[2], days[3]]]
+    assert reported() == [(3, 1, "Real Fox Coat")]
+    # Three days late, and one day late: the runs of their days are reported anew.
+    assert job(days[4]) == [days[1], days[3], days[4]]
+    late = [(3, 1, "Real Fox Coat"), (3, 2, "Real Mink"), (5, 2, "Real Beaver")]
+    assert reported() == late
+    for day in days[5:] + days[1:4]:  # and reruns know what the last run knew
+        job(day)
+    assert reported() == [*late, (7, 1, "Fox Hat")]
+    assert sinks.run_dates(spark, target) == days
+    # Beyond the retained days an entry is lost, unless more days are read.
+    job((t.DAY0 + dt.timedelta(days=31)).date())
+    assert len(reported()) == 4
+    reactivation.run_daily_job(log, flagged, owners, edits, (t.DAY0 + dt.timedelta(days=31)).date(), target)
+    assert (2, 1, "Rabbit Fur") in reported()
+
+
 def test_the_window_of_a_run_is_the_day_before():
     assert R.one_day(dt.date(2020, 3, 1)) == (dt.datetime(2020, 2, 29), dt.datetime(2020, 3, 1))
     assert R.one_day(dt.datetime(2020, 3, 1, 6)) == (dt.datetime(2020, 2, 29, 6), dt.datetime(2020, 3, 1, 6))
@@ -100,11 +146,84 @@ def test_stream_in_two_runs_equals_batch(spark, inputs, tmp_path):
         changes = tables.stream_table(spark, "change_log", folder)
         monitor.monitor_reactivations(changes, watched, SINCE, target, state).awaitTermination()
     batch = reactivation.watched_events(R.reactivations(inputs[0], SINCE), watched)
-    assert spark_rows(spark.read.parquet(target).drop("batch_id")) == spark_rows(batch)
+    assert spark_rows(monitor.current_alerts(spark, target).drop("batch_id")) == spark_rows(batch)
+
+
+def streamed(spark, rows, folder, target, state, watched):
+    t.change_log(spark, rows).coalesce(1).write.mode("append").parquet(folder)
+    changes = tables.stream_table(spark, "change_log", folder)
+    monitor.monitor_reactivations(changes, watched, SINCE, target, state).awaitTermination()
+
+
+def test_readers_see_finished_batches_only(spark, inputs, tmp_path):
+    folder, target = (str(tmp_path / n) for n in ("log", "out"))
+    watched = reactivation.watched_listings(*inputs[1:])
+    streamed(spark, ROWS[:6], folder, target, str(tmp_path / "a"), watched)
+    alerts = spark_rows(monitor.current_alerts(spark, target))
+    # What a stopped batch leaves: files without a published state, whole or not.
+    stream = next((tmp_path / "out").glob("stream=*"))
+    monitor.current_alerts(spark, target).drop("batch_id").write.parquet(f"{stream}/batch_id=1")
+    (stream / "batch_id=2" / "_temporary").mkdir(parents=True)
+    assert spark_rows(monitor.current_alerts(spark, target)) == alerts
+    # The next run writes that batch anew, and an empty checkpoint makes the stream begin again.
+    streamed(spark, ROWS[6:], folder, target, str(tmp_path / "a"), watched)
+    batch = spark_rows(reactivation.watched_events(R.reactivations(inputs[0], SINCE), watched))
+    assert spark_rows(monitor.current_alerts(spark, target).drop("batch_id")) == batch
+    streamed(spark, ROWS[:0], folder, target, str(tmp_path / "b"), watched)
+    assert spark_rows(monitor.current_alerts(spark, target).drop("batch_id")) == batch
+
+
+def rolled_up(spark, rows, folder, target, state, **options):
+    t.change_log(spark, rows).coalesce(1).write.mode("append").parquet(folder)
+    changes = tables.stream_table(spark, "change_log", folder)
+    monitor.roll_up_reactivations(changes, SINCE, target, state, **options).awaitTermination()
+
+
+def test_files_of_a_batch_do_not_follow_its_days(spark, tmp_path):
+    folder, target, state = (str(tmp_path / n) for n in ("log", "out", "state"))
+    rows = [t.entry(n % 7, n, n, state=(1, 0)) for n in range(700)]
+    rolled_up(spark, rows, folder, target, state)
+    assert 1 <= len(list((tmp_path / "out").rglob("*.parquet"))) <= 8
+    assert monitor.current_rollup(spark, target).agg({"reactivation_count": "sum"}).first()[0] == 700
+
+
+def test_an_unfinished_batch_or_merge_changes_nothing(spark, tmp_path):
+    folder, target, state = (str(tmp_path / n) for n in ("log", "out", "state"))
+    for part in (ROWS[:4], ROWS[4:7]):
+        rolled_up(spark, part, folder, target, state, folders=2)
+    held = spark_rows(monitor.current_rollup(spark, target))
+    monitor.current_rollup(spark, target).write.parquet(f"{target}/data-0")
+    (tmp_path / "out" / "data-1" / "_temporary").mkdir(parents=True)
+    (tmp_path / "out" / "_states" / ".draft-0").write_text("{")
+    assert spark_rows(monitor.current_rollup(spark, target)) == held
+    rolled_up(spark, ROWS[7:], folder, target, state, folders=2)
+    batch = R.reactivation_rollup(R.reactivations(t.change_log(spark, ROWS), SINCE))
+    assert spark_rows(monitor.current_rollup(spark, target)) == spark_rows(batch)
+    # What no state names is removed by the next batch.
+    assert not (tmp_path / "out" / "data-0").exists()
+
+
+def test_folders_of_a_rollup_are_merged_by_levels(spark, tmp_path):
+    folder, target, state = (str(tmp_path / n) for n in ("log", "out", "state"))
+    for n in range(7):
+        rolled_up(spark, [t.entry(n % 3, n, n, state=(1, 0))], folder, target, state, folders=2)
+    live = commits.published(spark, target)
+    assert [level for level, _ in live["entries"]] == [level for level, _ in live["sums"]] == [2, 1, 0]
+    got = {r.listing_id: r.reactivation_count for r in monitor.current_rollup(spark, target).collect()}
+    assert got == {0: 3, 1: 2, 2: 2}
+
+
+def test_a_rollup_without_entries_is_empty(spark, tmp_path):
+    folder, target, state = (str(tmp_path / n) for n in ("log", "out", "state"))
+    rolled_up(spark, [t.entry(1, 1, 1, state=(0, 0))], folder, target, state)
+    assert monitor.current_rollup(spark, target).dtypes == R.reactivation_rollup(
+        R.reactivations(t.change_log(spark, ROWS), SINCE)
+    ).dtypes
+    assert monitor.current_rollup(spark, target).isEmpty()
 
 
-@pytest.mark.parametrize("merged_every", [50, 2, 1])
-def test_streamed_rollup_counts_late_entries_once(spark, inputs, tmp_path, merged_every):
+@pytest.mark.parametrize("folders", [8, 3, 2])
+def test_streamed_rollup_counts_late_entries_once(spark, inputs, tmp_path, folders):
     folder, target, state = (str(tmp_path / n) for n in ("log", "out", "state"))
     late = [
         t.entry(1, 400, 20, title=("a", "Real Fur"), state=(2, 0)),
@@ -117,7 +236,7 @@ def test_streamed_rollup_counts_late_entries_once(spark, inputs, tmp_path, merge
         t.change_log(spark, part).coalesce(1).write.mode("append").parquet(folder)
         changes = tables.stream_table(spark, "change_log", folder)
         monitor.roll_up_reactivations(
-            changes, SINCE, target, state, merged_every=merged_every
+            changes, SINCE, target, state, folders=folders
         ).awaitTermination()
     batch = R.reactivation_rollup(R.reactivations(t.change_log(spark, everything), SINCE))
     assert spark_rows(monitor.current_rollup(spark, target)) == spark_rows(batch)
