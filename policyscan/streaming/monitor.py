@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import LongType
+from pyspark.sql.types import LongType, StructType
 
 from policyscan.operators.reactivations import reactivations
 from policyscan.plans.reactivation import watched_events
@@ -23,7 +23,8 @@ from policyscan.sources import commits
 ONCE = {"availableNow": True}
 #: Folders of one level that are put together into one of the next.
 FOLDERS = 8
-ROLLUP = "listing_id bigint, reactivated_date date, state_before int, reactivation_count bigint"
+#: Days that a scan is given one by one.
+LISTED_DAYS = 10
 ENTRY = ["event_date", "listing_id", "event_ts", "event_seq"]
 
 
@@ -115,21 +116,18 @@ def roll_up_reactivations(
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         before = commits.published(spark, target)
-        state = {kind: list(before[kind]) if before else [] for kind in ("entries", "sums")}
-        fresh = _unknown(batch.dropDuplicates(ENTRY), _stored(spark, target, state["entries"]))
+        state = dict(before) if before else {"entries": [], "sums": [], "schemas": {}}
+        # Written as it came first: the log is read once, and what follows reads a few columns.
+        draft = _added(batch.dropDuplicates(ENTRY), target)
+        came = spark.read.schema(batch.schema).parquet(f"{target}/{draft}")
+        fresh = _unknown(came, _stored(spark, target, state, "entries"))
         # The range of days that a file holds is as narrow as the data allow.
-        entries = _by_day(fresh)
-        added = _added(entries, target)
-        if spark.read.parquet(f"{target}/{added}").isEmpty():
-            commits.remove(spark, f"{target}/{added}")
-            if before is None:
-                commits.publish(spark, target, state, before)
-            return
-        counted = spark.read.schema(entries.schema).parquet(f"{target}/{added}")
-        state["entries"].append([0, added])
-        state["sums"].append([0, _added(_sums(counted).hint("rebalance"), target)])
-        _merge(spark, target, state["entries"], folders, _by_day)
-        _merge(spark, target, state["sums"], folders, lambda df: _merged(df).hint("rebalance"))
+        state["schemas"] = {"entries": fresh.schema.json(), "sums": _sums(fresh).schema.json()}
+        state["entries"] = [*state["entries"], [0, _added(_by_day(fresh), target)]]
+        added = _stored(spark, target, state | {"entries": state["entries"][-1:]}, "entries")
+        state["sums"] = [*state["sums"], [0, _added(_sums(added).hint("rebalance"), target)]]
+        _merge(spark, target, state, "entries", folders, _by_day)
+        _merge(spark, target, state, "sums", folders, lambda df: _merged(df).hint("rebalance"))
         commits.publish(spark, target, state, before)
         commits.tidy(spark, target)
 
@@ -147,19 +145,24 @@ def _added(df: DataFrame, target: str) -> str:
     return folder
 
 
-def _stored(spark: SparkSession, target: str, listed: list) -> DataFrame | None:
-    paths = [f"{target}/{folder}" for _, folder in listed]
-    return spark.read.parquet(*paths) if paths else None
+def _stored(spark: SparkSession, target: str, state: dict, kind: str) -> DataFrame | None:
+    paths = [f"{target}/{folder}" for _, folder in state[kind]]
+    if not paths:
+        return None
+    schema = StructType.fromJson(json.loads(state["schemas"][kind]))
+    return spark.read.schema(schema).parquet(*paths)
 
 
 def _unknown(fresh: DataFrame, held: DataFrame | None) -> DataFrame:
     """The entries that are not among those held; of these, only days of the batch are read."""
     if held is None:
         return fresh
-    # One row per day of the calendar.
-    days = [row[0] for row in fresh.select("event_date").distinct().collect()]
-    keys = fresh.select(*ENTRY)
-    held = held.filter(F.col("event_date").isin(days)).select(*ENTRY)
+    # At most the days of the calendar. A scan looks single days up in its statistics up to
+    # some number, and beyond it the range.
+    days = sorted(d for d in fresh.agg(F.collect_set("event_date")).first()[0] if d)
+    day, keys = F.col("event_date"), fresh.select(*ENTRY)
+    wanted = day.isin(days) if len(days) <= LISTED_DAYS else day.between(days[0], days[-1])
+    held = held.filter(wanted).select(*ENTRY)
     # The batch is mostly the smaller side, which Spark can send to all tasks; what it meets
     # among the stored entries are those delivered again.
     again = held.join(keys, [held[n].eqNullSafe(keys[n]) for n in ENTRY], "left_semi")
@@ -180,14 +183,19 @@ def _merged(sums: DataFrame) -> DataFrame:
 
 
 def _merge(
-    spark: SparkSession, target: str, listed: list, folders: int, together: Callable[[DataFrame], DataFrame]
+    spark: SparkSession,
+    target: str,
+    state: dict,
+    kind: str,
+    folders: int,
+    together: Callable[[DataFrame], DataFrame],
 ) -> None:
-    """Replace full levels of ``listed``, pairs of level and folder, by a folder of the next."""
+    """Replace full levels of a list of ``state``, pairs of level and folder, by a folder of the next."""
     level = 0
-    while len(full := [f for at, f in listed if at == level]) >= folders:
-        whole = together(spark.read.parquet(*[f"{target}/{f}" for f in full]))
-        merged = [level + 1, _added(whole, target)]
-        listed[:] = [pair for pair in listed if pair[0] != level] + [merged]
+    while len(full := [pair for pair in state[kind] if pair[0] == level]) >= folders:
+        whole = together(_stored(spark, target, state | {kind: full}, kind))
+        others = [pair for pair in state[kind] if pair[0] != level]
+        state[kind] = [*others, [level + 1, _added(whole, target)]]
         level += 1
 
 
@@ -196,9 +204,7 @@ def current_rollup(spark: SparkSession, target: str) -> DataFrame:
     state = commits.published(spark, target)
     if state is None:
         raise FileNotFoundError(f"no batch was finished in {target}")
-    if not state["sums"]:
-        return spark.createDataFrame([], ROLLUP)
-    return _merged(_stored(spark, target, state["sums"])).select(
+    return _merged(_stored(spark, target, state, "sums")).select(
         "listing_id",
         F.to_date("first.event_ts").alias("reactivated_date"),
         F.col("first.state").alias("state_before"),

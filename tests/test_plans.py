@@ -28,6 +28,28 @@ def test_both_branches_read_one_shuffle(spark, folder, joins, name):
     assert len(made) == len(set(made)) and len(spread) > len(made)
 
 
+def _above(lines: list[str], at: int) -> list[str]:
+    """The operators that a line of a plan feeds, the nearest first."""
+    depth, found = re.match(r"[ :+|-]*", lines[at]).end(), []
+    for line in reversed(lines[:at]):
+        here = re.match(r"[ :+|-]*", line).end()
+        if here < depth:
+            depth = here
+            found.append(line)
+    return found
+
+
+@pytest.mark.parametrize("name", sorted(n for n in QUERIES if n.startswith("stored_")))
+def test_a_stored_history_is_not_moved(spark, folder, joins, name):
+    lines = executed_plan(QUERIES[name](spark, folder)).splitlines()
+    scans = [i for i, line in enumerate(lines) if "FileScan" in line and "Bucketed: true" in line]
+    assert scans
+    for scan in scans:
+        above = _above(lines, scan)
+        summed = [i for i, line in enumerate(above) if "HashAggregate" in line][1]
+        assert not any("Exchange" in line for line in above[:summed])
+
+
 def test_change_log_is_summed_before_it_is_joined(spark, folder, joins):
     plan = executed_plan(QUERIES["timing_vs_review"](spark, folder))
     semi, total = plan.index("LeftSemi"), plan.index("keys=[listing_id")
