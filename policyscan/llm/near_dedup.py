@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from policyscan.llm import shingles
 from policyscan.llm.components import components
 from policyscan.llm.groups import Forest, bounds, whole_groups
-from policyscan.llm.tables import materialized
+from policyscan.llm.tables import materialized, unused_name
 
 LINKS = "a long, b long"
 
@@ -33,8 +33,8 @@ class NearDuplicates:
 
     ``recall`` is the chance that a pair just at the threshold meets in a small node of some
     tree. ``small`` documents are compared exhaustively in one task; ``block`` is the number
-    of rows on either side of a comparison of a larger group, and ``depth`` how often a
-    larger node branches before that.
+    of rows on either side of a comparison of a larger group, which ``block_bytes`` bounds
+    too, and ``depth`` how often a larger node branches before that.
     """
 
     words: int = 5
@@ -44,6 +44,7 @@ class NearDuplicates:
     recall: float = 0.9999
     small: int = 100
     block: int = 2048
+    block_bytes: int = 64 << 20
     depth: int = 3
     #: Dropped ids, 8 bytes each, that go to all executors; more are joined by a shuffle.
     broadcast: int = 2_000_000
@@ -186,20 +187,20 @@ def _against(rows: DataFrame, key: str, first: DataFrame, payload: str) -> DataF
     return rows.join(first.select(F.col(key), F.col("doc_id").alias("first_id"), F.col(payload).alias("first_payload")), key)
 
 
-def _blocks(rows: DataFrame, sizes: DataFrame, key: str, block: int) -> DataFrame:
+def _blocks(rows: DataFrame, key: str, block: int, payload: str, most: int) -> DataFrame:
     """Rows of large groups dealt to the block pairs in which they meet all open rows.
 
     ``rows`` has ``open``, false for a row that is already linked to the first of its group.
-    Open rows fall into blocks of about ``block`` rows by a hash, and so do all rows; each
-    pair (open block, block) is a task. So two rows that are not yet linked always meet.
+    Open rows fall into blocks of about ``block`` rows, and of ``most`` bytes of ``payload``,
+    by a hash, and so do all rows; each pair (open block, block) is a task. So two rows that
+    are not yet linked always meet.
     """
-    open_rows = rows.where("open").groupBy(key).agg(F.count("*").alias("n_open"))
-    counted = sizes.select(key, "n").join(open_rows, key).select(
-        key,
-        F.ceil(F.col("n") / block).cast("int").alias("all_blocks"),
-        F.ceil(F.col("n_open") / block).cast("int").alias("open_blocks"),
+    size = F.length(payload)
+    counted = rows.groupBy(key).agg(
+        F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum(size) / most)).cast("int").alias("all_blocks"),
+        F.greatest(F.ceil(F.count_if("open") / block), F.ceil(F.sum(F.when(F.col("open"), size)) / most)).cast("int").alias("open_blocks"),
     )
-    dealt = rows.join(counted, key).withColumn("_h", F.xxhash64("doc_id"))
+    dealt = rows.join(counted.where("open_blocks > 0"), key).withColumn("_h", F.xxhash64("doc_id"))
     everyone = dealt.withColumn("side", F.lit(0)).withColumn("at", F.pmod("_h", "all_blocks").cast("int")).withColumn(
         "other", F.explode(F.expr("sequence(0, open_blocks - 1)"))
     )
@@ -209,11 +210,10 @@ def _blocks(rows: DataFrame, sizes: DataFrame, key: str, block: int) -> DataFram
     return everyone.unionByName(unlinked).withColumn("pair", F.xxhash64(key, "at", "other")).drop("_h", "all_blocks", "open_blocks")
 
 
-def _large_node_links(rows: DataFrame, sizes: DataFrame, how: NearDuplicates) -> DataFrame:
-    """Candidate links within nodes that stayed large: to the node's first document, and of
-    the rows that are not like it to all others, in blocks."""
+def _beside_first(rows: DataFrame, how: NearDuplicates) -> DataFrame:
+    """Rows of large nodes with the first document of their node, and whether they are ``open``,
+    not like it."""
     firsts = rows.groupBy("node").agg(F.min("doc_id").alias("doc_id")).join(rows, ["node", "doc_id"])
-    beside = _against(rows, "node", firsts, "signature")
 
     def near_first(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -222,10 +222,14 @@ def _large_node_links(rows: DataFrame, sizes: DataFrame, how: NearDuplicates) ->
                 batch["open"] = same < how.agreeing
                 yield batch[["node", "doc_id", "signature", "first_id", "open"]]
 
-    judged = materialized(
-        beside.mapInPandas(near_first, "node long, doc_id long, signature binary, first_id long, open boolean"), "large-nodes"
+    return _against(rows, "node", firsts, "signature").mapInPandas(
+        near_first, "node long, doc_id long, signature binary, first_id long, open boolean"
     )
 
+
+def _open_links(judged: DataFrame, how: NearDuplicates) -> DataFrame:
+    """Candidate links of the open rows of large nodes to all others, in blocks."""
+
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         ids, signs = pdf["doc_id"].to_numpy(), _signs(pdf["signature"], how.places)
         left, right = np.flatnonzero(pdf["side"] == 0), np.flatnonzero(pdf["side"] == 1)
@@ -240,29 +244,42 @@ def _large_node_links(rows: DataFrame, sizes: DataFrame, how: NearDuplicates) ->
         linked = np.flatnonzero(label != np.arange(len(ids)))
         return pd.DataFrame({"a": ids[linked], "b": ids[label[linked]]})
 
-    blocks = _blocks(judged, sizes, "node", how.block)
-    return judged.where("not open").select(F.col("doc_id").alias("a"), F.col("first_id").alias("b")).unionAll(
-        blocks.groupBy("pair").applyInPandas(compare, LINKS)
-    )
+    return _blocks(judged, "node", how.block, "signature", how.block_bytes).groupBy("pair").applyInPandas(compare, LINKS)
+
+
+def _signed(entries: DataFrame, nodes: DataFrame, signed: DataFrame) -> DataFrame:
+    """The entries of some nodes with their signatures."""
+    return entries.join(nodes, "node", "left_semi").join(signed.select("doc_id", "signature"), "doc_id")
 
 
 def candidate_links(signed: DataFrame, how: NearDuplicates) -> DataFrame:
-    """Links (a, b) whose components hold every pair that met in a tree and looks similar."""
+    """Links (a, b) whose components hold every pair that met in a tree and looks similar.
+
+    The rows of a large node are compared with its first document. Those like it are linked
+    to it and so done with each other; if few are not, these are compared with all others,
+    and the node is finished. So near copies, which never part, do not go down further. Only
+    nodes with many open rows branch, with all their rows.
+    """
     entries = signed.select(F.explode("nodes").alias("node"), "doc_id")
     links = None
     for level in range(how.depth):
         sizes = materialized(entries.groupBy("node").agg(F.count("*").alias("n")).where("n > 1"), "node-sizes")
-        signs = entries.join(sizes, "node").join(signed.select("doc_id", "signature"), "doc_id")
-        found = materialized(_node_links(signs.where(F.col("n") <= how.small), how), "candidates")
+        # Each entry is looked up once: as one of a small node, or as one of a large node.
+        small, large = (sizes.where(test).select("node") for test in (F.col("n") <= how.small, F.col("n") > how.small))
+        found = materialized(_node_links(_signed(entries, small, signed), how), "candidates")
         links = found if links is None else links.unionAll(found)
-        large = sizes.where(F.col("n") > how.small)
         if large.isEmpty():
             break
-        rows = signs.where(F.col("n") > how.small).drop("n")
-        if level == how.depth - 1:
-            links = links.unionAll(_large_node_links(materialized(rows, "large"), large, how))
+        rows = materialized(_signed(entries, large, signed), "large")
+        judged = materialized(_beside_first(rows, how), "large-nodes")
+        links = links.unionAll(judged.where("not open").select(F.col("doc_id").alias("a"), F.col("first_id").alias("b")))
+        parting = judged.groupBy("node").agg(F.count_if("open").alias("n")).where(F.col("n") > how.small).select("node")
+        if level == how.depth - 1 or (parting := materialized(parting, "parting")).isEmpty():
+            links = links.unionAll(materialized(_open_links(judged, how), "open-links"))
             break
-        entries = materialized(_branched(rows, how), "nodes")
+        done = judged.join(parting, "node", "left_anti")
+        links = links.unionAll(materialized(_open_links(done, how), "open-links"))
+        entries = materialized(_branched(rows.join(parting, "node", "left_semi"), how), "nodes")
     return links
 
 
@@ -345,7 +362,7 @@ def verified_links(sets: DataFrame, cells: DataFrame, how: NearDuplicates) -> Da
         linked = np.flatnonzero(label != np.arange(len(ids)))
         return pd.DataFrame({"a": ids[linked], "b": ids[label[linked]]})
 
-    blocks = _blocks(judged, large_sizes, "cell", how.block)
+    blocks = _blocks(judged, "cell", how.block, "elements", how.block_bytes)
     return links.unionAll(judged.where("not open").select(F.col("doc_id").alias("a"), F.col("first_id").alias("b"))).unionAll(
         blocks.groupBy("pair").applyInPandas(across, LINKS)
     )
@@ -392,15 +409,18 @@ def near_duplicates(documents: DataFrame, how: NearDuplicates = NearDuplicates()
 def deduplicated(documents: DataFrame, how: NearDuplicates = NearDuplicates()) -> DataFrame:
     """The rows of ``documents`` that ``near_duplicates`` keeps, one for each component.
 
-    Of rows with one doc_id one stays; rows without a doc_id all stay.
+    Rows are judged by their texts alone: where ids are missing or repeated, rows are numbered
+    first, so that different texts with one id both stay and copies without one go. Rows
+    without words all stay.
     """
-    judged = materialized(near_duplicates(documents, how), "near-duplicates")
-    dropped = materialized(judged.where("not kept").select("doc_id").distinct(), "dropped")
+    number = unused_name(documents, "_number")
+    ids = documents.select(F.col("doc_id").cast("long").alias("doc_id"))
+    if ids.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 or doc_id is null").isEmpty():
+        rows = documents.withColumn(number, F.col("doc_id").cast("long"))
+    else:
+        rows = materialized(documents.withColumn(number, F.monotonically_increasing_id()), "numbered")
+    judged = near_duplicates(rows.select(F.col(number).alias("doc_id"), "text"), how)
+    dropped = materialized(judged.where("not kept").select(F.col("doc_id").alias(number)), "dropped")
     if dropped.count() <= how.broadcast:
         dropped = F.broadcast(dropped)  # else the texts are shuffled
-    rest = documents.join(dropped, "doc_id", "left_anti").select(*[f"`{c}`" for c in documents.columns])
-    repeated = judged.where("kept and doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
-    if repeated.isEmpty():
-        return rest
-    once = rest.join(repeated, "doc_id", "left_anti").select(*rest.columns)
-    return once.unionByName(rest.join(repeated, "doc_id", "left_semi").select(*rest.columns).dropDuplicates(["doc_id"]))
+    return rows.join(dropped, number, "left_anti").select(*[f"`{c}`" for c in documents.columns])

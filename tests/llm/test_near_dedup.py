@@ -99,7 +99,37 @@ def test_repeated_and_null_ids_and_clashing_columns(spark):
     for how in (NearDuplicates(), NearDuplicates(broadcast=0)):
         kept = deduplicated(df, how)
         assert kept.columns == df.columns
-        assert rows(kept, "doc_id") == sorted([(5,), (7,), (None,), (None,)], key=repr)
+        # One of the three alike, whatever their ids, one of the two others, and the last.
+        assert sorted(r.text[:2] for r in kept.collect()) == ["ot", "w0", "zz"]
+
+
+def test_different_texts_with_one_id_all_stay(spark):
+    df = documents(spark, ["one text of words", "quite another text here", "a third"], ids=[1, 1, 2])
+    assert deduplicated(df).count() == 3
+    df = documents(spark, ["same text of words"] * 3 + ["", None, ""], ids=[None, None, 4, 4, None, None])
+    assert sorted((r.text or "") for r in deduplicated(df).collect()) == ["", "", "", "same text of words"]
+
+
+def test_near_copies_are_finished_where_they_first_meet(spark, monkeypatch):
+    from policyscan.llm import near_dedup
+
+    rng = random.Random(11)
+    texts = family(rng, 120, 90, 2) + [t for _ in range(150) for t in family(rng, 1, 60, 0)]
+    rng.shuffle(texts)
+    branched = []
+    monkeypatch.setattr(near_dedup, "_branched", lambda rows, how: branched.append(rows) or pytest.fail("branched"))
+    how = NearDuplicates(words=4, small=15)
+    found = near_duplicates(documents(spark, texts), how)
+    assert rows(found, "doc_id", "n_shingles", "component_id") == brute(list(enumerate(texts)), 4, 80)
+    assert not branched
+
+
+def test_blocks_are_bounded_by_bytes(spark):
+    rng = random.Random(12)
+    texts = [t for n in (9, 14) for t in family(rng, n, 400, 30)]
+    how = NearDuplicates(words=4, small=3, block=1000, block_bytes=9000)
+    found = near_duplicates(documents(spark, texts), how)
+    assert rows(found, "doc_id", "n_shingles", "component_id") == brute(list(enumerate(texts)), 4, 80)
 
 
 def test_an_empty_table(spark):
