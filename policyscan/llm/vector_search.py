@@ -16,95 +16,134 @@ from policyscan.llm.vectors import matrix, usable
 FILE_BLOCK, QUERY_BLOCK = 4096, 2048
 #: Cells of a dimension, at most 256.
 CELLS = 64
-#: Queries whose bounds are held at a time, and exact vectors read at a time.
-BOUNDS_AT_ONCE, READ_AT_ONCE = 128, 64
-#: Scaled components are held within this size, so that scores are exact.
-LARGEST = 1 << 26
+#: Queries whose bounds are held at a time.
+BOUNDS_AT_ONCE = 128
+#: Exact vectors read for a query at first, times k.
+READ_FIRST = 4
+#: The scores that a long holds.
+LONGEST = 2**63 - 1
 
 
 def _scaled(column: pd.Series, scale: float) -> np.ndarray:
-    """Components as integers: the floor of ``scale`` times each."""
-    return np.clip(np.floor(scale * matrix(column)), -LARGEST, LARGEST).astype(np.int64)
+    """The floor of ``scale`` times each component: integers, as doubles, which hold them exactly."""
+    with np.errstate(over="ignore"):
+        scaled = np.floor(scale * matrix(column))
+    if not np.isfinite(scaled).all():
+        raise ValueError("a scaled component leaves the range of doubles")
+    return scaled
+
+
+def _edges(exact: np.ndarray) -> np.ndarray:
+    """The borders of the cells of each dimension (a row), integers; a value is below the next."""
+    low, high = exact.min(axis=0), exact.max(axis=0)
+    step = np.floor(high / CELLS - low / CELLS) + 1
+    edges = low[:, None] + step[:, None] * np.arange(CELLS + 1)
+    edges[:, -1] = np.maximum(edges[:, -1], np.nextafter(high, np.inf))
+    return edges
+
+
+def _scores(ones: np.ndarray, twos: np.ndarray) -> list[int]:
+    """Exact inner products of the rows of two matrices."""
+    largest = max(np.abs(ones).max(initial=0.0), np.abs(twos).max(initial=0.0))
+    if largest * largest * max(1, ones.shape[1]) < 2.0**62:
+        return (ones.astype(np.int64) * twos.astype(np.int64)).sum(axis=1).tolist()
+    return [sum(int(a) * int(b) for a, b in zip(one, two, strict=True)) for one, two in zip(ones, twos, strict=True)]
 
 
 def _dealt(vectors: DataFrame, size: int) -> tuple[DataFrame, int]:
-    """Distinct vectors with the block, of about ``size`` rows, that their hash picks."""
+    """Vectors with the block, of about ``size`` rows, that their hash picks."""
     blocks = max(1, -(-vectors.count() // size))
     whole = F.xxhash64("vec_id", "embedding")
     return vectors.withColumn("dims", F.size("embedding")).withColumn("block", F.pmod(whole, F.lit(blocks)).cast("int")), blocks
 
 
 def approximation_file(vectors: DataFrame, scale: float) -> tuple[DataFrame, int]:
-    """One row per block of vectors of one length, and the number of blocks.
+    """One row per block of vectors (row, vec_id, embedding) of one length, and the number of blocks.
 
-    It holds the cells' origins and widths per dimension, the cell numbers of its vectors as
-    bytes, and apart from these the exact vectors.
+    It holds the cells' borders per dimension, the cell numbers of its vectors as bytes, and
+    their rows and ids. The exact vectors stay where they are.
     """
 
     def build(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("vec_id", kind="stable")
         exact = _scaled(pdf["embedding"], scale)
-        low = exact.min(axis=0)
-        width = (exact.max(axis=0) - low) // CELLS + 1
-        cells = ((exact - low) // width).astype(np.uint8)
-        ids = pdf["vec_id"].to_numpy(np.int64)
-        row = [key[0], key[1], low.tobytes(), width.tobytes(), cells.tobytes(), ids.tobytes(), exact.tobytes()]
-        return pd.DataFrame([row], columns=["dims", "block", "low", "width", "cells", "ids", "exact"])
+        edges = _edges(exact)
+        cells = np.empty(exact.shape, np.uint8)
+        for d, borders in enumerate(edges):
+            cells[:, d] = np.clip(np.searchsorted(borders, exact[:, d], side="right") - 1, 0, CELLS - 1)
+        held = [pdf[c].to_numpy(np.int64).tobytes() for c in ("row", "vec_id")]
+        return pd.DataFrame([[*key, edges.tobytes(), cells.tobytes(), *held]], columns=["dims", "block", "edges", "cells", "rows", "ids"])
 
     dealt, blocks = _dealt(vectors, FILE_BLOCK)
-    schema = "dims int, block int, low binary, width binary, cells binary, ids binary, exact binary"
+    schema = "dims int, block int, edges binary, cells binary, rows binary, ids binary"
     return dealt.groupBy("dims", "block").applyInPandas(build, schema), blocks
 
 
 def _query_blocks(queries: DataFrame, scale: float) -> tuple[DataFrame, int]:
     def gather(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        ids = pdf["vec_id"].to_numpy(np.int64)
-        row = [key[0], key[1], ids.tobytes(), _scaled(pdf["embedding"], scale).tobytes()]
-        return pd.DataFrame([row], columns=["dims", "queries", "query_ids", "query_vectors"])
+        held = [pdf[c].to_numpy(np.int64).tobytes() for c in ("asked", "vec_id")]
+        row = [*key, *held, _scaled(pdf["embedding"], scale).tobytes()]
+        return pd.DataFrame([row], columns=["dims", "queries", "asked", "query_ids", "query_vectors"])
 
     dealt, blocks = _dealt(queries, QUERY_BLOCK)
-    return dealt.groupBy("dims", "block").applyInPandas(gather, "dims int, queries int, query_ids binary, query_vectors binary"), blocks
+    schema = "dims int, queries int, asked binary, query_ids binary, query_vectors binary"
+    return dealt.groupBy("dims", "block").applyInPandas(gather, schema), blocks
 
 
-def _block_search(row, k: int) -> pd.DataFrame:
-    """The k best vectors of a block for each query of a query block."""
+def _block_bounds(row, k: int) -> pd.DataFrame:
+    """For each query of a query block the vectors of a block that may be among its k best
+    there, with the bounds of their scores."""
     dims = row.dims
-    ids, query_ids = np.frombuffer(row.ids, np.int64), np.frombuffer(row.query_ids, np.int64)
-    exact = np.frombuffer(row.exact, np.int64).reshape(len(ids), dims)
-    queries = np.frombuffer(row.query_vectors, np.int64).reshape(len(query_ids), dims)
-    low, width = np.frombuffer(row.low, np.int64), np.frombuffer(row.width, np.int64)
-    floor = (np.frombuffer(row.cells, np.uint8).reshape(len(ids), dims) * width + low).astype(np.float64)
-    ceiling = floor + (width - 1)
-    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    rows, ids = np.frombuffer(row.rows, np.int64), np.frombuffer(row.ids, np.int64)
+    asked, query_ids = np.frombuffer(row.asked, np.int64), np.frombuffer(row.query_ids, np.int64)
+    queries = np.frombuffer(row.query_vectors, np.float64).reshape(len(asked), dims)
+    edges = np.frombuffer(row.edges, np.float64).reshape(dims, CELLS + 1)
+    cells = np.frombuffer(row.cells, np.uint8).reshape(len(ids), dims)
+    floor, ceiling = edges[np.arange(dims), cells], edges[np.arange(dims), cells + np.int64(1)] - 1
+    out = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0), np.empty(0))]
     for at in range(0, len(queries), BOUNDS_AT_ONCE):
         part = queries[at : at + BOUNDS_AT_ONCE]
-        plus, minus = np.maximum(part, 0).astype(np.float64), np.minimum(part, 0).astype(np.float64)
+        plus, minus = np.maximum(part, 0), np.minimum(part, 0)
         # Sums of doubles beyond 2^53 are rounded; both bounds give way by more than that.
-        size = np.abs(part).sum(axis=1, dtype=np.float64) * max(1.0, np.abs(floor).max(initial=0), np.abs(ceiling).max(initial=0))
-        slack = np.where(size < 2.0**52, 0, size * 2.0**-48)[:, None]
-        most = plus @ ceiling.T + minus @ floor.T + slack
-        least = plus @ floor.T + minus @ ceiling.T - slack
-        for i, query in enumerate(part):
-            own = ids == query_ids[at + i]
-            most[i, own] = least[i, own] = -np.inf
-            n = len(ids) - int(own.sum())
-            if not n:
+        with np.errstate(over="ignore", invalid="ignore"):
+            size = np.abs(part).sum(axis=1) * max(1.0, np.abs(floor).max(initial=0), np.abs(ceiling).max(initial=0))
+            slack = np.where(size < 2.0**52, 0, size * 2.0**-40)[:, None]
+            most, least = plus @ ceiling.T + minus @ floor.T + slack, plus @ floor.T + minus @ ceiling.T - slack
+        # Bounds that overflow say nothing.
+        unknown = ~(np.isfinite(most) & np.isfinite(least) & np.isfinite(slack))
+        most[unknown], least[unknown] = np.finfo(np.float64).max, np.finfo(np.float64).min
+        for i in range(len(part)):
+            other = np.flatnonzero(ids != query_ids[at + i])
+            if not len(other):
                 continue
-            sure = np.partition(least[i], len(ids) - min(k, n))[len(ids) - min(k, n)]
-            open_ = np.flatnonzero((most[i] >= sure) & ~own)
-            open_ = open_[np.argsort(-most[i, open_], kind="stable")]
-            found = np.empty(0, np.int64)
-            scores = np.empty(0, np.int64)
-            for first in range(0, len(open_), READ_AT_ONCE):
-                if len(scores) == k and most[i, open_[first]] < scores[-1]:
-                    break  # no vector further on can reach the kth
-                read = open_[first : first + READ_AT_ONCE]
-                found, scores = np.concatenate([found, read]), np.concatenate([scores, exact[read] @ query])
-                best = np.lexsort((ids[found], -scores))[:k]
-                found, scores = found[best], scores[best]
-            out.append((np.full(len(found), query_ids[at + i]), ids[found], scores))
-    columns = [np.concatenate(c) if out else np.empty(0, np.int64) for c in (zip(*out, strict=True) if out else ([], [], []))]
-    return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), columns, strict=True)))
+            n = len(other) - min(k, len(other))
+            open_ = other[most[i, other] >= np.partition(least[i, other], n)[n]]
+            out.append((np.full(len(open_), asked[at + i]), rows[open_], most[i, open_], least[i, open_]))
+    return pd.DataFrame(dict(zip(("asked", "row", "most", "least"), map(np.concatenate, zip(*out, strict=True)), strict=True)))
+
+
+def _read(candidates: DataFrame, vectors: DataFrame, queries: DataFrame, scale: float) -> DataFrame:
+    """The exact scores of candidates (asked, row)."""
+
+    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for _, part in batch.groupby(batch["embedding"].map(len)):
+                found = _scores(_scaled(part["embedding"], scale), _scaled(part["asking"], scale))
+                if any(abs(s) > LONGEST for s in found):
+                    raise ValueError("a score leaves 64 bits")
+                yield pd.DataFrame({"query_id": part["query_id"], "asked": part["asked"], "vec_id": part["vec_id"], "score": found})
+
+    pairs = candidates.select("asked", "row").join(vectors, "row").join(
+        queries.select("asked", F.col("vec_id").alias("query_id"), F.col("embedding").alias("asking")), "asked"
+    )
+    return pairs.select("asked", "query_id", "vec_id", "embedding", "asking").mapInPandas(
+        score, "query_id long, asked long, vec_id long, score long"
+    )
+
+
+def _kth(rows: DataFrame, k: int, by: str, name: str) -> DataFrame:
+    """The kth largest value of a column for each query that has so many rows."""
+    place = F.row_number().over(Window.partitionBy("asked").orderBy(F.desc(by)))
+    return rows.select("asked", by).withColumn("_place", place).where(F.col("_place") <= k).where(F.col("_place") == k).select("asked", F.col(by).alias(name))
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int, scale: float = 256.0) -> DataFrame:
@@ -114,28 +153,38 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int, scale: float = 256.0)
     query is never compared with rows of its own vec_id, nor with vectors of another length.
     Ties go to the smaller vec_id. Fewer than k rows come back where there are fewer others.
     Vectors that are null, have no id, or hold null or non-finite components take no part;
-    components beyond 2^26 after scaling count as 2^26. Equal rows are each a candidate; a
-    repeated query is answered once.
+    a score among the best of a block that a long cannot hold is an error. Equal rows are each a
+    candidate; a repeated query is answered once.
 
-    Each block of the file meets each block of queries in a row of its own: bounds of all
-    scores come from the cells, and exact vectors are read from the highest upper bound on,
-    until the kth score is above the next bound. The blocks' best are then merged.
+    Each block of the file, cells only, meets each block of queries in a row of its own. Vectors
+    whose upper bound reaches the kth lower bound of their block, and then that of all
+    blocks, are candidates. Of these the exact vectors with the highest upper bounds are
+    read first, and then those whose upper bound reaches the kth score found.
     """
     kept = vectors.where(usable(vectors)).select(F.col("vec_id").cast("long"), "embedding")
     # More than k equal rows cannot all be among the best.
     kept = kept.groupBy("vec_id", "embedding").agg(F.count("*").alias("n"))
     kept = kept.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.least("n", F.lit(k))))).select("vec_id", "embedding")
-    file, file_blocks = approximation_file(materialized(kept, "vectors"), scale)
+    kept = materialized(kept.withColumn("row", F.monotonically_increasing_id()), "vectors")
     asked = queries.where(usable(queries)).select(F.col("vec_id").cast("long"), "embedding").distinct()
-    blocks, query_blocks = _query_blocks(materialized(asked, "queries"), scale)
+    asked = materialized(asked.withColumn("asked", F.monotonically_increasing_id()), "queries")
+    file, file_blocks = approximation_file(kept, scale)
+    blocks, query_blocks = _query_blocks(asked, scale)
     left = materialized(file, "file").withColumn("queries", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
     right = blocks.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(file_blocks - 1))))
 
-    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def bounds(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for row in batch.itertuples(index=False):
-                yield _block_search(row, k)
-
-    near = left.join(right, ["dims", "block", "queries"]).mapInPandas(search, "query_id long, vec_id long, score long")
+                yield _block_bounds(row, k)
+
+    near = left.join(right, ["dims", "block", "queries"]).mapInPandas(bounds, "asked long, row long, most double, least double")
+    near = materialized(near, "bounds")
+    near = near.join(materialized(_kth(near, k, "least", "sure"), "sure"), "asked", "left").where("sure is null or most >= sure")
+    turn = F.row_number().over(Window.partitionBy("asked").orderBy(F.desc("most"), "row"))
+    near = materialized(near.withColumn("turn", turn).select("asked", "row", "most", "turn"), "candidates")
+    first = materialized(_read(near.where(F.col("turn") <= READ_FIRST * k), kept, asked, scale), "scores")
+    rest = near.where(F.col("turn") > READ_FIRST * k).join(_kth(first, k, "score", "reached"), "asked", "left")
+    scores = first.unionByName(_read(rest.where("reached is null or most >= reached"), kept, asked, scale))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return near.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return scores.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pytest
 
@@ -116,14 +118,33 @@ def test_search_equals_brute_force_with_ties(spark, monkeypatch):
 
 
 def test_search_leaves_out_bad_vectors_and_returns_fewer(spark):
-    data = [(0, [1.0, -1.0]), (1, [0.5, 0.5]), (2, [0.5, 0.5, 1.0]), (50, None), (100, [NAN, 1.0]), (None, [1.0, 1.0]), (3, [1e30, 0.0])]
+    data = [(0, [1.0, -1.0]), (1, [0.5, 0.5]), (2, [0.5, 0.5, 1.0]), (50, None), (100, [NAN, 1.0]), (None, [1.0, 1.0]), (3, [2.0**40, 0.0])]
     df = vectors(spark, data)
     found = rows(top_k(df, df.where("vec_id % 50 = 0"), 5), "query_id", "rank", "vec_id", "score")
-    assert found == [(0, 1, 3, 256 * 2**26), (0, 2, 1, 0)]
+    assert found == [(0, 1, 3, 256 * 2**48), (0, 2, 1, 0)]
     empty = vectors(spark, [])
     assert top_k(empty, empty, 5).count() == 0
 
 
+def test_scores_of_large_components_are_exact(spark):
+    near = [2.0**46 - 2.0**23, 2.0**24, -(2.0**45), 300_000.0, 400_000.0, -400_000.0, -300_000.0, 1e-3, -0.5]
+    for asked in ([0.125, 0.0], [1.0, -0.75], [-0.125, 2.0**30]):
+        data = [(0, asked)] + [(1 + n, [x, y]) for n, (x, y) in enumerate((a, b) for a in near for b in (0.0, 1.0, -3.5))]
+        data = [(i, np.float32(v).tolist()) for i, v in data]
+        x = [(i, [math.floor(256 * c) for c in v]) for i, v in data]
+        wanted = sorted((-sum(a * b for a, b in zip(x[0][1], v, strict=True)), i) for i, v in x[1:])[:6]
+        assert all(abs(s) < 2**63 for s, _ in wanted)
+        df = vectors(spark, data)
+        found = rows(top_k(df, df.where("vec_id = 0"), 6), "rank", "vec_id", "score")
+        assert found == [(r, i, -s) for r, (s, i) in enumerate(wanted, 1)]
+    data = [(0, [1.0]), (1, [300_000.0]), (2, [400_000.0])]
+    df = vectors(spark, data)
+    assert rows(top_k(df, df.where("vec_id = 0"), 2), "rank", "vec_id", "score") == [(1, 2, 26_214_400_000), (2, 1, 19_660_800_000)]
+    df = vectors(spark, [(0, [2.0**30]), (1, [2.0**30])])
+    with pytest.raises(Exception, match="a score leaves 64 bits"):
+        top_k(df, df, 1).collect()
+
+
 def test_repeated_rows_are_candidates_each(spark):
     df = vectors(spark, [(0, [1.0]), (7, [2.0]), (7, [2.0]), (8, [2.0])])
     found = rows(top_k(df, df.where("vec_id = 0"), 3), "rank", "vec_id")
