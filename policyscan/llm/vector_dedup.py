@@ -23,9 +23,9 @@ class VectorDuplicates:
     The index is fitted on ``sample`` distinct vectors, those of the smallest hashes: one
     coarse centroid per ``sqrt(n)`` vectors, ``lists`` at most, and ``parts`` codebooks of
     ``codes`` centroids each for the residuals. A vector is searched for in every list whose
-    border it comes near: by the distance at the threshold times ``spread / sqrt(dims)``, and
-    by half that distance at least. One of two linked vectors in different lists is so near
-    to the border between these, so every pair meets in a list, in any number of dimensions.
+    border is within half the distance at the threshold. One of two linked vectors in different
+    lists is so near to the border between these, so every pair meets in a list, in any number
+    of dimensions.
     """
 
     least: float = 0.95
@@ -33,7 +33,6 @@ class VectorDuplicates:
     lists: int = 4096
     parts: int = 8
     codes: int = 256
-    spread: float = 4.5
     rounds: int = 8
     entries: int = 2048
     queries: int = 4096
@@ -136,7 +135,7 @@ def _placed(distinct: DataFrame, index: Index, how: VectorDuplicates, kind: str)
                 raw = index.padded(matrix(part["embedding"]))
                 x = _unit(raw)
                 # A little more than the half, which rounding must not cut.
-                margin = how.reach * np.clip(how.spread / np.sqrt(dims), 0.5 + 1e-6, 1.0) + 1e-9
+                margin = np.full(len(part), how.reach * (0.5 + 1e-6) + 1e-9)
                 home, probes = index.probes(x, margin)
                 codes, off = index.encode(x - index.coarse[home])
                 yield pd.DataFrame(
