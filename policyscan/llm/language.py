@@ -22,9 +22,11 @@ LENGTHS = (8, 16, 32, 64, 128, 256, 512, 1024)
 @dataclass(frozen=True)
 class NearestCentroids:
     """Parameters. At most ``sample`` labelled texts of each language, those of the smallest
-    hashes, are learned from; ``longest`` n-grams are hashed to ``slots``."""
+    hashes, are learned from, and the ``languages`` with the most texts at most; ``longest``
+    n-grams are hashed to ``slots``."""
 
     sample: int = 400
+    languages: int = 500
     longest: int = 3
     slots: int = 4096
     centroids: int = 4
@@ -131,9 +133,11 @@ class LanguageModel:
 
 def _sampled(labelled: DataFrame, how: NearestCentroids) -> DataFrame:
     ids = labelled.select("doc_id", "lang", F.xxhash64("doc_id").alias("_h"))
-    # About three times as many as wanted are sorted, whatever the partitions.
-    counts = ids.groupBy(F.col("lang").alias("_lang")).agg(F.count("*").alias("_all"))
-    ids = ids.join(counts, F.col("lang") == F.col("_lang"))
+    # About three times as many as wanted are sorted, whatever the partitions. The languages, at
+    # most ``languages`` rows, go to the texts, which stay where they are.
+    sizes = ids.groupBy(F.col("lang").alias("_lang")).agg(F.count("*").alias("_all"))
+    sizes = materialized(sizes.orderBy(F.desc("_all"), "_lang").limit(how.languages), "languages")
+    ids = ids.join(F.broadcast(sizes), F.col("lang") == F.col("_lang"))
     ids = ids.where(hash_share("doc_id") <= 3.0 * how.sample / F.col("_all"))
     first = Window.partitionBy("lang").orderBy("_h", "doc_id")
     chosen = ids.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= how.sample).select("doc_id", "lang").distinct()

@@ -63,6 +63,71 @@ def test_blocks_do_not_change_counts():
     assert np.array_equal(whole, single)
 
 
+def plain_vector(text, how, idf):
+    """TF-IDF of hashed n-grams by a loop over characters."""
+    mask, counts = (1 << 64) - 1, {}
+
+    def mix(x):
+        x = (x ^ (x >> 30)) * 0xBF58476D1CE4E5B9 & mask
+        x = (x ^ (x >> 27)) * 0x94D049BB133111EB & mask
+        return x ^ (x >> 31)
+
+    letters = " ".join("".join(c if c.isalpha() else " " for c in text.lower()).split())
+    letters = f" {letters} " if letters else " "
+    for n in range(1, how.longest + 1):
+        for at in range(len(letters) - n + 1):
+            gram = letters[at : at + n]
+            if gram == " ":
+                continue
+            value = 0
+            for c in gram:
+                value = (value * 0x110000 + ord(c)) & mask
+            slot = mix((value + (n << 60)) & mask) % how.slots
+            counts[slot] = counts.get(slot, 0) + 1
+    vector = {slot: np.log1p(count) * idf[slot] for slot, count in counts.items()}
+    size = np.sqrt(sum(v * v for v in vector.values())) or 1.0
+    return {slot: v / size for slot, v in vector.items()}
+
+
+def test_predictions_equal_a_plain_version(spark, model):
+    rows = spark.read.parquet(f"{SCALE}/documents.parquet").where("length(text) < 3000").limit(60).collect()
+    texts = [r.text for r in rows] + ["Straße, l'été!", "a", "x  y\t- 9 z", "ǅ İi", "?"]
+    for text, (found, score, _) in zip(texts, model.judge(texts), strict=True):
+        vector = plain_vector(text, model.how, model.idf)
+        near = [sum(v * centroid[slot] for slot, v in vector.items()) for centroid in model.centroids]
+        if not any(c.isalpha() for c in text):
+            assert (found, score) == ("und", 0.0)
+            continue
+        assert score == pytest.approx(min(1.0, max(0.0, max(near))), abs=1e-5)
+        owners = {model.languages[o] for o, n in zip(model.owner, near, strict=True) if n >= max(near) - 1e-5}
+        assert found in owners
+
+
+def test_idf_and_centroids_equal_a_plain_version(spark):
+    df = spark.read.parquet(f"{SCALE}/documents.parquet").where("length(text) < 1500")
+    how = language.NearestCentroids(sample=10_000, rounds=0, centroids=2)
+    model = language.fit(df, how)
+    rows = [(r.lang, r.text) for r in df.collect()]
+    held = np.zeros(how.slots)
+    for _, text in rows:
+        held[list(plain_vector(text, how, np.ones(how.slots)))] += 1
+    np.testing.assert_allclose(model.idf, np.log((1 + len(rows)) / (1 + held)) + 1, rtol=1e-5)
+    # Without rounds the centroids are the first and last texts in order.
+    for at, lang in enumerate(model.languages):
+        texts = sorted(t for name, t in rows if name == lang)
+        for centroid, text in zip(model.centroids[model.owner == at], (texts[0], texts[-1]), strict=True):
+            wanted = np.zeros(how.slots)
+            for slot, v in plain_vector(text, how, model.idf).items():
+                wanted[slot] = v
+            np.testing.assert_allclose(centroid, wanted, atol=1e-5)
+
+
+def test_languages_of_most_texts_are_learned(spark):
+    texts = [("aa", "alpha beta"), ("aa", "alpha gamma"), ("bb", "delta eta"), ("bb", "eta zeta"), ("cc", "omega")]
+    df = spark.createDataFrame([(i, t, name) for i, (name, t) in enumerate(texts)], "doc_id long, text string, lang string")
+    assert language.fit(df, language.NearestCentroids(languages=2)).languages == ["aa", "bb"]
+
+
 def test_quality_of_held_out_documents(spark):
     rows = op7_discriminant_quality(spark, SCALE).join(spark.read.parquet(f"{SCALE}/labels.parquet"), "doc_id", "left").collect()
     assert len(rows) == 1000
