@@ -93,14 +93,22 @@ class _Element:
 class _Named:
     """An element with the name of an aside, and the text in it."""
 
-    __slots__ = ("parent", "names", "container", "in_article", "in_main", "holds_main", "size", "chosen", "prose", "dropped", "plain")
+    __slots__ = (
+        "parent", "names", "container", "in_article", "in_main", "holds_main", "size", "in_articles", "in_mains", "prose", "dropped", "plain",
+    )
 
     def __init__(self, parent: int, names: frozenset[str], container: bool, in_article: bool, in_main: bool):
         self.parent, self.names, self.container = parent, names, container
         self.in_article, self.in_main, self.holds_main = in_article, in_main, False
-        self.size = self.chosen = self.prose = 0
+        # Of its text: all, that of articles, that of main elements outside of them, and prose.
+        self.size = self.in_articles = self.in_mains = self.prose = 0
         self.dropped = self.plain = False
 
+    @property
+    def chosen(self) -> int:
+        """The size of articles in it, and of a main element in it."""
+        return 0 if self.in_article else self.in_articles + (0 if self.in_main else self.in_mains)
+
 
 def _aside_names(value: str) -> frozenset[str]:
     """Names of asides in a class or an id: of those of its words that consist of such names
@@ -136,6 +144,15 @@ def _is_aside(tag: str, token: str, inside: bool) -> tuple[bool, frozenset[str]]
     return False, names
 
 
+def _has_role(tag: str, token: str, role: str) -> bool:
+    if "role" not in token.lower():
+        return False
+    found = _ATTRIBUTE.findall(token[len(tag) + 1 :].rstrip("/>"))
+    # Of attributes with one name the first counts.
+    given = next(("".join(values) for name, *values in found if name.lower() == "role"), "")
+    return role in given.lower().split()
+
+
 def _digest(text: str) -> int:
     return int.from_bytes(blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
 
@@ -155,6 +172,8 @@ class Page:
         self._text: list[tuple[str, int, bool]] = []
         self._named = [_Named(0, frozenset(), False, False, False)]
         self._open = [_Element("", [], 0, False, False, False, 0, False)]
+        #: Where the open elements of each tag stand, the innermost last.
+        self._places: dict[str, list[int]] = {}
         self._parse(html)
         while len(self._open) > 1:
             self._close()
@@ -188,13 +207,18 @@ class Page:
             if not named:
                 outside += size
                 outside_chosen += size if article or main else 0
-            while named:
-                own = self._named[named]
-                own.size += size
-                own.prose += size if prose else 0
-                if not own.in_article and (article or main and not own.in_main):
-                    own.chosen += size
-                named = own.parent
+            own = self._named[named]
+            own.size += size
+            own.prose += size if prose else 0
+            own.in_articles += size if article else 0
+            own.in_mains += size if main and not article else 0
+        # An element comes after the one around it, so each sum is complete when it is passed on.
+        for own in reversed(self._named[1:]):
+            above = self._named[own.parent]
+            above.size += own.size
+            above.prose += own.prose
+            above.in_articles += own.in_articles
+            above.in_mains += own.in_mains
         for own in self._named[1:]:
             around = own.holds_main or own.chosen > outside_chosen and OTHER_NAMES.isdisjoint(own.names)
             # A page without any paragraph has its prose in other elements.
@@ -269,34 +293,36 @@ class Page:
             named = len(self._named)
             self._named.append(_Named(top.named, names, tag in CONTAINERS or tag in ("td", "th"), top.article, top.main))
         article = not aside and (top.article or tag == "article")
-        main = not aside and (top.main or tag == "main" or 'role="main"' in token)
+        main = not aside and (top.main or tag == "main" or _has_role(tag, token, "main"))
         if (article and not top.article) or (main and not top.main):
-            for element in self._open:
+            for element in reversed(self._open):
+                if element.holds:
+                    break  # and so do those around it
                 element.holds = True
         at = named if main and not top.main else 0
-        while at:
+        while at and not self._named[at].holds_main:
             self._named[at].holds_main = True
             at = self._named[at].parent
         prose = tag != "a" and (top.prose or tag in PROSE)
+        self._places.setdefault(tag, []).append(len(self._open))
         self._open.append(_Element(tag, [token], len(self._blocks), aside, article, main, named, prose))
 
+    def _innermost(self, tags) -> int:
+        """Where the innermost open element of ``tags`` stands; 0 if there is none."""
+        return max((places[-1] for t in tags if (places := self._places.get(t))), default=0)
+
     def _leave(self, tags: set[str], scope) -> None:
         """Close an open element of ``tags``, if one is open within the scope."""
-        for at in range(len(self._open) - 1, 0, -1):
-            if self._open[at].tag in tags:
-                while len(self._open) > at:
-                    self._close()
-                return
-            if self._open[at].tag in scope:
-                return
+        at = self._innermost(tags)
+        if at and at >= self._innermost(scope):
+            while len(self._open) > at:
+                self._close()
 
     def _end(self, tag: str) -> None:
-        for at in range(len(self._open) - 1, 0, -1):
-            if self._open[at].tag == tag:
-                while len(self._open) > at:
-                    self._close()
-                return
-        if tag == "p":
+        at = self._innermost((tag,))
+        while at and len(self._open) > at:
+            self._close()
+        if not at and tag == "p":
             self._end_block()
 
     def _close(self) -> None:
@@ -305,6 +331,7 @@ class Page:
             self._end_block()
         digest = _digest("\0".join(top.parts))
         self._open.pop()
+        self._places[top.tag].pop()
         self._open[-1].parts.append(f"{digest:x}")
         inside = top.article or top.main
         if not top.holds and top.tag in (TEMPLATE if inside else TEMPLATE_OUTSIDE) and top.tag not in ROOTS:

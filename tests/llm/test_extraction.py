@@ -147,3 +147,32 @@ def test_the_given_pages(spark):
         article = re.search(r"<article>(.*?)</article>", r.html, re.DOTALL)[1].replace("<br>", " ")
         blocks = [" ".join(unescape(re.sub("</?b>", "", b)).split()) for b in re.split("</?(?:p|h1)>", article)]
         assert r.text == "\n\n".join(b for b in blocks if b)
+
+
+@pytest.mark.parametrize("role", ["role='main'", 'role="main"', "role=main", 'ROLE = "Main"', 'class="x" role=" main "', "role='region main'"])
+def test_the_main_role_is_an_attribute(role):
+    html = f"<body><div>Menu text</div><div {role}><p>The story.</p></div><div>After it</div></body>"
+    assert Page(html).text() == "The story."
+    assert Page("<div data-role='main'><p>a</p></div><p>b</p>").text() == "a\n\nb"
+
+
+@pytest.mark.parametrize(
+    "html, text",
+    [
+        ("<i>" * 200_000 + "x" + "</b>" * 200_000, "x"),
+        ("<button>" + "<i>" * 100_000 + "<div>x</div>" * 100_000, None),
+        ("<div class='sidebar'>" * 50_000 + "x" + "</div>" * 50_000 + "<p>rest of it</p>", "rest of it"),
+        ("<i>" * 100_000 + "<article>x</article>" * 50_000, None),
+        ("<p>" * 200_000 + "x", "x"),
+        ("<li>" * 200_000 + "x" + "</ul>" * 200_000, "x"),
+        ("<div role=main class=widget>" + "<section id=widget>" * 50_000 + "<p>x</p>", None),
+    ],
+    ids=["stray", "scoped", "named", "articles", "paragraphs", "items", "nested-main"],
+)
+def test_deep_pages_take_seconds(html, text):
+    import time
+
+    start = time.process_time()
+    found = Page(html).text()
+    assert time.process_time() - start < 20
+    assert text is None or found == text
