@@ -154,7 +154,7 @@ def reactivation_screen_ranked(s: StandIns) -> DataFrame:
 def change_history_long_texts(s: StandIns) -> DataFrame:
     """Histories that carry whole documents as descriptions; the result has their hashes."""
     edits = edit_ops.content_edits(s.change_log(long=True), EDITS_SINCE)
-    history = changes.change_history(s.flagged(), edits, _reviewed(s))
+    history = changes.change_history(s.flagged(), edits, _reviewed(s), long_texts=True)
     return history.select(
         "listing_id",
         "change_num",

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from policyscan.functions.buckets import AROUND_LAUNCH, AROUND_REVIEW
 from policyscan.functions.listing import days_between
+from policyscan.functions.packed import packed, unpacked
+from policyscan.functions.text import computed_once
 from policyscan.operators.edits import (
     first_edit,
     numbered_with_timing,
@@ -18,6 +20,9 @@ from policyscan.operators.edits import (
 )
 from policyscan.operators.order import ranked
 
+#: Listing ids that are sent to all executors for long texts; 8 bytes each, before hashing.
+BROADCAST = 2_000_000
+
 HISTORY_COLUMNS = (
     "listing_id",
     "first_review_date",
@@ -76,14 +81,47 @@ def segment_summary(timing_summary: DataFrame) -> DataFrame:
 
 
 def change_history(
-    flagged: DataFrame, edits: DataFrame, reviewed: DataFrame, ordered: bool = False
+    flagged: DataFrame,
+    edits: DataFrame,
+    reviewed: DataFrame,
+    ordered: bool = False,
+    long_texts: bool = False,
 ) -> DataFrame:
-    """One row per edit of a flagged listing, numbered, with contents and timing."""
-    numbered = numbered_with_timing(of_listings(edits, flagged), of_listings(reviewed, flagged))
+    """One row per edit of a flagged listing, numbered, with contents and timing.
+
+    With ``long_texts`` descriptions are packed while edits are moved and sorted.
+    """
+    if long_texts:
+        numbered = _numbered_long(flagged, edits, of_listings(reviewed, flagged))
+    else:
+        numbered = numbered_with_timing(of_listings(edits, flagged), of_listings(reviewed, flagged))
     history = numbered.select(*HISTORY_COLUMNS)
     return history.orderBy(*history_order()) if ordered else history
 
 
+def _numbered_long(flagged: DataFrame, edits: DataFrame, reviewed: DataFrame) -> DataFrame:
+    """Numbered edits whose descriptions are packed once and unpacked when they are in place.
+
+    Up to ``BROADCAST`` ids go to all executors, so that only edits of those listings are
+    packed and moved; with more ids, edits are packed before they are moved to them.
+    """
+    names = [name for name in edits.columns if name not in ("desc_before", "desc_after")]
+    ids = flagged.select("listing_id")
+
+    def short(rows: DataFrame) -> DataFrame:
+        return rows.select(*names, packed(F.col("desc_before"), F.col("desc_after")).alias("texts"))
+
+    if ids.count() <= BROADCAST:
+        mine = short(of_listings(edits, F.broadcast(ids)))
+    else:
+        mine = of_listings(short(edits), ids)
+    numbered = numbered_with_timing(mine, reviewed)
+    kept = [name for name in numbered.columns if name != "texts"]
+    return computed_once(numbered, kept, texts=unpacked(F.col("texts"))).select(
+        *kept, F.col("texts.before").alias("desc_before"), F.col("texts.after").alias("desc_after")
+    )
+
+
 def history_order() -> tuple[Column, ...]:
     return F.col("listing_id"), F.col("change_num")
 

@@ -5,12 +5,15 @@ from __future__ import annotations
 import datetime as dt
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from policyscan.functions import packed
 from policyscan.operators import edits as E
 from policyscan.plans import changes, evasion, words
 from tests import tables as t
+from tests.conftest import optimized_plan
 
 SINCE = t.DAY0.date()
 
@@ -129,6 +132,41 @@ def test_evasion_types_and_detail(spark):
     assert detail == {i for i, (_, _, _, listed) in enumerate(EDITS) if listed}
 
 
+def test_packed_texts_come_out_as_they_were():
+    words = " ".join(f"w{i * i % 977}" for i in range(900)).encode()
+    texts = [None, b"", b"d1", "Füchse, 日本".encode(), b"\xff not utf-8", words, words + b" end", b"x" * 100_000]
+    pairs = [(b, a) for b in texts for a in texts]
+    short = packed._pack(*map(pd.Series, zip(*pairs, strict=True)))
+    assert list(packed._unpack(short).itertuples(index=False, name=None)) == pairs
+    size = {pair: len(data) for pair, data in zip(pairs, short, strict=True)}
+    assert size[words, words + b" end"] < 0.6 * len(words)
+    assert size[b"x" * 100_000, None] >= 100_000  # would unpack to far more than a batch holds
+
+
+@pytest.mark.parametrize("most", [0, 10])
+def test_long_descriptions_are_moved_packed(spark, monkeypatch, most):
+    rng = random.Random(8)
+    long = [" ".join(f"word{rng.randrange(3000)}" for _ in range(400)) for _ in range(6)]
+    texts = [*long, "é 日", "", None]
+    rows = [
+        t.entry(rng.randrange(5), rng.randrange(3), seq, title=rng.choice([("a", "b"), ("a", "a"), (None, "b")]),
+                desc=(rng.choice(texts), rng.choice(texts)), hour=rng.randrange(2))
+        for seq in range(300)
+    ]
+    flagged, edits, reviewed = timed(spark, rows, {1: 2}, [1, 2, 3, 3])
+    monkeypatch.setattr(changes, "BROADCAST", most)
+    found = changes.change_history(flagged, edits, reviewed, long_texts=True)
+    plain = changes.change_history(flagged, edits, reviewed)
+    assert found.schema == plain.schema
+    assert sorted(map(repr, found.collect())) == sorted(map(repr, plain.collect()))
+    lines = optimized_plan(found).splitlines()
+    moved = [i for i, line in enumerate(lines) if "RepartitionByExpression" in line]
+    assert moved
+    for i in moved:
+        assert "texts" in lines[i - 1] and "desc_before" not in lines[i - 1]
+        assert any("_pack(" in line for line in lines[i + 1 :])
+
+
 def test_unflagged_evasion_counts_other_listings_of_known_sellers(spark):
     away = ("Fox Collar", "Plain Collar")
     rows = [t.entry(n, n, n, title=away) for n in (1, 2, 3, 4)] + [t.entry(2, 3, 9, title=away)]
