@@ -124,6 +124,25 @@ def test_near_copies_are_finished_where_they_first_meet(spark, monkeypatch):
     assert not branched
 
 
+@pytest.mark.parametrize("block", [50, 2048])
+def test_copies_that_are_like_only_some_others_are_finished_too(spark, monkeypatch, block):
+    from policyscan.llm import near_dedup
+
+    rng = random.Random(13)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(150)]
+    texts = [" ".join(base)]
+    for _ in range(250):  # four words changed: 80 % and more alike with the base, less with each other
+        words = list(base)
+        for at in rng.sample(range(150), 4):
+            words[at] = f"x{rng.randrange(10**6)}"
+        texts.append(" ".join(words))
+    rng.shuffle(texts)
+    monkeypatch.setattr(near_dedup, "_branched", lambda rows, how: pytest.fail("branched"))
+    how = NearDuplicates(words=4, small=25, block=block)
+    found = near_duplicates(documents(spark, texts), how)
+    assert rows(found, "doc_id", "n_shingles", "component_id") == brute(list(enumerate(texts)), 4, 80)
+
+
 def test_blocks_are_bounded_by_bytes(spark):
     rng = random.Random(12)
     texts = [t for n in (9, 14) for t in family(rng, n, 400, 30)]
