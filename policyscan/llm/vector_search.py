@@ -14,10 +14,14 @@ from policyscan.llm.vectors import matrix, usable
 
 #: Vectors of a block of the file, and queries that are searched together.
 FILE_BLOCK, QUERY_BLOCK = 4096, 2048
+#: Parts of the file at most, and blocks of queries that meet a part together.
+FILE_PARTS, QUERIES_AT_ONCE = 32, 8
 #: Cells of a dimension, at most 256.
 CELLS = 64
 #: Queries whose bounds are held at a time.
 BOUNDS_AT_ONCE = 128
+#: Candidates of a block of queries that are held back while their part of the file is read.
+HELD = 1 << 18
 #: Exact vectors read for a query at first, times k.
 READ_FIRST = 4
 #: The scores that a long holds.
@@ -50,6 +54,13 @@ def _scores(ones: np.ndarray, twos: np.ndarray) -> list[int]:
     return [sum(int(a) * int(b) for a, b in zip(one, two, strict=True)) for one, two in zip(ones, twos, strict=True)]
 
 
+def _narrow(exact: np.ndarray) -> tuple[str, bytes]:
+    """Integers that came as doubles in the shortest type that holds them all, with its name."""
+    low, high = exact.min(initial=0), exact.max(initial=0)
+    kind = next((t for t in ("int8", "int16", "int32") if np.iinfo(t).min <= low and high <= np.iinfo(t).max), "float64")
+    return kind, exact.astype(kind).tobytes()
+
+
 def _dealt(vectors: DataFrame, size: int) -> tuple[DataFrame, int]:
     """Vectors with the block, of about ``size`` rows, that their hash picks."""
     blocks = max(1, -(-vectors.count() // size))
@@ -81,44 +92,105 @@ def approximation_file(vectors: DataFrame, scale: float) -> tuple[DataFrame, int
 def _query_blocks(queries: DataFrame, scale: float) -> tuple[DataFrame, int]:
     def gather(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         held = [pdf[c].to_numpy(np.int64).tobytes() for c in ("asked", "vec_id")]
-        row = [*key, *held, _scaled(pdf["embedding"], scale).tobytes()]
-        return pd.DataFrame([row], columns=["dims", "queries", "asked", "query_ids", "query_vectors"])
+        row = [*key, *held, *_narrow(_scaled(pdf["embedding"], scale))]
+        return pd.DataFrame([row], columns=["dims", "block", "asked", "query_ids", "kind", "query_vectors"])
 
     dealt, blocks = _dealt(queries, QUERY_BLOCK)
-    schema = "dims int, queries int, asked binary, query_ids binary, query_vectors binary"
+    schema = "dims int, block int, asked binary, query_ids binary, kind string, query_vectors binary"
     return dealt.groupBy("dims", "block").applyInPandas(gather, schema), blocks
 
 
-def _block_bounds(row, k: int) -> pd.DataFrame:
-    """For each query of a query block the vectors of a block that may be among its k best
-    there, with the bounds of their scores."""
-    dims = row.dims
-    rows, ids = np.frombuffer(row.rows, np.int64), np.frombuffer(row.ids, np.int64)
-    asked, query_ids = np.frombuffer(row.asked, np.int64), np.frombuffer(row.query_ids, np.int64)
-    queries = np.frombuffer(row.query_vectors, np.float64).reshape(len(asked), dims)
-    edges = np.frombuffer(row.edges, np.float64).reshape(dims, CELLS + 1)
-    cells = np.frombuffer(row.cells, np.uint8).reshape(len(ids), dims)
-    floor, ceiling = edges[np.arange(dims), cells], edges[np.arange(dims), cells + np.int64(1)] - 1
-    out = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0), np.empty(0))]
-    for at in range(0, len(queries), BOUNDS_AT_ONCE):
-        part = queries[at : at + BOUNDS_AT_ONCE]
-        plus, minus = np.maximum(part, 0), np.minimum(part, 0)
-        # Sums of doubles beyond 2^53 are rounded; both bounds give way by more than that.
-        with np.errstate(over="ignore", invalid="ignore"):
-            size = np.abs(part).sum(axis=1) * max(1.0, np.abs(floor).max(initial=0), np.abs(ceiling).max(initial=0))
-            slack = np.where(size < 2.0**52, 0, size * 2.0**-40)[:, None]
-            most, least = plus @ ceiling.T + minus @ floor.T + slack, plus @ floor.T + minus @ ceiling.T - slack
-        # Bounds that overflow say nothing.
-        unknown = ~(np.isfinite(most) & np.isfinite(least) & np.isfinite(slack))
-        most[unknown], least[unknown] = np.finfo(np.float64).max, np.finfo(np.float64).min
-        for i in range(len(part)):
-            other = np.flatnonzero(ids != query_ids[at + i])
-            if not len(other):
+class _Asking:
+    """A block of queries that meets a part of the file, block by block."""
+
+    def __init__(self, row, k: int):
+        self.asked, self.ids = np.frombuffer(row.asked, np.int64), np.frombuffer(row.query_ids, np.int64)
+        self.vectors = np.frombuffer(row.query_vectors, row.kind).reshape(len(self.asked), row.dims)
+        #: The k best lower bounds that each query has met.
+        self.best = np.full((len(self.asked), k), -np.inf)
+        self.held: list[tuple[np.ndarray, ...]] = []
+
+    def meet(self, rows: np.ndarray, ids: np.ndarray, floor: np.ndarray, ceiling: np.ndarray) -> Iterator[pd.DataFrame]:
+        """Hold the vectors of a block that may be among the k best so far, with the bounds of
+        their scores; what is too much to hold comes back."""
+        for at in range(0, len(self.asked), BOUNDS_AT_ONCE):
+            own = slice(at, at + BOUNDS_AT_ONCE)
+            part = self.vectors[own].astype(np.float64)
+            plus, minus = np.maximum(part, 0), np.minimum(part, 0)
+            # Sums of doubles beyond 2^53 are rounded; both bounds give way by more than that.
+            with np.errstate(over="ignore", invalid="ignore"):
+                size = np.abs(part).sum(axis=1) * max(1.0, np.abs(floor).max(initial=0), np.abs(ceiling).max(initial=0))
+                slack = np.where(size < 2.0**52, 0, size * 2.0**-40)[:, None]
+                most, least = plus @ ceiling.T + minus @ floor.T + slack, plus @ floor.T + minus @ ceiling.T - slack
+            # Bounds that overflow say nothing.
+            unknown = ~(np.isfinite(most) & np.isfinite(least) & np.isfinite(slack))
+            most[unknown], least[unknown] = np.finfo(np.float64).max, np.finfo(np.float64).min
+            other = ids != self.ids[own, None]
+            met = np.concatenate([self.best[own], np.where(other, least, -np.inf)], axis=1)
+            n = met.shape[1] - self.best.shape[1]
+            self.best[own] = np.partition(met, n, axis=1)[:, n:]
+            query, vector = np.nonzero(other & (most >= self.best[own].min(axis=1)[:, None]))
+            self.held.append((at + query, rows[vector], most[query, vector], least[query, vector]))
+            if sum(len(x[0]) for x in self.held) > HELD:
+                found = self._open()
+                if len(found[0]) > HELD // 2:
+                    yield self._frame(found)
+                    found = tuple(x[:0] for x in found)
+                self.held = [found]
+
+    def left(self) -> pd.DataFrame:
+        """The held vectors that may be among the k best of all that were met."""
+        return self._frame(self._open())
+
+    def _open(self) -> tuple[np.ndarray, ...]:
+        query, rows, most, least = map(np.concatenate, zip(*self.held, strict=True))
+        still = most >= self.best.min(axis=1)[query]
+        return query[still], rows[still], most[still], least[still]
+
+    def _frame(self, found: tuple[np.ndarray, ...]) -> pd.DataFrame:
+        query, rows, most, least = found
+        return pd.DataFrame({"asked": self.asked[query], "row": rows, "most": most, "least": least})
+
+
+def _bounds(batches: Iterator[pd.DataFrame], k: int) -> Iterator[pd.DataFrame]:
+    """The candidates of the cells of a partition, in each of which blocks of queries come first."""
+    cell: tuple = ()
+    asking: list[_Asking] = []
+    for batch in batches:
+        for row in batch.itertuples(index=False):
+            if cell != (row.dims, row.part, row.queries):
+                yield from (block.left() for block in asking if block.held)
+                cell, asking = (row.dims, row.part, row.queries), []
+            if row.edges is None:
+                asking.append(_Asking(row, k))
                 continue
-            n = len(other) - min(k, len(other))
-            open_ = other[most[i, other] >= np.partition(least[i, other], n)[n]]
-            out.append((np.full(len(open_), asked[at + i]), rows[open_], most[i, open_], least[i, open_]))
-    return pd.DataFrame(dict(zip(("asked", "row", "most", "least"), map(np.concatenate, zip(*out, strict=True)), strict=True)))
+            rows, ids = np.frombuffer(row.rows, np.int64), np.frombuffer(row.ids, np.int64)
+            edges = np.frombuffer(row.edges, np.float64).reshape(row.dims, CELLS + 1)
+            cells = np.frombuffer(row.cells, np.uint8).reshape(len(ids), row.dims)
+            places = np.arange(row.dims)
+            floor, ceiling = edges[places, cells], edges[places, cells + np.int64(1)] - 1
+            for block in asking:
+                yield from block.meet(rows, ids, floor, ceiling)
+    yield from (block.left() for block in asking if block.held)
+
+
+def _candidates(vectors: DataFrame, queries: DataFrame, k: int, scale: float) -> DataFrame:
+    """For each query the vectors that may be among its k best of a part of the file, with the
+    bounds of their scores.
+
+    Blocks are dealt, never joined: a join could send what its sides are copied to by way of the driver.
+    """
+    file, blocks = approximation_file(vectors, scale)
+    asking, query_blocks = _query_blocks(queries, scale)
+    parts, groups = min(blocks, FILE_PARTS), -(-query_blocks // QUERIES_AT_ONCE)
+    file = materialized(file, "file").withColumn("part", F.col("block") % parts)
+    file = file.withColumn("queries", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+    asking = asking.withColumn("queries", F.col("block") % groups)
+    asking = asking.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    met = file.drop("block").unionByName(asking.drop("block"), allowMissingColumns=True)
+    met = met.repartitionById(parts * groups, F.col("queries") * parts + F.col("part"))
+    met = met.sortWithinPartitions("dims", "part", "queries", F.col("edges").isNotNull())
+    return met.mapInPandas(lambda batches: _bounds(batches, k), "asked long, row long, most double, least double")
 
 
 def _read(candidates: DataFrame, vectors: DataFrame, queries: DataFrame, scale: float) -> DataFrame:
@@ -156,10 +228,10 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int, scale: float = 256.0)
     a score among the best of a block that a long cannot hold is an error. Equal rows are each a
     candidate; a repeated query is answered once.
 
-    Each block of the file, cells only, meets each block of queries in a row of its own. Vectors
-    whose upper bound reaches the kth lower bound of their block, and then that of all
-    blocks, are candidates. Of these the exact vectors with the highest upper bounds are
-    read first, and then those whose upper bound reaches the kth score found.
+    Each part of the file, cells only, meets some blocks of queries in a task of its own, block
+    by block. Vectors whose upper bound reaches the kth lower bound of their part, and then
+    that of all parts, are candidates. Of these the exact vectors with the highest upper bounds
+    are read first, and then those whose upper bound reaches the kth score found.
     """
     kept = vectors.where(usable(vectors)).select(F.col("vec_id").cast("long"), "embedding")
     # More than k equal rows cannot all be among the best.
@@ -168,18 +240,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int, scale: float = 256.0)
     kept = materialized(kept.withColumn("row", F.monotonically_increasing_id()), "vectors")
     asked = queries.where(usable(queries)).select(F.col("vec_id").cast("long"), "embedding").distinct()
     asked = materialized(asked.withColumn("asked", F.monotonically_increasing_id()), "queries")
-    file, file_blocks = approximation_file(kept, scale)
-    blocks, query_blocks = _query_blocks(asked, scale)
-    left = materialized(file, "file").withColumn("queries", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
-    right = blocks.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(file_blocks - 1))))
-
-    def bounds(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for row in batch.itertuples(index=False):
-                yield _block_bounds(row, k)
-
-    near = left.join(right, ["dims", "block", "queries"]).mapInPandas(bounds, "asked long, row long, most double, least double")
-    near = materialized(near, "bounds")
+    near = materialized(_candidates(kept, asked, k, scale), "bounds")
     near = near.join(materialized(_kth(near, k, "least", "sure"), "sure"), "asked", "left").where("sure is null or most >= sure")
     turn = F.row_number().over(Window.partitionBy("asked").orderBy(F.desc("most"), "row"))
     near = materialized(near.withColumn("turn", turn).select("asked", "row", "most", "turn"), "candidates")

@@ -7,6 +7,7 @@ import math
 import numpy as np
 import pytest
 
+from policyscan.llm.tables import materialized
 from policyscan.llm.vector_dedup import Index, VectorDuplicates, vector_duplicates
 from policyscan.llm.vector_search import top_k
 
@@ -149,3 +150,57 @@ def test_repeated_rows_are_candidates_each(spark):
     df = vectors(spark, [(0, [1.0]), (7, [2.0]), (7, [2.0]), (8, [2.0])])
     found = rows(top_k(df, df.where("vec_id = 0"), 3), "rank", "vec_id")
     assert found == [(1, 7), (2, 7), (3, 8)]
+
+
+@pytest.mark.parametrize("held", [0, 20, 10_000])
+def test_parts_of_the_file_that_queries_meet_block_by_block(spark, monkeypatch, held):
+    import policyscan.llm.vector_search as search
+
+    for name, most in (("FILE_BLOCK", 40), ("QUERY_BLOCK", 3), ("FILE_PARTS", 3), ("QUERIES_AT_ONCE", 2), ("BOUNDS_AT_ONCE", 2), ("HELD", held)):
+        monkeypatch.setattr(search, name, most)
+    plans = {}
+
+    def kept(df, name):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return materialized(df, name)
+
+    monkeypatch.setattr(search, "materialized", kept)
+    data = clustered(seed=9) + [(4000 + i, clustered(seed=9)[0][1]) for i in range(30)]
+    short = [(5000 + 10 * i, [v[0], 500.0 * v[1], 1e6 * v[2]]) for i, (_, v) in enumerate(clustered(seed=10)[:60])]
+    none = [(6000 + 25 * i, []) for i in range(4)]
+    df = vectors(spark, data + short + none)
+    found = top_k(df, df.where("vec_id % 50 = 0"), 5)
+    wanted = searched(data, 5) + searched([(i, np.float32(v).tolist()) for i, v in short], 5)
+    wanted += [(i, r, other, 0) for i in (6000, 6050) for r, other in enumerate((j for j, _ in none if j != i), 1)]
+    assert rows(found, "query_id", "rank", "vec_id", "score") == sorted(wanted, key=repr)
+    # A join may be done by a broadcast, which takes the copies of all blocks to the driver.
+    assert "edges" in plans["bounds"] and "Join" not in plans["bounds"] and "Broadcast" not in plans["bounds"]
+
+
+def test_candidates_do_not_grow_with_the_blocks_of_a_part(spark, monkeypatch):
+    import policyscan.llm.vector_search as search
+
+    counted = {}
+
+    def kept(df, name):
+        out = materialized(df, name)
+        counted[name] = out.count()
+        return out
+
+    monkeypatch.setattr(search, "materialized", kept)
+    monkeypatch.setattr(search, "FILE_PARTS", 2)
+    df = vectors(spark, clustered(seed=11, singles=1500))
+    found = []
+    for size in (20, 400):
+        monkeypatch.setattr(search, "FILE_BLOCK", size)
+        top_k(df, df.where("vec_id % 50 = 0"), 5).collect()
+        found.append(counted["bounds"])
+    assert found[0] < 2 * found[1]
+
+
+def test_numbers_are_stored_in_the_shortest_type_that_holds_them():
+    from policyscan.llm.vector_search import _narrow
+
+    for values, kind in (([-128, 127], "int8"), ([-129], "int16"), ([2**15], "int32"), ([2.0**31], "float64"), ([-1e300], "float64"), ([], "int8")):
+        found, data = _narrow(np.array([values], float))
+        assert found == kind and np.frombuffer(data, found).astype(float).tolist() == values
